@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliomill.llm.p1_truncation import p1_found, p1_share
+from foliomill.llm.p2_pairs import p2_found, p2_labels
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_share": p1_share}
+    return {"p1_found": p1_found, "p1_share": p1_share, "p2_found": p2_found, "p2_labels": p2_labels}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -60,7 +60,7 @@ def bands_of(shingles: np.ndarray) -> np.ndarray:
         for i in np.flatnonzero(empty):
             at = np.searchsorted(filled, i)
             j = filled[at % len(filled)]
-            bins[i] = bins[j] ^ np.uint64((j - i) % _BINS * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+            bins[i] = int(bins[j]) ^ (int(j - i) % _BINS * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
     rows = bins.reshape(BANDS, ROWS)
     acc = np.zeros(BANDS, np.uint64)
     for k in range(ROWS):
