@@ -1,6 +1,6 @@
 """An expectation-maximisation label model over vote patterns of noisy labelling functions.
 
-Votes are +1 (defect), -1 (no defect) or 0 (no opinion).  A function's three vote probabilities given the hidden class are
+Votes are +1 (defect), -1 (no defect) or 0 (no opinion).  A function's chance to be right given the hidden class is
 learned, functions being independent given the class.  The input is the count of each vote pattern (at most 3^k rows for k
 functions), so a fit costs the same for any corpus.
 """
@@ -15,20 +15,19 @@ def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 60, prior: float =
     if not len(counts):
         return np.empty(0)
     w = counts.astype(float)
-    onehot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)  # pattern, function, vote
-    # Start: every function right four times in five when it speaks, so the first E step is a weighted majority.
-    table = np.zeros((2, votes.shape[1], 3))
-    table[1] = [0.16, 0.2, 0.64]
-    table[0] = [0.64, 0.2, 0.16]
+    # Only what a function says counts; its silence is no evidence for either class.
+    said = np.stack([votes == -1, votes == 1], axis=2).astype(float)  # pattern, function, vote
+    table = np.empty((2, votes.shape[1], 2))
+    table[1], table[0] = [0.2, 0.8], [0.8, 0.2]  # every function right four times in five, to begin with
     pi = prior
     for _ in range(rounds):
-        log1 = np.log(pi) + (onehot * np.log(table[1])).sum((1, 2))
-        log0 = np.log(1 - pi) + (onehot * np.log(table[0])).sum((1, 2))
+        log1 = np.log(pi) + (said * np.log(table[1])).sum((1, 2))
+        log0 = np.log(1 - pi) + (said * np.log(table[0])).sum((1, 2))
         post = 1 / (1 + np.exp(np.clip(log0 - log1, -500, 500)))
         for y, share in ((1, post), (0, 1 - post)):
-            n = np.einsum("p,pfv->fv", w * share, onehot)
+            n = np.einsum("p,pfv->fv", w * share, said)
             # Pseudo-votes keep each function better than chance, hence the classes from changing places.
-            guess = np.array([1.0, 1.0, 4.0]) if y else np.array([4.0, 1.0, 1.0])
+            guess = np.array([1.0, 4.0]) if y else np.array([4.0, 1.0])
             table[y] = (n + guess) / (n + guess).sum(1, keepdims=True)
         pi = float(np.clip((w * post).sum() / w.sum(), 1e-6, 0.5))
     return post

@@ -6,16 +6,17 @@ import re
 
 #: Function words by language.
 FUNCTION_WORDS = {
-    "en": "the of and to in is was for that with by on as are were be this from at an which it its not have has or we our their these than whether when what how who about would could rather only both each after while during under between".split(),
-    "fr": "le la les du des une un et est dans pour par sur avec au aux en qui ne pas que ce cette ces nous sont été ou où se sa son leur plus entre pendant contre lorsque dont soit très mais je vous il elle ont ces sans selon donc l d n s qu j".split(),
-    "de": "der die das und den dem des ein eine einer eines einen ist von zu im mit für auf nicht wird bei sich als auch es sind wurde werden aber oder um an über nach aus durch wie so ich sie wir kaum zum zur noch ob dass keine kein mir dazu beim".split(),
-    "es": "el la los las de del y una un que es en para por con se al como no su fue son entre este esta estos más lo sus ha sin sobre desde cuando sigue pero cada durante tras frente nos le me ninguna por si ser a o".split(),
+    "en": "the of and to in is was for that with by on as are were be this from at an which it its not have has or we our their these than whether when what how who about would could rather only both each after while during under between does list describe write explain show drawn paper use find a an yes no i you".split(),
+    "fr": "le la les du des une un et est dans pour par sur avec au aux en qui ne pas que ce cette ces nous sont été ou où se sa son leur plus entre pendant contre lorsque dont soit très mais je vous il elle ont ces sans selon donc l d n s qu j quels quelles quel quelle montre porte concernent résumez décrivez comment après oui non enfin cependant".split(),
+    "de": "der die das und den dem des ein eine einer eines einen ist von zu im mit für auf nicht wird bei sich als auch es sind wurde werden aber oder um an über nach aus durch wie so ich sie wir kaum zum zur noch ob dass keine kein mir dazu beim welche welcher welches was zeigt enthält fassen beschreiben nein ja schließlich zwischen".split(),
+    "es": "el la los las de del y una un que es en para por con se al como no su fue son entre este esta estos más lo sus ha sin sobre desde cuando sigue pero cada durante tras frente nos le me ninguna por si ser a o qué cuál cuáles muestra resuma describa trata refieren cómo sí después finalmente".split(),
 }
-_SETS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
+#: A word of several languages counts for each by its share.
+_WEIGHT = {k: {w: 1 / sum(w in other for other in FUNCTION_WORDS.values()) for w in v} for k, v in FUNCTION_WORDS.items()}
 #: Letter patterns by language.
 PATTERNS = {
     "en": re.compile(r"\bth|ing\b|wh|ght\b|ould\b|\w'(?:t|s)\b|ee|ly\b|tion of\b|\bsh"),
-    "fr": re.compile(r"[àâçèêëîïôùûœ]|\b[ldnsjq]'|eaux?\b|tion d|\bqu[ei]\b|oir|ées?\b|eurs?\b|aux\b|ç"),
+    "fr": re.compile(r"[àâçèêëîïôùûœ]|\w{3}tion\b|elles?\b|ette\b|iers?\b|\b[ldnsjq]'|eaux?\b|tion d|\bque\b|\bqui\b|oir|ées?\b|eurs?\b|aux\b|ç"),
     "de": re.compile(r"[äöüß]|sch|ung(?:en)?\b|keit|lich|\bge\w+t\b|\bv[eo]r|ei[tn]|ch\b|tz"),
     "es": re.compile(r"[ñ¿¡áíóú]|ción\b|ciones\b|\w+(?:ado|ada|ados|adas)\b|\bel\b|ll|\blos\b|\blas\b|idad\b|mente\b"),
 }
@@ -38,7 +39,7 @@ def by_words(text: str) -> tuple[str | None, float, int]:
     words = _WORD.findall(text.lower())
     if not words:
         return None, 0.0, 0
-    s = sorted(((sum(map(v.__contains__, words)) / len(words), k) for k, v in _SETS.items()), reverse=True)
+    s = sorted(((sum(v.get(w, 0.0) for w in words) / len(words), k) for k, v in _WEIGHT.items()), reverse=True)
     return (s[0][1] if s[0][0] > 0 else None), s[0][0] - s[1][0], len(words)
 
 

@@ -143,7 +143,7 @@ def language_votes(want: str | None, inner: str) -> tuple[int, ...]:
     weak = n < 5
     return (
         vote(not weak and lang is not None and lang != want and lead > 0.04, lang == want and lead > 0.0),
-        vote(not weak and letters is not None and letters != want and ahead > 0.05, letters == want),
+        vote(not weak and letters is not None and letters == lang != want and ahead > 0.05, letters == want),
         vote(bool(agree) and mine * 2 < len(agree), mine * 2 >= len(agree) and bool(agree)),
     )
 
