@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: Iterable[str] | None = None) -> DataFrame:
@@ -34,6 +35,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A side of a join is broadcast up to so many rows, else it is shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it proves to have at most ``rows`` (narrow) rows; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def at_least(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Spread a small scan over the cluster's cores before a CPU-heavy step; wide scans stay as they are."""
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
