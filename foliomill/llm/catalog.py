@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliomill.llm.p1_truncation import p1_found, p1_share
 from foliomill.llm.p2_pairs import p2_found, p2_labels
+from foliomill.llm.p3_overlap import p3_found, p3_report
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_share": p1_share, "p2_found": p2_found, "p2_labels": p2_labels}
+    return {"p1_found": p1_found, "p1_share": p1_share, "p2_found": p2_found, "p2_labels": p2_labels, "p3_found": p3_found, "p3_report": p3_report}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,17 +19,19 @@ SLOTS = 1 << 20
 #: Below this terminality a closing is taken for a cut.
 CUTOFF = 0.5
 
-_TRAIL_SPACE = re.compile(r"[\s​‌‍⁠﻿\xad]+$")
+_STRING = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"', re.S)
+#: White space and characters without width.
+_BLANK = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\u200b\u200c\u200d\u2060\ufeff\xad"
 _ELLIPSIS = re.compile(r"(?:\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\)|\.{3,}|…|⋯)$")
 #: Marks that carry no text: pictographs, arrows, carets, bars and the like at the very end.
 _STRAY = re.compile(r"[←-⇿⌀-➿⬀-⯿️\U0001f000-\U0001faff~^|\\<>=+#@&§¶†‡·°¬¤`]$")
-_CLOSERS = re.compile(r"[\"'”’»)\]}*_]+$")
 _BULLET = re.compile(r"^\s*(?:[-*•–—‣◦·]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s+")
 _KEYWORDS = re.compile(r"^\s*[\w\- ]{2,30}\s?:\s")
 _ABBREV = re.compile(r"(?:^|[\s(\[])(?:al|e\.g|i\.e|cf|vs|fig|figs|eq|eqs|vol|pp|approx|resp|dr|prof|bzw|z\.b|d\.h|etc\. et|p\. ?ej|sp|ref|refs|tab|abb)\.$", re.I)
 _NUMBER_END = re.compile(r"(\S+)\s+\(?(\d+(?:[.,]\d+)*)([.!?]?)$")
 _NUMBER_IN = re.compile(r"([^\W\d_]\S*) (\d+(?:[.,]\d+)*)([.!?]?)(?= )")
 _CORE = re.compile(r"[^\w'’\-]+")
+_SOME = re.compile(r"\w")
 _PUNCT_END = re.compile(r"[.!?][\"'”’»)\]]*$")
 
 
@@ -44,42 +46,22 @@ def slot(kind: str, key: str) -> int:
 
 def json_open(text: str) -> bool:
     """True if a JSON text ends inside a string or with brackets still open."""
-    depth, in_string = 0, False
-    i, n = 0, len(text)
-    while i < n:
-        if in_string:
-            j = text.find('"', i)
-            if j < 0:
-                return True
-            back = 0
-            while text[j - 1 - back] == "\\" and j - back > 0:
-                back += 1
-            i = j + 1
-            if back % 2 == 0:
-                in_string = False
-            continue
-        c = text[i]
-        if c == '"':
-            in_string = True
-        elif c in "[{":
-            depth += 1
-        elif c in "]}":
-            depth -= 1
-        i += 1
-    return in_string or depth > 0
+    rest = _STRING.sub("", text)
+    return '"' in rest or rest.count("[") + rest.count("{") > rest.count("]") + rest.count("}")
 
 
 def strip_marks(text: str) -> tuple[str, bool, bool]:
     """The text without white space, ellipses and stray marks at its end; whether an ellipsis, and a broken character, stood there."""
     ellipsis = broken = False
     while True:
-        s = _TRAIL_SPACE.sub("", text)
-        if s.endswith("�"):
+        s = text.rstrip(_BLANK)
+        tail = s[-16:]
+        if s.endswith("\ufffd"):
             s, broken = s[:-1], True
-        elif m := _ELLIPSIS.search(s):
-            s, ellipsis = s[: m.start()], True
-        elif not s.endswith("```") and (m := _STRAY.search(s)):
-            s = s[: m.start()]
+        elif m := _ELLIPSIS.search(tail):
+            s, ellipsis = s[: len(s) - len(tail) + m.start()], True
+        elif not s.endswith("```") and _STRAY.search(tail):
+            s = s[:-1]
         if s == text:
             return s, ellipsis, broken
         text = s
@@ -98,7 +80,7 @@ def kind_of(s: str) -> str:
 
 
 def core(token: str) -> str:
-    return _CORE.sub("", token).lower()
+    return _CORE.sub("", token).lower() if not token.isalpha() else token.lower()
 
 
 def item_keys(item: str) -> tuple[str, str, str]:
@@ -154,11 +136,11 @@ def terminality(closes: np.ndarray, total: np.ndarray, kind: str, key: str, unse
 
 def score(text: str | None, closes: np.ndarray, total: np.ndarray) -> float:
     """Terminality of a text's closing in [0, 1]; a null or markless-empty text counts as complete (it is another defect)."""
-    if not text or not re.search(r"\w", text):
+    if not text or not _SOME.search(text):
         return 1.0
     s, ellipsis, broken = strip_marks(text)
     body = s.lstrip()
-    if not re.search(r"\w", s):
+    if not _SOME.search(s):
         return 1.0
     if broken:
         return 0.0
@@ -173,7 +155,7 @@ def score(text: str | None, closes: np.ndarray, total: np.ndarray) -> float:
             return 0.0
         if body[-1] in "]}":
             return 1.0
-    bare = _CLOSERS.sub("", s)
+    bare = s.rstrip("\"'”’»)]}*_")
     if bare[-1:] == "," and _PUNCT_END.search(bare[:-1]):
         bare = bare[:-1]
     last_line = bare.rsplit("\n", 1)[-1]

@@ -5,12 +5,11 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import xxhash
 
 SHINGLE = 5
-#: Bands of rows: a pair of Jaccard 0.8 shares a band with probability 1 - (1 - 0.8^3)^10 > 0.999.
-BANDS, ROWS = 10, 3
+#: Bands of rows: a pair of Jaccard 0.8 shares a band with probability 1 - (1 - 0.8^3)^8 > 0.996.
+BANDS, ROWS = 8, 3
 _BINS = BANDS * ROWS
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _WORD = re.compile(r"\w+")
@@ -23,7 +22,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHash(dict):
-    """word -> 64-bit hash, computed once a process; emptied when it grows past a million words."""
+    """word -> 64-bit hash, computed once a process; emptied past a million words."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > 1_000_000:
@@ -39,46 +38,60 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def shingle_hashes(hashes: np.ndarray) -> np.ndarray:
-    """Rolling polynomial over SHINGLE word hashes; empty under SHINGLE words."""
-    n = len(hashes) - SHINGLE + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    acc = np.zeros(n, np.uint64)
-    for k in range(SHINGLE):
-        acc = acc * _M1 + hashes[k : k + n]
-    return mix(acc)
+def word_stream(texts: list[list[str]], gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts in one array with ``gap`` zeros after each, and each text's start."""
+    sizes = np.fromiter((len(x) + gap for x in texts), np.int64, len(texts))
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.zeros(starts[-1], np.uint64)
+    for words, at in zip(texts, starts.tolist()):
+        if words:
+            out[at : at + len(words)] = [_HASH[w] for w in words]
+    return out, starts[:-1]
 
 
-def bands_of(shingles: np.ndarray) -> np.ndarray:
-    """Hashes of BANDS bands: one-permutation min-hash with rotation of empty bins."""
-    bins = np.full(_BINS, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(bins, (shingles % np.uint64(_BINS)).astype(np.int64), shingles // np.uint64(_BINS))
-    empty = bins == np.iinfo(np.uint64).max
-    if empty.any():  # borrow from the next filled bin, marked by its distance
-        filled = np.flatnonzero(~empty)
-        for i in np.flatnonzero(empty):
-            at = np.searchsorted(filled, i)
-            j = filled[at % len(filled)]
-            bins[i] = int(bins[j]) ^ (int(j - i) % _BINS * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    rows = bins.reshape(BANDS, ROWS)
-    acc = np.zeros(BANDS, np.uint64)
-    for k in range(ROWS):
-        acc = mix(acc * _M1 + rows[:, k])
-    return acc.view(np.int64)
+def rolling(stream: np.ndarray, size: int) -> np.ndarray:
+    """Polynomial hash of every ``size`` consecutive words of a stream."""
+    n = max(0, len(stream) - size + 1)
+    acc = np.zeros(n, np.uint64)
+    for k in range(size):
+        acc = acc * _M1 + stream[k : k + n]
+    return mix(acc)
 
 
 def signatures(texts: list[str | None]) -> tuple[list[int], list[int], list[np.ndarray | None]]:
-    """Word counts, whole-text hashes and bands (None under SHINGLE words) of a batch."""
-    counts, whole, bands = [], [], []
-    for text in texts:
-        words = words_of(text) if text else []
-        hashes = np.fromiter((_HASH[w] for w in words), np.uint64, len(words))
-        counts.append(len(words))
-        whole.append(xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63))
-        s = shingle_hashes(hashes)
-        bands.append(bands_of(s) if len(s) else None)
-    return counts, whole, bands
+    """Word counts, whole-text hashes and band hashes (None under SHINGLE words) of a batch.
+
+    One-permutation min-hash: a shingle falls into one of BANDS * ROWS bins, each bin keeps its least hash, an empty bin
+    borrows the next filled one's; a band is the hash of ROWS bins."""
+    words = [words_of(x) if x else [] for x in texts]
+    counts = np.fromiter(map(len, words), np.int64, len(words))
+    whole = [xxhash.xxh64_intdigest((x or "").encode("utf-8", "surrogatepass")) - (1 << 63) for x in texts]
+    many = np.flatnonzero(counts >= SHINGLE)
+    bands: list[np.ndarray | None] = [None] * len(texts)
+    if len(many):
+        stream, _ = word_stream([words[i] for i in many], 0)
+        hashes = rolling(stream, SHINGLE)
+        n = counts[many]
+        owner = np.repeat(np.arange(len(many)), n)[: len(hashes)]
+        inside = owner == np.repeat(np.arange(len(many)), n)[SHINGLE - 1 :]
+        hashes, owner = hashes[inside], owner[inside]
+        free = np.iinfo(np.uint64).max
+        bins = np.full(len(many) * _BINS, free, np.uint64)
+        np.minimum.at(bins, owner * _BINS + (hashes % np.uint64(_BINS)).astype(np.int64), hashes // np.uint64(_BINS))
+        bins = bins.reshape(-1, _BINS)
+        empty = bins == free
+        for _ in range(_BINS):  # an empty bin takes over its right neighbour's value, changed
+            if not empty.any():
+                break
+            right = np.roll(bins, -1, axis=1)
+            bins = np.where(empty & (right != free), right ^ _M2, bins)
+            empty = bins == free
+        acc = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(many), BANDS)).copy()
+        for k in range(ROWS):
+            acc = mix(acc * _M1 + bins[:, k::ROWS])
+        for i, row in zip(many.tolist(), acc.view(np.int64)):
+            bands[i] = row
+    return counts.tolist(), whole, bands
 
 
 def jaccard(a: str, b: str) -> float:
