@@ -31,6 +31,7 @@ _ABBREV = re.compile(r"(?:^|[\s(\[])(?:al|e\.g|i\.e|cf|vs|fig|figs|eq|eqs|vol|pp
 _NUMBER_END = re.compile(r"(\S+)\s+\(?(\d+(?:[.,]\d+)*)([.!?]?)$")
 _NUMBER_IN = re.compile(r"([^\W\d_]\S*) (\d+(?:[.,]\d+)*)([.!?]?)(?= )")
 _CORE = re.compile(r"[^\w'’\-]+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-ZÀ-Ý¿¡])")
 _SOME = re.compile(r"\w")
 _PUNCT_END = re.compile(r"[.!?][\"'”’»)\]]*$")
 
@@ -179,12 +180,15 @@ def score(text: str | None, closes: np.ndarray, total: np.ndarray) -> float:
         return min(1.0, terminality(closes, total, "item", core(item.split()[-1]), 0.0) / 0.12)
     tail = bare[-400:]
     if bare[-1:] in ".!?。！？":
-        sentence = re.split(r"(?<=[.!?])\s+(?=[A-ZÀ-Ý¿¡])", tail)[-1] if len(tail) > 1 else tail
-        if s[-1:] not in ")]" and sentence.count("(") > sentence.count(")") or _ABBREV.search(tail):
+        if "(" in tail and s[-1:] not in ")]":
+            sentence = _SENTENCE.split(tail)[-1]
+            if sentence.count("(") > sentence.count(")"):
+                return 0.0
+        if _ABBREV.search(bare[-10:]):
             return 0.0
         if ellipsis and bare[-1] == "." and re.search(r"\.\.$", bare):
             return 0.0
-        if (m := _NUMBER_END.search(tail)) and shape(m[2]) == "9":  # 44. may be the start of 44.1 %
+        if bare[-2:-1].isdigit() and (m := _NUMBER_END.search(bare[-48:])) and shape(m[2]) == "9":  # 44. may be the start of 44.1 %
             return min(1.0, terminality(closes, total, "number", f"{m[1].lower()} 9", 0.6) / 0.1)
         return 1.0
     if bare[-1:] == ":":
@@ -198,7 +202,7 @@ def score(text: str | None, closes: np.ndarray, total: np.ndarray) -> float:
         return 1.0
     if len(words) <= 2 and len(text) < 30:
         return 0.75 * (total[slot("word", core(words[-1]))] > 0) + 0.2
-    if m := _NUMBER_END.search(tail):
+    if bare[-1:].isdigit():
         return 0.0
     # An unstopped sentence after stopped ones is cut; a lone one is whole if its last word all but always closes.
     if re.search(r"[.!?][\"'”’»)\]]*\s", bare):
