@@ -11,14 +11,15 @@ FUNCTION_WORDS = {
     "de": "der die das und den dem des ein eine einer eines einen ist von zu im mit für auf nicht wird bei sich als auch es sind wurde werden aber oder um an über nach aus durch wie so ich sie wir kaum zum zur noch ob dass keine kein mir dazu beim welche welcher welches was zeigt enthält fassen beschreiben nein ja schließlich zwischen".split(),
     "es": "el la los las de del y una un que es en para por con se al como no su fue son entre este esta estos más lo sus ha sin sobre desde cuando sigue pero cada durante tras frente nos le me ninguna por si ser a o qué cuál cuáles muestra resuma describa trata refieren cómo sí después finalmente".split(),
 }
-#: A word of several languages counts for each by its share.
-_WEIGHT = {k: {w: 1 / sum(w in other for other in FUNCTION_WORDS.values()) for w in v} for k, v in FUNCTION_WORDS.items()}
-#: Letter patterns by language.
-PATTERNS = {
-    "en": re.compile(r"\bth|ing\b|wh|ght\b|ould\b|\w'(?:t|s)\b|ee|ly\b|tion of\b|\bsh"),
-    "fr": re.compile(r"[àâçèêëîïôùûœ]|\w{3}tion\b|elles?\b|ette\b|iers?\b|\b[ldnsjq]'|eaux?\b|tion d|\bque\b|\bqui\b|oir|ées?\b|eurs?\b|aux\b|ç"),
-    "de": re.compile(r"[äöüß]|sch|ung(?:en)?\b|keit|lich|\bge\w+t\b|\bv[eo]r|ei[tn]|ch\b|tz"),
-    "es": re.compile(r"[ñ¿¡áíóú]|ción\b|ciones\b|\w+(?:ado|ada|ados|adas)\b|\bel\b|ll|\blos\b|\blas\b|idad\b|mente\b"),
+LANGUAGES = tuple(FUNCTION_WORDS)
+#: word -> weight in each language; a word of several languages counts for each by its share.
+_WEIGHTS = {w: tuple((w in v) / sum(w in other for other in FUNCTION_WORDS.values()) for v in FUNCTION_WORDS.values()) for ws in FUNCTION_WORDS.values() for w in ws}
+#: Letter groups by language.
+LETTERS = {
+    "en": (" th", "ing ", "wh", "ould ", "'t ", "ly ", "tion of ", " sh", "ee"),
+    "fr": ("é", "è", "ê", "ç", "à", "œ", "û", " d'", " l'", "eau", "tion d", "ette ", " qu", "eurs ", "ées "),
+    "de": ("ä", "ö", "ü", "ß", "sch", "ung", "keit", "lich", " ver", "ein", "ch "),
+    "es": ("ñ", "¿", "ó", "í", "á", "ú", "ción", "idad ", "mente ", " el ", " los ", " las ", "ado ", "ada "),
 }
 _WORD = re.compile(r"[^\W\d_]+")
 #: Names of the languages as prompts spell them.
@@ -34,31 +35,44 @@ _ASK = re.compile(r"(?:\b(?:answer|reply|respond|write|response|output|antworte\
 _WRAP = re.compile(r"^(?:SYSTEM|USER|SOURCE:|PAPER:|TEXT:|ANSWER:|CONTEXT:|### \w+|You extract coarse cues\.)\s*$|^(?:Task|Question|Q|Prompt|User|Instruction)\s*:\s*", re.M | re.I)
 
 
+_NAMED = tuple(x for v in NAMES.values() for x in v.split("|"))
+
+
+def _best(scores: list[float]) -> tuple[str | None, float]:
+    top = max(scores)
+    k = scores.index(top)
+    return (LANGUAGES[k] if top > 0 else None), top - max(x for i, x in enumerate(scores) if i != k)
+
+
 def by_words(text: str) -> tuple[str | None, float, int]:
     """Best language by function words, its lead over the next (in shares of words), and the number of words."""
     words = _WORD.findall(text.lower())
     if not words:
         return None, 0.0, 0
-    s = sorted(((sum(v.get(w, 0.0) for w in words) / len(words), k) for k, v in _WEIGHT.items()), reverse=True)
-    return (s[0][1] if s[0][0] > 0 else None), s[0][0] - s[1][0], len(words)
+    n = len(words)
+    known = [_WEIGHTS[w] for w in words if w in _WEIGHTS]
+    if not known:
+        return None, 0.0, n
+    lang, lead = _best([sum(x) / n for x in zip(*known)])
+    return lang, lead, n
 
 
 def by_letters(text: str) -> tuple[str | None, float]:
-    low = text.lower()
+    """Best language by letter groups and its lead, in groups a word."""
+    low = f" {text.lower()} "
     n = max(1, len(low) / 6)
-    s = sorted(((len(p.findall(low)) / n, k) for k, p in PATTERNS.items()), reverse=True)
-    return (s[0][1] if s[0][0] > 0 else None), s[0][0] - s[1][0]
+    return _best([sum(map(low.count, v)) / n for v in LETTERS.values()])
 
 
 def expected(prompt: str) -> str | None:
     """The language a prompt asks for, else its own."""
-    if m := _ASK.search(prompt):
+    low = prompt.lower()
+    if any(x in low for x in _NAMED) and (m := _ASK.search(prompt)):
         name = m[1].lower()
         return next(k for k, v in NAMES.items() if name in v.split("|"))
     body = _WRAP.sub(" ", prompt)
-    first, _, rest = body.strip().partition("\n")
     lang, lead, n = by_words(body)
     if n and lead < 0.04:
-        lang2, lead2 = by_letters(body)
-        return lang2 if lead2 > lead else lang
+        letters, ahead = by_letters(body)
+        return letters if ahead > lead else lang
     return lang

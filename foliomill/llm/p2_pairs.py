@@ -88,6 +88,8 @@ def vote(yes: bool, no: bool) -> int:
 
 def empty_votes(text: str | None) -> tuple[int, ...]:
     s = text or ""
+    if len(s) > 60 and s.lstrip()[:1] not in ("[", "{", "`") and _LETTERS.search(s):
+        return -1, -1, -1, -1
     bare = _NULLS.sub("", _FENCE.sub("", s))
     has = bool(_LETTERS.search(_FENCE.sub("", s)))
     inner = content(s) if s.strip()[:1] in ("[", "{", "`") else bare
@@ -98,8 +100,10 @@ def refusal_votes(inner: str) -> tuple[int, ...]:
     s = _WRAPPER.sub("", inner.strip())
     s = s.replace("’", "'").lstrip("*\"'“«> ")
     head = s[:240]
-    sentences = [x for x in re.split(r"(?<=[.!?])\s+", s) if x]
     n = len(s.split())
+    if n > 35 and not _OPENING.match(head):  # long and without a refusal's opening: no denial or offer is looked for
+        return -1, -1, -1, -1, 0
+    sentences = [x for x in re.split(r"(?<=[.!?])\s+", s) if x]
     first = sentences[0] if sentences else ""
     return (
         vote(bool(_OPENING.match(head)), True),
@@ -110,15 +114,17 @@ def refusal_votes(inner: str) -> tuple[int, ...]:
     )
 
 
-def squash(text: str) -> str:
-    return " ".join(_WORD.findall(text.lower()))
-
-
-_ECHO = re.compile(r"^\W*(?:q|question|user|prompt|task|answer|frage|pregunta|system|instruction)\W*[:\n]|\b(?:answer|antwort|réponse|respuesta)\s*:?\s*$", re.I)
+_ECHO = re.compile(r"\W*(?:q|question|user|prompt|task|answer|frage|pregunta|system|instruction)\W*[:\n]", re.I)
+_ECHO_END = re.compile(r"\b(?:answer|antwort|réponse|respuesta)\s*:?\s*$", re.I)
 
 
 def copied_votes(prompt: str, inner: str) -> tuple[int, ...]:
-    a = _WORD.findall(_ECHO.sub(" ", inner.lower()))
+    low = inner.lower()
+    if m := _ECHO.match(low):
+        low = low[m.end() :]
+    if m := _ECHO_END.search(low, max(0, len(low) - 24)):
+        low = low[: m.start()]
+    a = _WORD.findall(low)
     if len(a) < 4:
         return -1, -1, -1
     p = _WORD.findall(prompt.lower())
@@ -137,14 +143,14 @@ def language_votes(want: str | None, inner: str) -> tuple[int, ...]:
         return 0, 0, 0
     lang, lead, n = language.by_words(inner)
     letters, ahead = language.by_letters(inner)
-    parts = [x for x in re.split(r"(?<=[.!?])\s+|\n+", inner) if len(x) > 25]
-    agree = [x for x, e, k in map(language.by_words, parts) if e > 0.03]
-    mine = sum(x == want for x in agree)
     weak = n < 5
+    sure = lang == want and lead > 0.12
+    half = len(inner) // 2
+    sides = [] if sure or n < 16 else [x for x, e, _ in (language.by_words(inner[:half]), language.by_words(inner[half:])) if e > 0.03]
     return (
         vote(not weak and lang is not None and lang != want and lead > 0.04, lang == want and lead > 0.0),
         vote(not weak and letters is not None and letters == lang != want and ahead > 0.05, letters == want),
-        vote(bool(agree) and mine * 2 < len(agree), mine * 2 >= len(agree) and bool(agree)),
+        vote(bool(sides) and want not in sides, sure or want in sides),
     )
 
 
