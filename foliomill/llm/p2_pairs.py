@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,10 +127,12 @@ def copied_votes(prompt: str, inner: str) -> tuple[int, ...]:
     if len(a) < 4:
         return -1, -1, -1
     p = _WORD.findall(prompt.lower())
-    have = Counter(p)
-    share = sum(w in have for w in a) / len(a)
+    have = frozenset(p)
+    share = sum(map(have.__contains__, a)) / len(a)
+    if share < 0.5:
+        return -1, -1, -1
     pairs = set(zip(p, p[1:]))
-    run = sum(x in pairs for x in zip(a, a[1:])) / max(1, len(a) - 1)
+    run = sum(map(pairs.__contains__, zip(a, a[1:]))) / max(1, len(a) - 1)
     sa, sp = " ".join(a), " ".join(p)
     half = " ".join(a[: (len(a) + 1) // 2])
     inside = sa in sp or (half in sp and " ".join(a[len(a) // 2 :]) in sp)
@@ -142,15 +143,16 @@ def language_votes(want: str | None, inner: str) -> tuple[int, ...]:
     if want is None:
         return 0, 0, 0
     lang, lead, n = language.by_words(inner)
+    if lang == want and lead > 0.12:
+        return -1, -1, -1
     letters, ahead = language.by_letters(inner)
     weak = n < 5
-    sure = lang == want and lead > 0.12
     half = len(inner) // 2
-    sides = [] if sure or n < 16 else [x for x, e, _ in (language.by_words(inner[:half]), language.by_words(inner[half:])) if e > 0.03]
+    sides = [] if n < 16 else [x for x, e, _ in (language.by_words(inner[:half]), language.by_words(inner[half:])) if e > 0.03]
     return (
         vote(not weak and lang is not None and lang != want and lead > 0.04, lang == want and lead > 0.0),
         vote(not weak and letters is not None and letters == lang != want and ahead > 0.05, letters == want),
-        vote(bool(sides) and want not in sides, sure or want in sides),
+        vote(bool(sides) and want not in sides, want in sides),
     )
 
 
