@@ -38,17 +38,6 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def word_stream(texts: list[list[str]], gap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts in one array with ``gap`` zeros after each, and each text's start."""
-    sizes = np.fromiter((len(x) + gap for x in texts), np.int64, len(texts))
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    out = np.zeros(starts[-1], np.uint64)
-    for words, at in zip(texts, starts.tolist()):
-        if words:
-            out[at : at + len(words)] = [_HASH[w] for w in words]
-    return out, starts[:-1]
-
-
 def rolling(stream: np.ndarray, size: int) -> np.ndarray:
     """Polynomial hash of every ``size`` consecutive words of a stream."""
     n = max(0, len(stream) - size + 1)
@@ -69,9 +58,8 @@ def signatures(texts: list[str | None]) -> tuple[list[int], list[int], list[np.n
     many = np.flatnonzero(counts >= SHINGLE)
     bands: list[np.ndarray | None] = [None] * len(texts)
     if len(many):
-        stream, _ = word_stream([words[i] for i in many], 0)
-        hashes = rolling(stream, SHINGLE)
         n = counts[many]
+        hashes = rolling(np.fromiter((_HASH[w] for i in many for w in words[i]), np.uint64, int(n.sum())), SHINGLE)
         owner = np.repeat(np.arange(len(many)), n)[: len(hashes)]
         inside = owner == np.repeat(np.arange(len(many)), n)[SHINGLE - 1 :]
         hashes, owner = hashes[inside], owner[inside]
