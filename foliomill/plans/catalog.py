@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomill.plans import corpus_queries
+from foliomill.plans import answer_queries, corpus_queries
 
 FLAGSHIP = "parsed_quality_report"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(corpus_queries.QUERIES)
+    return corpus_queries.QUERIES | answer_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(corpus_queries.SQL)
+    return corpus_queries.SQL | answer_queries.SQL
