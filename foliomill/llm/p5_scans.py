@@ -62,37 +62,54 @@ def possible_head(line: str) -> str | None:
     return c if len(c) > 8 and not any(x.isdigit() for x in c) else None
 
 
+def count_pairs(ids: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (centre, context) pairs of word ids within WIDTH, as centre * size + context, and their counts; negative ids pair with nothing."""
+    codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    for start in range(0, len(ids), 500):
+        near = []
+        for x in ids[start : start + 500]:
+            for k in range(1, WIDTH + 1):
+                a, b = x[:-k], x[k:]
+                ok = (a >= 0) & (b >= 0)
+                near += [a[ok] * size + b[ok], b[ok] * size + a[ok]]
+        if near:
+            new, n = np.unique(np.concatenate(near), return_counts=True)
+            codes, place = np.unique(np.concatenate([codes, new]), return_inverse=True)
+            counts = np.bincount(place, weights=np.concatenate([counts, n]), minlength=len(codes)).astype(np.int64)
+    return codes, counts
+
+
+def add_rows(matrix: np.ndarray, index: np.ndarray, change: np.ndarray) -> None:
+    """matrix[index] += RATE * change, repeated rows summed and damped by the root of their number."""
+    order = np.argsort(index, kind="stable")
+    rows, first, n = np.unique(index[order], return_index=True, return_counts=True)
+    matrix[rows] += RATE * np.add.reduceat(change[order], first, axis=0) / np.sqrt(n)[:, None]
+
+
 def train_partition(ids: list[np.ndarray], inner: np.ndarray, outer: np.ndarray, weights: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Skip-gram with negative sampling over texts of word ids; the updated vectors and how often each word was a centre."""
+    """Skip-gram with negative sampling over texts of word ids; the updated vectors and how often each word was a centre.
+
+    All pairs of the texts are counted, and each distinct pair is one step weighted by the root of its count, which does what thinning out
+    frequent words does, at the cost of the distinct pairs only."""
     rng = np.random.default_rng(seed)
     inner, outer = inner.copy(), outer.copy()
-    left, right = [], []
-    for x in ids:
-        for k in range(1, WIDTH + 1):
-            left += [x[:-k], x[k:]]
-            right += [x[k:], x[:-k]]
-    a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (left, right))
-    ok = (a >= 0) & (b >= 0)
-    a, b = a[ok], b[ok]
-    seen = np.bincount(a, minlength=len(inner)) if len(a) else np.zeros(len(inner), np.int64)
-    # Frequent words are thinned out, as usual for skip-grams: all words keep about the square root of their count.
-    share = seen / max(1, seen.sum())
-    keep = rng.random(len(a)) < np.minimum(1, np.sqrt(1e-3 / np.maximum(share[a], 1e-12))) * np.minimum(1, np.sqrt(1e-3 / np.maximum(share[b], 1e-12)))
-    order = rng.permutation(np.flatnonzero(keep))
+    codes, counts = count_pairs(ids, len(inner))
+    a, b = codes // len(inner), codes % len(inner)
+    seen = np.bincount(a, weights=counts, minlength=len(inner)).astype(np.int64)
+    step = np.minimum(np.sqrt(counts), 8.0).astype(np.float32)
     noise = np.cumsum(weights**0.75)
+    order = rng.permutation(len(codes))
     for at in range(0, len(order), BATCH):
-        c, o = a[order[at : at + BATCH]], b[order[at : at + BATCH]]
-        bad = np.searchsorted(noise, rng.random((len(c), NEGATIVES)) * noise[-1]).clip(0, len(inner) - 1)
-        targets = np.concatenate([o[:, None], bad], axis=1)
-        v, u = inner[c], outer[targets]
+        k = order[at : at + BATCH]
+        bad = np.searchsorted(noise, rng.random((len(k), NEGATIVES)) * noise[-1]).clip(0, len(inner) - 1)
+        targets = np.concatenate([b[k][:, None], bad], axis=1)
+        v, u = inner[a[k]], outer[targets]
         g = -1 / (1 + np.exp(-np.einsum("nd,nkd->nk", v, u)))
         g[:, 0] += 1
-        dv, du = np.einsum("nk,nkd->nd", g, u), g[:, :, None] * v[:, None, :]
-        for matrix, index, change in ((inner, c, dv), (outer, targets.ravel(), du.reshape(-1, DIMENSIONS))):
-            hits = np.bincount(index, minlength=len(matrix))[:, None]
-            total = np.zeros_like(matrix)
-            np.add.at(total, index, change)
-            matrix += RATE * total / np.maximum(1, np.sqrt(hits))
+        g *= step[k][:, None]
+        dv, du = np.einsum("nk,nkd->nd", g, u), (g[:, :, None] * v[:, None, :]).reshape(-1, DIMENSIONS)
+        add_rows(inner, a[k], dv)
+        add_rows(outer, targets.ravel(), du)
     return inner, outer, seen
 
 
