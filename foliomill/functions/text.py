@@ -116,7 +116,7 @@ def image_links(c: Column | str) -> Column:
 def section(c: Column | str, title: str) -> Column:
     """Text between a heading of that title and the next heading."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.trim(F.regexp_extract(c, rf"(?ims)^#{{1,6}}\s+{title}\s*$(.*?)(?=^#{{1,6}}\s|\z)", 1))
+    return F.regexp_replace(F.regexp_extract(c, rf"(?ims)^#{{1,6}}\s+{title}\s*$(.*?)(?=^#{{1,6}}\s|\z)", 1), r"^\s+|\s+$", "")
 
 
 def without_thinking(c: Column | str) -> Column:
