@@ -3,7 +3,7 @@
 Every answer of either origin is joined with its prompt and shown to noisy labelling functions, some for each defect.  The
 counts of their vote patterns (a few hundred rows whatever the corpus) train one expectation-maximisation label model a defect;
 posteriors go back to the answers by their pattern.  Labels whose posterior reaches the defect's validated cutoff are kept, also
-several of one answer (``p2_labels``); ``p2_found`` names the first by posterior and order of severity.
+several of one answer (``p2_labels``); ``p2_found`` names the severest of them.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from foliomill.llm import closing, labelmodel, language
 from foliomill.llm.p1_truncation import terminality_table
 from foliomill.plans.runtime import cut, table
 
-#: Order of severity: the first wins where posteriors are equal.
+#: Order of severity.
 DEFECTS = ("empty", "refusal", "copied_prompt", "other_language", "truncated")
 
 _FENCE = re.compile(r"```\w*")
@@ -255,8 +255,11 @@ def p2_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return defects(*_tables(spark, sf_dir)).withColumn("posterior", F.round("posterior", 4))
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = defects(*_tables(spark, sf_dir))
+def severest(found: DataFrame) -> DataFrame:
+    """One label an answer: the first in order of severity."""
     rank = F.array_position(F.array(*map(F.lit, DEFECTS)), F.col("defect"))
-    best = found.groupBy("origin", "pair_id").agg(F.min_by("defect", F.struct(rank)).alias("defect"))
-    return best.select("origin", "pair_id", "defect")
+    return found.groupBy("origin", "pair_id").agg(F.min_by("defect", F.struct(rank)).alias("defect")).select("origin", "pair_id", "defect")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return severest(defects(*_tables(spark, sf_dir)))

@@ -1,7 +1,7 @@
 """Problem 7: mixing sources to target weights.
 
-Weights of the sources are a temperature family: target weight times (token share / target weight) to an exponent, normalised.  The
-exponent 0 is the target mix, 1 the natural one.  Unless a budget is given, it is the greatest total at which the target mix keeps every
+Weights of the sources are a temperature family: target weight times (token share / target weight) to an exponent, normalised, where token
+shares count every record as often as it may be repeated.  The exponent 0 is the target mix, 1 uses up all that the sources can give.  Unless a budget is given, it is the greatest total at which the target mix keeps every
 repetition limit, so the exponent stays 0; for a larger budget the least exponent that keeps the limits is bisected.  A source's share of the budget
 is realised as whole blocks (each a permutation of all its records) and a last block cut where the budget ends; no source is ever
 sorted in one task.
@@ -45,8 +45,8 @@ def token_counts(documents: DataFrame, vocabulary: str = tokenizer.BYTE_BPE_50K)
 
 
 def tempered(sources: list[Source], exponent: float) -> list[float]:
-    total = sum(s.tokens for s in sources)
-    raw = [s.weight * (s.tokens / total / s.weight) ** exponent for s in sources]
+    total = sum(s.tokens * s.repeats for s in sources)
+    raw = [s.weight * (s.tokens * s.repeats / total / s.weight) ** exponent for s in sources]
     return [x / sum(raw) for x in raw]
 
 
