@@ -7,8 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliomill.functions import arrow, text
-from foliomill.operators import relations, selection
+from foliomill.functions import arrow, ids, text
+from foliomill.operators import relations, selection, validate
 from foliomill.plans.runtime import table
 
 PDF_COLUMNS = ["document_id", "source", "original_filename", "original_relative_path", "shard", "member_path", "size_bytes", "sha256", "metadata", "discovered_at"]
@@ -368,8 +368,26 @@ def reconcile_sizes(spark, sf):
     return relations.reconcile(first, last, "document_id", ["size_bytes", "sha256"]).groupBy("status").agg(F.count("*").alias("n"))
 
 
+def package_violations(spark, sf):
+    """Rules that discovered files break: path, digest, size, archive member, shard name."""
+    p = papers(spark, sf).join(table(spark, sf, "pdf_entries", ["document_id", "member_path"]).groupBy("document_id").agg(F.min("member_path").alias("member_path")), "document_id")
+    rules = {"path": validate.unsafe_path(F.col("original_relative_path"), ".pdf"), "digest": validate.bad_digest(F.col("sha256")), "size": validate.bad_size(F.col("size_bytes")), "member": F.col("member_path") != F.concat("document_id", F.lit(".pdf")), "year": ~F.coalesce(F.col("year").between(1900, 2100), F.lit(False))}
+    return validate.violations(p, "document_id", rules)
+
+
+def quota_targets(spark, sf):
+    """Whether each source's quota of accepted papers is reached."""
+    ok = _rejected(spark, sf).filter("rejection is null").select("source")
+    return validate.targets_met(ok, "source", {"acl": 20, "biology": 200, "medicine": 120, "law": 1})
+
+
+def paper_strata(spark, sf):
+    """Papers by stratum: source and year, with fallbacks."""
+    return papers(spark, sf).groupBy(ids.stratum(None, F.col("source"), F.col("year")).alias("stratum")).agg(F.count("*").alias("n"))
+
+
 QUERIES = {f.__name__: f for f in (
-    latest_papers, text_normalize, safe_path_ids, document_keys, license_family_counts, candidate_rejections, rejection_funnel, quota_selection, quota_stop, source_cap, domain_cascade, term_score_domain, page_stats, page_histogram, prune_plan,
+    package_violations, quota_targets, paper_strata, latest_papers, text_normalize, safe_path_ids, document_keys, license_family_counts, candidate_rejections, rejection_funnel, quota_selection, quota_stop, source_cap, domain_cascade, term_score_domain, page_stats, page_histogram, prune_plan,
     prune_summary, stratified_split, sample_split, split_counts, hamilton_allocation, shard_plan, shard_report, exact_duplicates, bytes_by_source, parsed_quality_rows, parsed_quality_report, abstract_similarity, plain_texts, markdown_counts, top_words,
     split_paths, split_duplicates, split_intersection, split_other, split_papers, paper_versions, export_sample, id_repair, reconcile_sizes,
 )}
@@ -378,6 +396,14 @@ _HASHED = "row_number() OVER (PARTITION BY source ORDER BY md5('{}' || '|' || do
 _SLUG = "rtrim(substr(regexp_replace(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), '-')"
 
 SQL = {
+    "package_violations": f"""WITH {PAPERS}, m AS (SELECT document_id, min(member_path) AS mp FROM pdf_entries GROUP BY 1), v AS (
+  SELECT p.document_id, unnest([
+    CASE WHEN coalesce(contains(original_relative_path, chr(92)) OR len(list_filter(string_split(original_relative_path, '/'), lambda x: x IN ('', '.', '..'))) > 0, true) OR NOT ends_with(lower(original_relative_path), '.pdf') THEN 'path' END,
+    CASE WHEN NOT coalesce(regexp_full_match(sha256, '[0-9a-f]{{64}}'), false) THEN 'digest' END, CASE WHEN coalesce(size_bytes < 0, true) THEN 'size' END,
+    CASE WHEN coalesce(mp <> p.document_id || '.pdf', true) THEN 'member' END, CASE WHEN NOT coalesce(year BETWEEN 1900 AND 2100, false) THEN 'year' END]) AS rule
+  FROM papers p JOIN m ON m.document_id = p.document_id) SELECT * FROM v WHERE rule IS NOT NULL""",
+    "quota_targets": f"WITH {REJECTED}, t(source, target) AS (VALUES ('acl', 20), ('biology', 200), ('medicine', 120), ('law', 1)), c AS (SELECT source, count(*) AS n FROM rejected WHERE rejection IS NULL GROUP BY 1) SELECT t.source, coalesce(n, 0) AS n, target, coalesce(n, 0) >= target AS met FROM t LEFT JOIN c ON c.source = t.source",
+    "paper_strata": f"WITH {PAPERS} SELECT coalesce(nullif(trim(source), ''), 'unknown') || ':' || coalesce(year::VARCHAR, 'unknown') AS stratum, count(*) AS n FROM papers GROUP BY 1",
     "latest_papers": f"WITH {PAPERS} SELECT document_id, source, year, license, size_bytes FROM papers",
     "text_normalize": "WITH d AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[ \\t\\r\\n]+', ' ', 'g'), ' ') AS t FROM documents) SELECT doc_id, md5(t) AS digest, length(t)::BIGINT AS n_chars FROM d",
     "safe_path_ids": f"WITH {PAPERS} SELECT document_id, coalesce(nullif(regexp_replace(regexp_replace(original_filename, '[^\\p{{L}}\\p{{N}}._-]', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'unknown') AS safe_name, {_SLUG.format('title')} AS slug FROM papers",
