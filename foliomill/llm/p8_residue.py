@@ -152,6 +152,8 @@ class Index:
             for k in self.postings[t]:
                 held[k] += self.idf[t]
         best = (0.0, "")
+        if len(window) >= 4 and len(bag) == 1 and not window[0].isdigit():
+            return 1.5, "filler"  # one word over and over, whatever the word
         latin = bag & self.latin
         if len(latin) >= 4:  # filler is often shuffled, so its exemplars also count as one pool
             best = (min(len(latin) / 5, sum(self.idf[t] for t in latin) / total / 0.75), "filler")

@@ -27,7 +27,7 @@ _NUMBER_LINE = re.compile(r"[-–]?\d+(?:[.,]\d+)*\s?%?$")
 _PAGE = re.compile(r"(?:[\s\-–—_~*·•|=<>\[({./]*)(?:(?:page|pag|pág|página|seite|blatt|folio|fol|p|s|pp|n[°o])\b\.?\s*)?(?P<n>[\dlIOoSBZ|!]{1,5}|\d(?:\s\d){1,3}|[ivxlc]{1,9}|[IVXLC]{1,9})(?:\s*(?:/|of|von|de|sur|aus)\s*[\dlIO]{1,5})?(?:[\s\-–—_~*·•|=<>\])}]*)$", re.I)
 _ROMAN = re.compile(r"(?:c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$", re.I)
 _LIST = re.compile(r"\s*(?:[-*•–+]|\(?\d{1,3}[.)]|\(?[a-z][.)])\s+\S")
-_HEAD_NUMBER = re.compile(r"^(?P<left>\W{0,2}[\dlOIS]{1,5}\W{0,2}?(?:\s{2,}|\s*[|·•—–]\s*))?(?P<core>.*?)(?P<right>(?:\s{2,}|\s*[|·•—–]\s*)\W{0,2}[\dlOIS]{1,5}\W{0,2})?$")
+_HEAD_NUMBER = re.compile(r"^(?P<left>\W{0,2}[\dlOIS]{1,5}\W{0,2}?(?:\s{2,}|\s+[|·•—–]\s+))?(?P<core>.*?)(?P<right>(?:\s{2,}|\s+[|·•—–]\s+)\W{0,2}[\dlOIS]{1,5}\W{0,2})?$")
 _SENTENCE_END = re.compile(r"[.!?:;][\"'”’»)\]]*$")
 
 

@@ -91,7 +91,7 @@ def test_encoded(spark):
     assert p6_encode.encoded(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("text", ["# {{ title }}\n\nWe compare two sensors.", "The ${venue} was chosen.", "By [[author_list]]", "%(doi)s", "__SECTION_BODY__", "<Author List>", "«title»", "#{first_author}", "[INSERT ABSTRACT]", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "Ipsum lorem magna elit dolor sit labore aliqua veniam.", "404 Not Found", "Oops! Something went wrong. Please try again later.", "Bitte aktivieren Sie JavaScript, um diesen Artikel zu lesen.", "Accès refusé.", "Your text starts here.", "A sound text.\n\nTODO: write the conclusion\n\nMore text."])
+@pytest.mark.parametrize("text", ["# {{ title }}\n\nWe compare two sensors.", "The ${venue} was chosen.", "By [[author_list]]", "%(doi)s", "__SECTION_BODY__", "<Author List>", "«title»", "#{first_author}", "[INSERT ABSTRACT]", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "Ipsum lorem magna elit dolor sit labore aliqua veniam.", "404 Not Found", "Oops! Something went wrong. Please try again later.", "Bitte aktivieren Sie JavaScript, um diesen Artikel zu lesen.", "Accès refusé.", "xxxx xxxx xxxx xxxx xxxx", "Your text starts here.", "A sound text.\n\nTODO: write the conclusion\n\nMore text."])
 def test_residue(text):
     index = p8_residue.Index({"": 1000, "the": 900, "a": 800, "of": 700, "not": 300, "to": 600})
     assert p8_residue.residue(text, index)[0] >= 1
