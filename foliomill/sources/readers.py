@@ -225,3 +225,31 @@ class PagedSource(DataSource):
 
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
         return _PagesStream(self.options["path"])
+
+
+#: A harvested record as XML, namespaces stripped.
+HARVEST = "id string, created string, updated string, title string, categories string, license string, doi string, abstract string, authors struct<author:array<struct<keyname:string,forenames:string,suffix:string>>>"
+
+
+def harvest_records(c: Column) -> Column:
+    """A harvested record's XML as a struct: squeezed fields, author names as forenames keyname suffix, categories as an array, and a first version from
+    the creation date."""
+    r = F.from_xml(F.regexp_replace(F.regexp_replace(c, r"\sxmlns(:\w+)?=\"[^\"]*\"", ""), r"(</?)\w+:", "$1"), HARVEST, {"rowTag": "arXiv"})
+    clean = lambda x: F.nullif(F.trim(F.regexp_replace(x, r"\s+", " ")), F.lit(""))
+    names = F.transform(r["authors"]["author"], lambda a: F.concat_ws(" ", a["forenames"], a["keyname"], a["suffix"]))
+    versions = F.when(r["created"].isNotNull(), F.array(F.struct(F.lit("v1").alias("version"), r["created"].alias("created"))))
+    return F.struct(*(clean(r[x]).alias(x) for x in ("id", "title", "license", "doi", "abstract")), names.alias("authors"), F.filter(F.split(r["categories"], r"\s+"), lambda x: x != "").alias("categories"), versions.alias("versions"), F.coalesce(r["updated"], r["created"]).alias("update_date"))
+
+
+def first_format(spark: SparkSession, folder: str) -> DataFrame:
+    """A dataset kept as Parquet, JSON lines or CSV, whichever is there first in that order."""
+    for pattern, read in (("*.parquet", spark.read.parquet), ("*.jsonl", spark.read.json), ("*.csv", spark.read.option("header", True).csv)):
+        if _exists(spark, f"{folder}/{pattern}"):
+            return read(f"{folder}/{pattern}")
+    raise FileNotFoundError(folder)
+
+
+def by_folder(spark: SparkSession, glob: str, schema: str, depth: int = 2, name: str = "condition") -> DataFrame:
+    """JSON lines of many folders; the folder ``depth`` above each file names its condition; rows of broken lines are left out."""
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(glob)
+    return rows.withColumn(name, F.element_at(F.split(F.col("_metadata.file_path"), "/"), -depth))

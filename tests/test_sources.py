@@ -120,3 +120,25 @@ def test_append_new(spark, tmp_path):
     assert incremental.append_new(a, p, ["id"]).count() == 2
     assert incremental.append_new(spark.createDataFrame([(2, "q"), (3, "r")], "id int, v string"), p, ["id"]).count() == 1
     assert spark.read.parquet(p).count() == 3
+
+
+def test_harvest(spark):
+    xml = '<x:arXiv xmlns:x="u" xmlns="v"><id>1</id><created>2001-02-03</created><title>A\n  b</title><categories>eess.SP  physics.optics</categories><authors><author><keyname>L</keyname><forenames>F</forenames><suffix>Jr</suffix></author><author><keyname>M</keyname></author></authors><doi> </doi></x:arXiv>'
+    r = spark.createDataFrame([(xml,)], "c string").select(readers.harvest_records(F.col("c")).alias("r")).first()["r"]
+    assert (r["id"], r["title"], r["authors"], r["categories"], r["doi"], r["versions"][0]["version"], r["update_date"]) == ("1", "A b", ["F L Jr", "M"], ["eess.SP", "physics.optics"], None, "v1", "2001-02-03")
+
+
+def test_formats_and_folders(spark, tmp_path):
+    d = tmp_path / "d"
+    d.mkdir()
+    (d / "a.csv").write_text("id,v\n1,x\n")
+    assert readers.first_format(spark, str(d)).columns == ["id", "v"]
+    (d / "a.jsonl").write_text('{"k": 1}\n{"k": 2}\n')
+    assert readers.first_format(spark, str(d)).count() == 2
+    with pytest.raises(FileNotFoundError):
+        readers.first_format(spark, str(tmp_path))
+    for c in ("base", "plus"):
+        (tmp_path / "q" / c).mkdir(parents=True)
+        (tmp_path / "q" / c / "rows.jsonl").write_text('{"id": 1, "query": "q"}\n{"id": 2}\n')
+    rows = readers.by_folder(spark, str(tmp_path / "q" / "*" / "*.jsonl"), "id int, query string").filter("query is not null").collect()
+    assert {r["condition"] for r in rows} == {"base", "plus"} and len(rows) == 2
