@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomill.llm import scan_lines
-from foliomill.plans.runtime import at_least, cut, table
+from foliomill.plans.runtime import cut, table
 
 #: Least share of all tokens: of a word of the vocabulary (so at most 10^6 words), and of one with a vector (at most 50,000).
 WORD_SHARE, VECTOR_SHARE = 1e-6, 2e-5
@@ -160,8 +160,7 @@ def repaired(samples: DataFrame) -> DataFrame:
 
     Rows without a sample_id are left out; a null or empty markdown gives an empty text and no noise; repeated rows count once (the
     least text); texts are read whole; an empty table gives an empty result; other columns are ignored."""
-    base = at_least(samples.filter("sample_id is not null").groupBy("sample_id").agg(F.min("markdown").alias("markdown")))
-    base = cut(base)
+    base = cut(samples.filter("sample_id is not null").groupBy("sample_id").agg(F.min("markdown").alias("markdown")))
     model = learn(base)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

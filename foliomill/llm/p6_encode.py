@@ -111,7 +111,8 @@ def encoded(documents: DataFrame, vocabulary: str = tokenizer.BYTE_BPE_50K) -> D
                 part = pdf.iloc[start : start + 500]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "ids": encode_texts(part["text"].tolist(), known, vocabulary)})
 
-    return at_least(documents.select("doc_id", "text")).mapInPandas(run, "doc_id long, ids array<int>")
+    # Ids travel as text: a null among long integers would turn a batch's ids into floats.
+    return at_least(documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")).mapInPandas(run, "doc_id string, ids array<int>").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

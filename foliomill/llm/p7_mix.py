@@ -41,7 +41,9 @@ def token_counts(documents: DataFrame, vocabulary: str = tokenizer.BYTE_BPE_50K)
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "tokens": [len(encode(x)) if x else 0 for x in pdf["text"]]})
 
-    return at_least(documents.select("doc_id", "source", "text")).mapInPandas(run, "doc_id long, source string, tokens long")
+    # Ids travel as text: a null among long integers would turn a batch's ids into floats.
+    rows = at_least(documents.select(F.col("doc_id").cast("string").alias("doc_id"), "source", "text"))
+    return rows.mapInPandas(run, "doc_id string, source string, tokens long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def tempered(sources: list[Source], exponent: float) -> list[float]:

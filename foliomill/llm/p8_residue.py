@@ -211,7 +211,9 @@ def judged(documents: DataFrame) -> DataFrame:
             done = [residue(x, index) if x and not x.isspace() else (0.0, "") for x in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": [s for s, _ in done], "kind": [k for _, k in done]})
 
-    return at_least(documents.select("doc_id", "text")).mapInPandas(run, "doc_id long, score double, kind string")
+    # Ids travel as text: a null among long integers would turn a batch's ids into floats.
+    rows = at_least(documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
+    return rows.mapInPandas(run, "doc_id string, score double, kind string").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

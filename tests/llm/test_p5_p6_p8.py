@@ -82,9 +82,10 @@ def test_encoding_equals_the_public_library():
 
 
 def test_encoded(spark):
-    df = spark.createDataFrame([(i, x, "z") for i, x in enumerate(TEXTS)] + [(2, "Hello world", "z")], "doc_id long, text string, ids string")
+    df = spark.createDataFrame([(i, x, "z") for i, x in enumerate(TEXTS)] + [(2, "Hello world", "z"), (None, "x", "z"), (2**62 + 1, "x", "z")], "doc_id long, text string, ids string")
     rows = p6_encode.encoded(df).collect()
-    assert len(rows) == len(TEXTS) + 1
+    assert len(rows) == len(TEXTS) + 3 and {None, 2**62 + 1} <= {r["doc_id"] for r in rows}
+    rows = [r for r in rows if r["doc_id"] is not None and r["doc_id"] < 100]
     back = {v: k for k, v in tokenizer.ranks().items()}
     for r in rows:
         assert b"".join(back[i] for i in r["ids"]).decode() == (TEXTS[r["doc_id"]] or "")
