@@ -211,9 +211,9 @@ def furniture(lines: list[str], heads: frozenset[str] = frozenset()) -> dict[int
     return out
 
 
-def flow(lines: list[str], gone: dict[int, str]) -> list[list[int]]:
-    """Paragraphs as lists of line indices: text lines that follow each other but for furniture and the blanks around it."""
-    out: list[list[int]] = []
+def flow(lines: list[str], gone: dict[int, str]) -> list[tuple[bool, list[int]]]:
+    """Blocks as line indices, each with whether it is a paragraph: text lines that follow each other but for furniture and the blanks around it."""
+    out: list[tuple[bool, list[int]]] = []
     current: list[int] = []
     blank = False
     passed = False  # furniture since the last text line
@@ -225,20 +225,20 @@ def flow(lines: list[str], gone: dict[int, str]) -> list[list[int]]:
         if not s:
             blank = True
             continue
-        plain = not s.startswith(("#", "|", "$")) and not _LIST.match(line) and not _NUMBER_LINE.match(s)
         last = lines[current[-1]].rstrip() if current else ""
+        plain = is_plain(line) or bool(current) and not blank and not passed and last[-1:] not in ":" and bool(re.match(r"\d{1,3}\. ", s))  # a sentence that ends in a number
         goes_on = current and plain and (not blank or passed and not re.search(r"[.!?:][\"'”’»)\]]*$", last))
         if goes_on:
             current.append(i)
         else:
             if current:
-                out.append(current)
+                out.append((True, current))
             current = [i] if plain else []
             if not plain:
-                out.append([i])
+                out.append((False, [i]))
         blank = passed = False
     if current:
-        out.append(current)
+        out.append((True, current))
     return out
 
 
@@ -253,8 +253,8 @@ def read(markdown: str, model: Model) -> tuple[list[tuple[int, str]], str]:
     gone = furniture(lines, model.heads)
     found = [(i + 1, kind) for i, kind in gone.items()]
     blocks: list[str] = []
-    for part in flow(lines, gone):
-        if len(part) == 1 and not is_plain(lines[part[0]]):
+    for paragraph, part in flow(lines, gone):
+        if not paragraph:
             blocks.append(("\n" if blocks and blocks[-1][-1:] == "\x00" else "") + lines[part[0]].rstrip() + "\x00")
             continue
         words: list[tuple[str, int, int, int]] = []  # token, line, line of its second piece, length of its first piece
