@@ -88,9 +88,10 @@ def word_set(c: Column | str) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Of two sets; two empty sets agree, an empty and a full one do not."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+    """Of two arrays without repeats; two empty sets agree, an empty and a full one do not."""
+    common = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - common
+    return F.when(union == 0, 1.0).otherwise(common / union)
 
 
 def flag(c: Column | str) -> Column:
