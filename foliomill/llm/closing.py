@@ -31,6 +31,8 @@ _ABBREV = re.compile(r"(?:^|[\s(\[])(?:al|e\.g|i\.e|cf|vs|fig|figs|eq|eqs|vol|pp
 _NUMBER_END = re.compile(r"(\S+)\s+\(?(\d+(?:[.,]\d+)*)([.!?]?)$")
 _NUMBER_IN = re.compile(r"([^\W\d_]\S*) (\d+(?:[.,]\d+)*)([.!?]?)(?= )")
 _CORE = re.compile(r"[^\w'’\-]+")
+#: First words of questions and instructions.
+_REQUEST = re.compile(r"\W*(?:what|how|which|why|who|is every|are|does|do|describe|list|write|summari[sz]e|explain|que|quels?|quelles?|comment|pourquoi|décrivez|résumez|expliquez|was|wie|welche[rsn]?|warum|beschreiben|fassen|erklären|qué|cuál|cuáles|cómo|por qué|describa|resuma|explique)\b", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-ZÀ-Ý¿¡])")
 _SOME = re.compile(r"\w")
 _PUNCT_END = re.compile(r"[.!?][\"'”’»)\]]*$")
@@ -207,4 +209,7 @@ def score(text: str | None, closes: np.ndarray, total: np.ndarray) -> float:
     # An unstopped sentence after stopped ones is cut; a lone one is whole if its last word all but always closes.
     if re.search(r"[.!?][\"'”’»)\]]*\s", bare):
         return 0.0
+    # A question or instruction given back needs no stop; it is cut if its last word is no word.
+    if _REQUEST.match(body):
+        return float(total[slot("word", core(words[-1]))] > 0)
     return max(0.0, terminality(closes, total, "word", core(words[-1]), 0.0) - 0.4) / 0.6
