@@ -57,6 +57,9 @@ _OFFER = re.compile(
 _YET = re.compile(r"\b(?:but (?:it|the|they|here|there)\b|; there (?:was|were|is)|however,? (?:it|the)|nevertheless|aber (?:es|die|der|das) (?!mir)|mais (?:il|elle|la|le) |pero (?:el|la|era|trataba))", re.I)
 
 
+_IMPOSSIBLE = re.compile(r"not possible|impossible|nicht möglich|imposible", re.I)
+
+
 def leaves(value) -> Iterator[str]:
     if isinstance(value, dict):
         for x in value.values():
@@ -104,12 +107,16 @@ def refusal_votes(inner: str) -> tuple[int, ...]:
         return -1, -1, -1, -1, 0
     sentences = [x for x in re.split(r"(?<=[.!?])\s+", s) if x]
     first = sentences[0] if sentences else ""
+    yet = _YET.search(first)
+    # Told of others or quoted, or followed by an answer all the same, a denial is none.
+    answered = bool(yet) and not _IMPOSSIBLE.search(first[yet.end() :]) and not _DENIAL.search(first[yet.start() :])
+    told = bool(re.search(r"[“\"«][^”\"»]*(?:sorry|cannot|can't|désolé|leider|lo siento)", first, re.I)) or bool(re.match(r"(?:we|the authors)\b", s, re.I))
     return (
         vote(bool(_OPENING.match(head)), True),
-        vote(bool(_DENIAL.search(first)) and not _YET.search(first), True),
+        vote(bool(_DENIAL.search(first)) and not answered and not told, True),
         vote(bool(_OFFER.search(s[:400])), n > 35),
         vote(0 < n <= 35 and len(sentences) <= 3, n > 45 or len(sentences) > 4 or n == 0),
-        vote(False, bool(_YET.search(first)) or bool(re.search(r"[“\"«][^”\"»]*(?:sorry|cannot|can't|désolé|leider|lo siento)", first, re.I)) or bool(re.match(r"(?:we|the authors)\b", s, re.I))),
+        vote(False, answered or told),
     )
 
 
@@ -117,7 +124,7 @@ _ECHO = re.compile(r"\W*(?:q|question|user|prompt|task|answer|frage|pregunta|sys
 _ECHO_END = re.compile(r"\b(?:answer|antwort|réponse|respuesta)\s*:?\s*$", re.I)
 
 
-def copied_votes(prompt: str, inner: str) -> tuple[int, ...]:
+def copied_votes(prompt: str, inner: str, cut_off: bool = False) -> tuple[int, ...]:
     low = inner.lower()
     if m := _ECHO.match(low):
         low = low[m.end() :]
@@ -136,6 +143,8 @@ def copied_votes(prompt: str, inner: str) -> tuple[int, ...]:
     sa, sp = " ".join(a), " ".join(p)
     half = " ".join(a[: (len(a) + 1) // 2])
     inside = sa in sp or (half in sp and " ".join(a[len(a) // 2 :]) in sp)
+    if cut_off and not inside:  # the question, and then an answer that breaks off
+        return -1, -1, -1
     return vote(share >= 0.82, share < 0.7), vote(run >= 0.6, run < 0.5), vote(inside, share < 0.75)
 
 
@@ -200,12 +209,15 @@ def votes(pairs: DataFrame, model) -> DataFrame:
             rows = []
             for prompt, text, tokens, budget in zip(pdf["prompt"], pdf["text"], pdf["tokens"], pdf["budget"]):
                 inner = content(text) if text else ""
+                whole = closing.score(text, closes, total)
+                cut_off = whole < closing.CUTOFF
+                known = inner.rsplit(None, 1)[0] if cut_off and " " in inner else inner  # a piece of a word has no language
                 by = {
                     "empty": empty_votes(text),
                     "refusal": refusal_votes(inner),
-                    "copied_prompt": copied_votes(prompt, inner),
-                    "other_language": language_votes(language.expected(prompt), inner),
-                    "truncated": truncated_votes(text, closing.score(text, closes, total), tokens, budget),
+                    "copied_prompt": copied_votes(prompt, inner, cut_off),
+                    "other_language": language_votes(language.expected(prompt), known),
+                    "truncated": truncated_votes(text, whole, tokens, budget),
                 }
                 rows.append([encode(by[d]) for d in DEFECTS])
             out = pdf[["origin", "pair_id"]].copy()

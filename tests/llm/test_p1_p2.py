@@ -110,3 +110,8 @@ def test_defects(spark):
     assert not {k for k in got if k not in want}
     empty = [x.limit(0) for x in pairs_tables(spark)]
     assert p2_pairs.defects(*empty).count() == 0
+
+
+@pytest.mark.parametrize("text, yes", [("Thank you for the question, but it is not possible for me to fulfil this.", True), ("Je suis désolé, mais il m'est impossible de décrire la dégradation.", True), ("I'm sorry that I cannot recall the title, but it compared a sensor with a parser.", False), ("We cannot exclude that the sensor affects the parser, and the authors decline to give a sen", False), ("The corpus contains turns such as “I'm sorry, I can't help with that”, which are tagged.", False), ("My guidelines keep me from answering.", True)])
+def test_refusal_votes(text, yes):
+    assert (sum(p2_pairs.refusal_votes(text)) > 0) == yes
