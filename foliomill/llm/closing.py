@@ -77,7 +77,7 @@ def kind_of(s: str) -> str:
         return "json"
     if _BULLET.match(s):
         return "list"
-    if s.count(",") >= 1 and _KEYWORDS.match(s) and not _PUNCT_END.search(s):
+    if "," in s and "\n" not in s and _KEYWORDS.match(s) and not _PUNCT_END.search(s):
         return "keywords"
     return "prose"
 

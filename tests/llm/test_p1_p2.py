@@ -23,7 +23,7 @@ def model():
 
 @pytest.mark.parametrize(
     "text",
-    [None, "", "  \n", "...", "No.", "null", SENTENCES[0], SENTENCES[3], PROSE + " 🙂", "“" + SENTENCES[1] + "”", ITEMS, "Keywords: clinical sensor, neural parser, porous assay", '[{"cue": "a", "category": "b"}]', '```json\n[{"cue": "a"}]\n```', '{"a": "b [ \\" {"}', "Two panels.", "About 3 %."],
+    [None, "", "  \n", "...", "No.", "null", SENTENCES[0], SENTENCES[3], PROSE + " 🙂", "“" + SENTENCES[1] + "”", ITEMS, "Keywords: clinical sensor, neural parser, porous assay", '[{"cue": "a", "category": "b"}]', '```json\n[{"cue": "a"}]\n```', '{"a": "b [ \\" {"}', "Two panels.", "About 3 %.", "Task: Describe the sensor, and the parser.\n\nUse neutral wording.\n\nANSWER:"],
 )
 def test_whole(model, text):
     assert closing.score(text, *model) >= closing.CUTOFF
