@@ -2,6 +2,7 @@ import datetime as dt
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from foliomill.llm import p3_overlap, p4_sample, p7_mix
@@ -83,6 +84,34 @@ def test_hot_passages_meet_through_runs(spark, monkeypatch):
     assert [(r["entry_id_a"], r["entry_id_b"], r["kind"]) for r in got] == [(1, 2, "abstract")]
 
 
+def test_hot_family_equals_brute_force(spark):
+    """A family of 120 variants of one abstract, at about 5 % edits each: nearly all its grams are widespread."""
+    rng = random.Random(11)
+    base = text(rng, 115).split()
+    variants = [" ".join(f"new{rng.randrange(9999)}" if rng.random() < 0.05 else w for w in base) for _ in range(120)]
+    docs = [(f"d{i}", "ACL", f"{i}.pdf", f"sha{i}", ("t", 1, None, None, x), T0, "9", "q") for i, x in enumerate(variants + [text(rng, 115) for _ in range(40)])]
+    entries = [(i, "test" if i % 3 == 0 else "train", f"ACL/{i}.pdf", "z") for i in range(len(docs))]
+    got = {(r["entry_id_a"], r["entry_id_b"]) for r in p3_overlap.overlaps(spark.createDataFrame(entries, IDX), spark.createDataFrame(docs, PDF)).collect()}
+    words = [p3_overlap.abstract_words(d[4][4]) for d in docs]
+    want = {(i, j) for i in range(len(docs)) for j in range(i + 1, len(docs)) if (i % 3 == 0) != (j % 3 == 0) and p3_overlap.common_share(words[i], words[j]) >= 0.8}
+    assert len(want) > 3000 and got == want
+
+
+def test_thinned_owners_still_share():
+    """Owners that share three grams share one of those that stay, whatever the counts."""
+    rng = random.Random(4)
+    for _ in range(300):
+        pool = [rng.randrange(20) for _ in range(12)]
+        n = {k: rng.choice([0, 5, 5, 900]) for k in range(20)}
+        rows = [[rng.choice(pool) for _ in range(rng.randrange(1, 14))] for _ in range(2)]
+        owner = np.repeat([0, 1], [len(x) for x in rows])
+        keys = np.array(rows[0] + rows[1])
+        o, k = p3_overlap.thinned(owner, keys, np.array([n[x] for x in keys.tolist()]))
+        assert len(set(zip(o.tolist(), k.tolist()))) == len(k)
+        if (Counter(rows[0]) & Counter(rows[1])).total() >= 3:
+            assert set(k[o == 0].tolist()) & set(k[o == 1].tolist())
+
+
 def test_swap_repair():
     C = p4_sample.Cell
     got = p4_sample.swap_repair([C(1, 100, 2, 30.0), C(2, 5, 2, 30.0), C(3, 100, 2, 0.0), C(4, 0, 3, 5.0)], 60)
