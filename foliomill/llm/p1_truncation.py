@@ -1,10 +1,9 @@
 """Problem 1: text cut off by field or transfer limits.
 
-Near-copies come from min-hash banding over five-word shingles.  Each text is aligned with the longest text of its
-buckets; a verified pair (Jaccard of 0.8 or more) whose alignment ends early in one copy marks that copy, if its closing
-does not turn out to be whole.  Texts without such a partner are scored by the terminality of their closing word
-(``closing``).  No bucket is expanded into pairs: a text meets one partner a band, so a group of copies that holds a third
-of all rows costs as much as any other.
+Near-copies come from min-hash banding over five-word shingles.  A verified pair (Jaccard of 0.8 or more) whose alignment
+ends early in one copy marks that copy, if its closing does not turn out to be whole.  Texts without such a partner are
+scored by the terminality of their closing word (``closing``).  Only texts whose terminality leaves the case open look for a
+partner, among all members of their buckets; large buckets are joined in blocks, and maps of the shingles rule out pairs.
 """
 
 from __future__ import annotations
@@ -19,10 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomill.llm import closing
-from foliomill.llm.shingles import jaccard, signatures
+from foliomill.llm.shingles import LANES, SHINGLE, jaccard, mapped_signatures
 from foliomill.plans.runtime import at_least, cut, small, table
 
 SIMILARITY = 0.8
+#: A matched text of at least this terminality is whole all the same.
+WHOLE = 0.999
+#: A large bucket is joined in blocks of so many members.
+BLOCK = 1000
 
 
 def learn_terminality(texts: DataFrame, column: str = "text") -> DataFrame:
@@ -50,17 +53,19 @@ def terminality_table(texts: DataFrame, column: str = "text") -> Broadcast:
 
 
 def scored(texts: DataFrame, key: str, model: Broadcast, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Each row's terminality, hash of its text and min-hash bands (null under five words)."""
-    schema = ", ".join([f"{key} {dict(texts.dtypes)[key]}", *(f"{c} {dict(texts.dtypes)[c]}" for c in keep), "terminality double, words int, text_hash long, bands array<long>"])
+    """Each row's terminality, hash of its text, min-hash bands (null under five words) and map of shingles."""
+    schema = ", ".join([f"{key} {dict(texts.dtypes)[key]}", *(f"{c} {dict(texts.dtypes)[c]}" for c in keep), "terminality double, words int, text_hash long, bands array<long>", *(f"lane_{k} long" for k in range(LANES))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         closes, total = model.value
         for pdf in batches:
             text = pdf["text"].tolist()
-            words, whole, bands = signatures(text)
+            words, whole, bands, maps = mapped_signatures(text)
             out = pdf[[key, *keep]].copy()
             out["terminality"] = [closing.score(x, closes, total) for x in text]
             out["words"], out["text_hash"], out["bands"] = words, whole, bands
+            for k in range(LANES):
+                out[f"lane_{k}"] = maps[:, k]
             yield out
 
     return texts.select(key, *keep, "text").mapInPandas(run, schema)
@@ -91,15 +96,20 @@ def early_ends(short: str, long: str) -> bool:
 
 
 def early_copies(texts: DataFrame, sig: DataFrame, key: str) -> DataFrame:
-    """(key, partner): texts whose verified near-copy goes on where they end.
-
-    ``sig`` holds a row for each distinct text (its least key).  A bucket's longest text is found by a partial aggregation,
-    and every other member is joined to it, so work is linear in bucket entries even for one bucket of a third of all rows."""
-    # A hot bucket shrinks to a row a task before the first shuffle; the join back is a broadcast if few buckets have company, and else a
-    # shuffle whose skewed partitions the adaptive planner splits.
-    entries = sig.select(key, "words", F.explode("bands").alias("bucket"))
-    longest = entries.groupBy("bucket").agg(F.max(F.struct("words", F.col(key))).alias("top"), F.count("*").alias("n")).filter("n > 1").select("bucket", F.col(f"top.{key}").alias("partner"))
-    pairs = cut(entries.select(key, "bucket").join(small(cut(longest)), "bucket").filter(F.col(key) != F.col("partner")).select(key, "partner").distinct())
+    """(key, partner): texts that are ``open`` and whose verified near-copy goes on where they end.
+
+    ``sig`` holds a row for each distinct text (its least key).  An open text meets every other member of its buckets: the
+    members of a bucket are dealt into blocks of BLOCK, each of which meets all its open texts."""
+    lanes = [f"lane_{k}" for k in range(LANES)]
+    entries = sig.select(key, "words", "open", *lanes, F.explode("bands").alias("bucket"))
+    load = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.max("open").alias("any")).filter("n > 1 and any").select("bucket", F.expr(f"int(ceil(n / {BLOCK}))").alias("blocks"))
+    members = cut(entries.join(small(cut(load)), "bucket"))
+    short = members.filter("open").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).select("bucket", "block", key, F.col("words").alias("n_words"), *(F.col(c).alias(f"{c}_a") for c in lanes))
+    other = members.withColumn("block", F.pmod(F.xxhash64(key), "blocks").cast("int")).select("bucket", "block", F.col(key).alias("partner"), "words", *lanes)
+    # A Jaccard of SIMILARITY lets the sets differ in a quarter of the smaller at most; a set has no more shingles than its text.
+    differ = " + ".join(f"bit_count({c} ^ {c}_a)" for c in lanes)
+    most = f"(least(words, n_words) - {SHINGLE - 1}) * {1 / SIMILARITY - 1}D + 1e-6D"
+    pairs = cut(short.join(other, ["bucket", "block"]).filter(F.col(key) != F.col("partner")).filter(f"{differ} <= {most}").select(key, "partner").distinct())
     need = pairs.select(key).union(pairs.select("partner")).distinct()
     bodies = texts.join(small(need), key, "left_semi").groupBy(key).agg(F.first("text").alias("text"))
     both = pairs.join(bodies, key).join(bodies.select(F.col(key).alias("partner"), F.col("text").alias("whole")), "partner")
@@ -117,16 +127,17 @@ def truncated(texts: DataFrame, key: str = "result_id", source: str = "source")
     Rows with a null key are left out; a null, empty or markless text is not truncated; repeated rows of a key count once
     (their least terminality and source); texts of any length are read whole; an empty table gives an empty result; other
     columns of ``texts`` are ignored.  A text with a verified longer copy is truncated if its alignment ends early and its
-    closing is not whole (terminality under 0.999); any other text if its terminality is under ``closing.CUTOFF``."""
+    closing is not whole (terminality under WHOLE); any other text if its terminality is under ``closing.CUTOFF``.  A partner
+    is looked for only where it decides, between the two."""
     base = at_least(texts.select(F.col(key).alias("key"), F.col(source).alias("source"), "text").filter("key is not null"))
     model = terminality_table(base)
     rows = cut(scored(base, "key", model, ("source",)))
-    one = rows.filter("bands is not null").groupBy("text_hash").agg(F.min("key").alias("key"), F.first("words").alias("words"), F.first("bands").alias("bands"))
+    one = rows.filter("bands is not null").groupBy("text_hash").agg(F.min("key").alias("key"), F.first("words").alias("words"), F.first("bands").alias("bands"), F.min(F.expr(f"terminality >= {closing.CUTOFF}D and terminality < {WHOLE}D")).alias("open"), *(F.first(f"lane_{k}").alias(f"lane_{k}") for k in range(LANES)))
     matched = early_copies(base, one, "key")
     matched = cut(matched.join(one.select("key", "text_hash"), "key").select("text_hash", "partner"))
     same = rows.select("key", "text_hash").join(small(matched), "text_hash").groupBy("key").agg(F.min("partner").alias("partner"))
     flat = rows.groupBy("key").agg(F.min("source").alias("source"), F.min("terminality").alias("terminality"))
-    out = flat.join(same, "key", "left").withColumn("truncated", F.when(F.col("partner").isNotNull(), F.col("terminality") < 0.999).otherwise(F.col("terminality") < closing.CUTOFF))
+    out = flat.join(same, "key", "left").withColumn("truncated", F.when(F.col("partner").isNotNull(), F.col("terminality") < WHOLE).otherwise(F.col("terminality") < closing.CUTOFF))
     return out.select(F.col("key").alias(key), F.col("source").alias("source"), "terminality", "partner", "truncated")
 
 

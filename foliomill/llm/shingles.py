@@ -11,6 +11,8 @@ SHINGLE = 5
 #: Bands of rows: a pair of Jaccard 0.8 shares a band with probability 1 - (1 - 0.8^3)^8 > 0.996.
 BANDS, ROWS = 8, 3
 _BINS = BANDS * ROWS
+#: 64-bit lanes of the map of a text's shingles.
+LANES = 4
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _WORD = re.compile(r"\w+")
 
@@ -52,17 +54,25 @@ def signatures(texts: list[str | None]) -> tuple[list[int], list[int], list[np.n
 
     One-permutation min-hash: a shingle falls into one of BANDS * ROWS bins, each bin keeps its least hash, an empty bin
     borrows the next filled one's; a band is the hash of ROWS bins."""
+    return mapped_signatures(texts)[:3]
+
+
+def mapped_signatures(texts: list[str | None]) -> tuple[list[int], list[int], list[np.ndarray | None], np.ndarray]:
+    """``signatures`` and a map of each text's shingles: each sets one of LANES * 64 bits, so two maps differ in no more bits than
+    the texts in shingles."""
     words = [words_of(x) if x else [] for x in texts]
     counts = np.fromiter(map(len, words), np.int64, len(words))
     whole = [xxhash.xxh64_intdigest((x or "").encode("utf-8", "surrogatepass")) - (1 << 63) for x in texts]
     many = np.flatnonzero(counts >= SHINGLE)
     bands: list[np.ndarray | None] = [None] * len(texts)
+    maps = np.zeros((len(texts), LANES), np.uint64)
     if len(many):
         n = counts[many]
         hashes = rolling(np.fromiter((_HASH[w] for i in many for w in words[i]), np.uint64, int(n.sum())), SHINGLE)
         owner = np.repeat(np.arange(len(many)), n)[: len(hashes)]
         inside = owner == np.repeat(np.arange(len(many)), n)[SHINGLE - 1 :]
         hashes, owner = hashes[inside], owner[inside]
+        np.bitwise_or.at(maps, (many[owner], ((hashes >> np.uint64(38)) % np.uint64(LANES)).astype(np.int64)), np.uint64(1) << (hashes >> np.uint64(32) & np.uint64(63)))
         free = np.iinfo(np.uint64).max
         bins = np.full(len(many) * _BINS, free, np.uint64)
         np.minimum.at(bins, owner * _BINS + (hashes % np.uint64(_BINS)).astype(np.int64), hashes // np.uint64(_BINS))
@@ -79,7 +89,7 @@ def signatures(texts: list[str | None]) -> tuple[list[int], list[int], list[np.n
             acc = mix(acc * _M1 + bins[:, k::ROWS])
         for i, row in zip(many.tolist(), acc.view(np.int64)):
             bands[i] = row
-    return counts.tolist(), whole, bands
+    return counts.tolist(), whole, bands, maps.view(np.int64)
 
 
 def jaccard(a: str, b: str) -> float:

@@ -63,6 +63,18 @@ def test_truncated(spark):
     assert p1_truncation.truncated(df.limit(0)).count() == 0
 
 
+def test_every_partner_of_a_bucket_is_tried(spark):
+    """The longest of a family is no near-copy of the shortest, but the middle one is; a bucket in common and closings left open."""
+    words = [f"w{i}" for i in range(100)]
+    texts = {1: " ".join(words[:78]), 2: " ".join(words[:95]), 3: " ".join(words)}
+    assert shingles.jaccard(texts[1], texts[3]) < 0.8 <= shingles.jaccard(texts[1], texts[2])
+    _, _, bands, maps = shingles.mapped_signatures(list(texts.values()))
+    lanes = [f"lane_{k}" for k in range(shingles.LANES)]
+    sig = spark.createDataFrame([(k, len(x.split()), True, [7], *map(int, m)) for (k, x), m in zip(texts.items(), maps)], f"key long, words int, open boolean, bands array<long>, {', '.join(f'{c} long' for c in lanes)}")
+    df = spark.createDataFrame(list(texts.items()), "key long, text string")
+    assert {(r["key"], r["partner"]) for r in p1_truncation.early_copies(df, sig, "key").collect()} == {(1, 2), (2, 3)}
+
+
 def test_language():
     assert language.expected("Describe the sensor.\n\nGive the answer in German.") == "de"
     assert language.expected("Résumez le passage qui porte sur la mesure.\n\nPAPER:\nLa valeur était de 3.") == "fr"
