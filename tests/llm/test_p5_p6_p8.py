@@ -81,6 +81,16 @@ def test_encoding_equals_the_public_library():
     assert got == [encode(x) if x else [] for x in texts]
 
 
+def test_long_words_cost_their_length(tmp_path, monkeypatch):
+    """Letters without a blank, one letter over and over, and tokens longer than a piece: as the public library has them, and no file is written."""
+    monkeypatch.chdir(tmp_path)
+    encode = tokenizer.encoder()
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000)), "".join(rng.choice("acgt") for _ in range(9_000)), "a" * 20_001, "=" * 5_555, ("a" * 37 + "b") * 300, "測定値" * 2_000, " " * 3_000 + "x"]
+    assert p6_encode.encode_texts(texts, {}, tokenizer.BYTE_BPE_50K) == [encode(x) for x in texts]
+    assert not list(tmp_path.iterdir())
+
+
 def test_encoded(spark):
     df = spark.createDataFrame([(i, x, "z") for i, x in enumerate(TEXTS)] + [(2, "Hello world", "z"), (None, "x", "z"), (2**62 + 1, "x", "z")], "doc_id long, text string, ids string")
     rows = p6_encode.encoded(df).collect()
