@@ -12,7 +12,7 @@ from foliomill.llm.p3_overlap import p3_found, p3_report
 from foliomill.llm.p4_sample import P4_FOUND_SQL, p4_found, p4_report, p4_sample
 from foliomill.llm.p5_scans import p5_found, p5_text
 from foliomill.llm.p6_encode import p6_ids, p6_sizes
-from foliomill.llm.p7_mix import p7_mix, p7_shares
+from foliomill.llm.p7_mix import p7_full, p7_full_shares, p7_mix, p7_shares
 from foliomill.llm.p8_residue import p8_found, p8_kept
 
 
@@ -33,6 +33,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_sizes": p6_sizes,
         "p7_mix": p7_mix,
         "p7_shares": p7_shares,
+        "p7_full": p7_full,
+        "p7_full_shares": p7_full_shares,
         "p8_found": p8_found,
         "p8_kept": p8_kept,
     }

@@ -23,6 +23,8 @@ from foliomill.plans.runtime import at_least, cut, table
 SEED = 77
 #: Histogram bins of the hash that orders a block.
 BINS = 1024
+#: A budget as large as all records of the sources that have a target.
+ALL = "all"
 
 
 @dataclass
@@ -83,7 +85,7 @@ def exponent_for_entropy(sources: list[Source], wanted: float) -> float:
     return (low + high) / 2
 
 
-def plan(counted: DataFrame, targets: DataFrame, budget: float | None = None) -> DataFrame:
+def plan(counted: DataFrame, targets: DataFrame, budget: float | str | None = None) -> DataFrame:
     """A row each source that has a target and tokens: weight, budget (tokens), blocks (whole permutations), rest (tokens of the last)."""
     spark = counted.sparkSession
     wanted = targets.filter("weight_permille > 0 and max_repeats > 0").select(F.trim("source").alias("source"), "weight_permille", "max_repeats")
@@ -93,6 +95,8 @@ def plan(counted: DataFrame, targets: DataFrame, budget: float | None = None) ->
     for s in sources:
         s.weight /= total
     most = min((s.repeats * s.tokens / s.weight for s in sources), default=0.0)
+    if budget == ALL:
+        budget = float(sum(s.tokens for s in sources))
     size = most if budget is None else min(budget, sum(s.repeats * s.tokens for s in sources))
     weights = tempered(sources, exponent_for(sources, size)) if sources else []
     rows = []
@@ -102,7 +106,7 @@ def plan(counted: DataFrame, targets: DataFrame, budget: float | None = None) ->
     return spark.createDataFrame(rows, "source string, tokens_available long, target_share double, weight double, budget long, blocks long, rest long, max_repeats int")
 
 
-def mix(documents: DataFrame, targets: DataFrame, budget: float | None = None, vocabulary: str = tokenizer.BYTE_BPE_50K) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, budget: float | str | None = None, vocabulary: str = tokenizer.BYTE_BPE_50K) -> tuple[DataFrame, DataFrame]:
     """(uses, plan).  uses: doc_id, source, tokens, block; a row each use of a record, block counting from 0.
 
     Texts without tokens, null sources, sources without a target and targets without tokens take no part, and the other targets are scaled to 1;
@@ -131,13 +135,30 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(*_tables(spark, sf_dir))[0]
 
 
-def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and reached share of each source in mix_targets or documents, with its tokens and most uses of a record."""
+def p7_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix of as many tokens as the sources hold.  The targets cannot be kept within the repetition limits at that size, so the exponent is
+    bisected to where the limits hold."""
     documents, targets = _tables(spark, sf_dir)
-    uses, planned = mix(documents, targets)
+    return mix(documents, targets, ALL)[0]
+
+
+def p7_full_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of ``p7_full``, as in ``p7_shares``."""
+    documents, targets = _tables(spark, sf_dir)
+    return shares(documents, targets, ALL)
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of ``p7_mix``."""
+    return shares(*_tables(spark, sf_dir))
+
+
+def shares(documents: DataFrame, targets: DataFrame, budget: float | str | None = None) -> DataFrame:
+    """Target and reached share of each source in mix_targets, with the weight planned for it, its tokens and most uses of a record."""
+    uses, planned = mix(documents, targets, budget)
     per_doc = uses.groupBy("source", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("uses"))
     reached = per_doc.groupBy("source").agg(F.sum("tokens").alias("tokens_used"), F.max("uses").alias("most_uses"))
     total = F.sum("tokens_used").over(Window.partitionBy(F.lit(0)))  # a row each source
     names = targets.select(F.trim("source").alias("source"), "weight_permille", "max_repeats")
-    rows = names.join(planned.select("source", "tokens_available", "target_share"), "source", "left").join(reached, "source", "left").withColumn("share", F.round(F.col("tokens_used") / total, 6))
-    return rows.select("source", "weight_permille", "max_repeats", F.coalesce("tokens_available", F.lit(0)).alias("tokens_available"), F.round("target_share", 6).alias("target_share"), F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), F.coalesce("share", F.lit(0.0)).alias("share"))
+    rows = names.join(planned.select("source", "tokens_available", "target_share", "weight"), "source", "left").join(reached, "source", "left").withColumn("share", F.round(F.col("tokens_used") / total, 6))
+    return rows.select("source", "weight_permille", "max_repeats", F.coalesce("tokens_available", F.lit(0)).alias("tokens_available"), F.round("target_share", 6).alias("target_share"), F.round("weight", 6).alias("weight"), F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), F.coalesce("share", F.lit(0.0)).alias("share"))

@@ -97,6 +97,53 @@ def test_hot_family_equals_brute_force(spark):
     assert len(want) > 3000 and got == want
 
 
+@pytest.mark.parametrize("boilerplate", [0, 12])
+def test_recall_at_every_length(spark, boilerplate):
+    """Abstracts of 10 to 200 words with a tenth to a fifth of the words replaced, some with a passage that all share: of the pairs with a common share
+    of 0.8, all of the short ones and 98 % of the others are found."""
+    rng = random.Random(5)
+    shared = [f"notice{i}" for i in range(boilerplate)]
+    docs, want = [], {}
+    for n in (10, 15, 20, 25, 30, 40, 45, 60, 80, 100, 101, 130, 200):
+        made = 0
+        while made < 60:
+            x = [f"w{rng.randrange(5000)}" for _ in range(n)]
+            edits = rng.choice([0.1, 0.12, 0.16, 0.18])
+            y = [f"e{rng.randrange(5000)}" if rng.random() < edits else w for w in x]
+            x, y = shared + x, shared + y
+            if p3_overlap.common_share(x, y) >= 0.8 and x != y:
+                want[len(docs), len(docs) + 1] = n
+                docs += [" ".join(x), " ".join(y)]
+                made += 1
+    rows = [(f"d{i}", "ACL", f"{i}.pdf", f"sha{i}", ("t", 1, None, None, x), T0, "9", "q") for i, x in enumerate(docs)]
+    entries = [(i, "test" if i % 2 else "train", f"ACL/{i}.pdf", "z") for i in range(len(docs))]
+    got = {(r["entry_id_a"], r["entry_id_b"]) for r in p3_overlap.overlaps(spark.createDataFrame(entries, IDX), spark.createDataFrame(rows, PDF)).collect()}
+    lost = Counter(n for pair, n in want.items() if pair not in got)
+    assert not [n for n in lost if n + boilerplate <= p3_overlap.SHORT], lost
+    assert max(lost.values(), default=0) <= 2 and lost.total() <= 0.02 * len(want), lost
+
+
+def test_report_counts_classes(spark):
+    """As the pairs listed one by one, and a file of which thousands of copies are in either split."""
+    rng = random.Random(6)
+    texts = [text(rng) for _ in range(12)] + [None]
+    docs = [(f"d{i}", f"S{i % 2}", f"{i}.pdf", f"sha{i % 20}", ("t", 1, None, None, texts[i % 13]), T0, "9", "q") for i in range(30)]
+    docs[2] = (*docs[2][:4], ("t", 1, None, None, texts[3] + " more words"), *docs[2][5:])
+    entries = [(i, rng.choice(["train", "test"]), f"S{i % 30 % 2}/{i % 30}.pdf", "z") for i in range(50)]
+    tables = spark.createDataFrame(entries, IDX), spark.createDataFrame(docs, PDF)
+    got = {(r["split"], r["source"]): r for r in p3_overlap.report(*tables).collect()}
+    pairs = p3_overlap.overlaps(*tables).collect()
+    want = {}
+    for r in pairs:
+        for x in "ab":
+            want.setdefault((r[f"split_{x}"], r[f"source_{x}"]), set()).add(r[f"entry_id_{x}"])
+    assert {k: r["n_records"] for k, r in got.items()} == {k: len(v) for k, v in want.items()}
+    assert sum(r["pairs_file"] for r in got.values()) == 2 * sum(r["kind"] == "file" for r in pairs) > 0
+    many = spark.createDataFrame([(i, "train" if i % 2 else "test", "S0/0.pdf", "z") for i in range(20_000)], IDX)
+    got = p3_overlap.report(many, tables[1]).collect()
+    assert {(r["split"], r["n_records"], r["pairs_file"], r["pairs_bytes"]) for r in got} == {("train", 10_000, 10**8, 10**8), ("test", 10_000, 10**8, 10**8)}
+
+
 def test_thinned_owners_still_share():
     """Owners that share three grams share one of those that stay, whatever the counts."""
     rng = random.Random(4)
@@ -106,7 +153,7 @@ def test_thinned_owners_still_share():
         rows = [[rng.choice(pool) for _ in range(rng.randrange(1, 14))] for _ in range(2)]
         owner = np.repeat([0, 1], [len(x) for x in rows])
         keys = np.array(rows[0] + rows[1])
-        o, k = p3_overlap.thinned(owner, keys, np.array([n[x] for x in keys.tolist()]))
+        o, k = p3_overlap.thinned(owner, keys, np.array([n[x] for x in keys.tolist()]), np.array([False, False]))
         assert len(set(zip(o.tolist(), k.tolist()))) == len(k)
         if (Counter(rows[0]) & Counter(rows[1])).total() >= 3:
             assert set(k[o == 0].tolist()) & set(k[o == 1].tolist())
@@ -173,3 +220,8 @@ def test_mix(spark):
         t[r["source"]] += r["tokens"]
         times[r["source"], r["doc_id"]] += 1
     assert t["Big"] + t["Small"] > 0.98 * most and t["Small"] > 2 * t["Big"] and max(times.values()) <= 9 and max(v for (x, _), v in times.items() if x == "Big") == 1
+    # As large as the sources: the scarce one is used as often as it may be, and the exponent lies between the targets and the sizes.
+    scarce = spark.createDataFrame([("Big", 100, 1), ("Small", 900, 2)], "source string, weight_permille int, max_repeats int")
+    planned = {r["source"]: r for r in p7_mix.mix(df, scarce, p7_mix.ALL)[1].collect()}
+    big, small = planned["Big"], planned["Small"]
+    assert small["budget"] == pytest.approx(2 * small["tokens_available"], abs=2) and big["budget"] == pytest.approx(big["tokens_available"] - small["tokens_available"], abs=2) and small["weight"] < 0.9
