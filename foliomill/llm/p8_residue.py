@@ -3,7 +3,11 @@
 Labelled exemplars of residue (unfilled slots, template instructions, fillers, error pages, script notices) are indexed by token.  A
 text is cut into passage windows (its sentences and lines, alone and with the next); the tokens of a window retrieve exemplars through the
 inverted index, and a match counts if the window holds enough of the exemplar's TF-IDF weight and the exemplar explains enough of the
-window's.  Passages that only write about such things are held against exemplars labelled as mentions.  Token weights come from all documents.
+window's.  A slot of whatever name and a word over and over are tokens of their own, each an exemplar; a slot's window is itself, since it stands amid
+real text.  Passages that only write about such things are held against exemplars labelled as mentions.  Token weights come from all documents.
+
+The index lists an exemplar under its weightiest tokens only, so many that a window without any of them cannot hold enough of it.  A text
+without such a token is passed over as a whole.
 """
 
 from __future__ import annotations
@@ -21,6 +25,12 @@ from foliomill.plans.runtime import at_least, table
 
 #: Share of an exemplar's weight that a window must hold, and of a window's weight that the exemplar must explain.
 CONTAINMENT, COVERAGE = 0.78, 0.6
+#: The same if several exemplars explain a window of another wording together: each held by so much, all of them explaining so much.
+PARTLY, TOGETHER = 0.45, 0.7
+#: The same of exemplars labelled as mentions.
+MENTION_CONTAINMENT, MENTION_COVERAGE = 0.5, 0.35
+#: Shuffled filler: so many of its words, and share of the window's weight, make a match.
+POOL_WORDS, POOL_COVERAGE = 5, 0.75
 
 #: Words of which slot names are made.
 FIELD_WORDS = frozenset(
@@ -63,20 +73,36 @@ Please enable JavaScript to view this article|Please enable JavaScript to contin
 Veuillez activer JavaScript pour afficher cet article|Veuillez activer JavaScript pour continuer|Activez JavaScript et les cookies|Ce site a besoin de scripts et de cookies pour fonctionner|Ce site nécessite JavaScript|Votre navigateur ne prend pas en charge les scripts|Veuillez activer les cookies et recharger la page|Ce site utilise des cookies
 Bitte aktivieren Sie JavaScript, um diesen Artikel zu lesen|Bitte aktivieren Sie JavaScript, um fortzufahren|Diese Seite benötigt Skripte und Cookies|Diese Seite benötigt JavaScript|Ihr Browser unterstützt keine Skripte|Bitte aktivieren Sie Cookies und laden Sie die Seite neu|Diese Website verwendet Cookies
 Active JavaScript para ver este artículo|Active JavaScript para continuar|Por favor, active JavaScript|Este sitio necesita scripts y cookies para funcionar|Este sitio requiere JavaScript|Su navegador no admite scripts|Active las cookies y vuelva a cargar la página|Este sitio utiliza cookies
+""",
+    "slot": """
+⟨slot⟩
+""",
+    "repetition": """
+⟨repeat⟩
 """,
     "mention": """
-Slots such as ⟨slot⟩ or ⟨slot⟩ are filled in at build time by the template engine under study|The template syntax uses ⟨slot⟩ for variables|Placeholders like ⟨slot⟩ are replaced by the engine before rendering|A placeholder token replaces rare words before training|In the reading task, lorem ipsum passages served as a control without meaning|Lorem ipsum served as control text in the study|Of the crawled links, some returned 404 Not Found and others a 502 Bad Gateway|Pages that returned an error were removed from the crawl|The survey page asked readers to enable JavaScript, which some had disabled|The cookie banner was shown to half of the visitors|Session timeouts ended some of the interviews; these were repeated|Access denied errors were the most common failure mode in the audit of hospital systems|TODO comments in source code were counted per thousand lines|The class defines ⟨slot⟩ and the log line is printed with ⟨slot⟩|We write ⟨slot⟩ for the set|Erratum: the value in the table should read|Withdrawn by the editors|Participants read the message Something went wrong
+slots such as ⟨slot⟩ are filled in by a template engine|a template engine replaces variables such as ⟨slot⟩ when it renders a page|in the template language ⟨slot⟩ marks a variable|placeholders are replaced by values at build time|a placeholder token stands for rare or unknown words of the vocabulary|functions and classes such as ⟨slot⟩ are defined and printed in the code
+lorem ipsum or filler text was used as a meaningless control condition in a reading experiment|requests and links that returned 404 Not Found or 502 Bad Gateway were left out of the crawl|of the pages fetched some returned an error such as 403 Forbidden or 500 Internal Server Error|respondents had JavaScript or cookies enabled or disabled when they opened the survey|the questionnaire asked users to enable JavaScript|share of visitors who accepted the cookie banner|interviews or sessions that timed out or expired were repeated or excluded
+access denied and similar errors were a common cause of failure in the systems under audit|participants saw the message something went wrong or please try again later|TODO and FIXME comments were counted in source code|an erratum says that a value in a table should read otherwise|the article was withdrawn by its editors or authors
 """,
 }
-_TOKEN = re.compile(r"⟨slot⟩|[^\W_]+(?:['’][^\W_]+)?|\d+")
+#: The exemplars that are one pool: shuffled filler holds any of their words.
+POOL = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
+_TOKEN = re.compile(r"⟨slot⟩|⟨repeat⟩|[^\W_]+(?:['’][^\W_]+)?|\d+")
 _SPLIT = re.compile(r"(?<=[.!?…])\s+|(?<=[a-zà-ÿß)][.!?])(?=[A-ZÀ-Ý])|\n+|\s[|·]\s")
-SLOT = "⟨slot⟩"
+SLOT, REPEAT = "⟨slot⟩", "⟨repeat⟩"
+#: A word that follows itself so often is a repetition.
+RUN = 4
+#: Marks without which no slot is.
+_MARKS = re.compile(r"[<«@%{\[$_#]")
 #: Codes of incidents and the like say nothing.
 _CODE = re.compile(r"(?=.*\d)[0-9a-f]{4,}$")
 
 
 def fill_slots(text: str) -> str:
     """The text with every unfilled slot as one token."""
+    if not _MARKS.search(text):
+        return text
     text = _SLOT.sub(f" {SLOT} ", text)
 
     def named(m: re.Match) -> str:
@@ -84,27 +110,39 @@ def fill_slots(text: str) -> str:
         parts = re.split(r"[_\s.\-]+", name.strip().lower())
         return f" {SLOT} " if parts and all(p in FIELD_WORDS for p in parts if p) else m.group()
 
-    return _NAMED.sub(named, text) if re.search(r"[<«@%{\[$_#]", text) else text
+    return _NAMED.sub(named, text)
 
 
 def tokens(passage: str) -> list[str]:
-    return _TOKEN.findall(passage.lower().replace("’", "'"))
-
-
-def exemplars() -> list[tuple[str, frozenset[str], int]]:
-    """(label, tokens, length) of every exemplar."""
-    out = []
-    for label, text in EXEMPLARS.items():
-        for one in text.strip().replace("\n", "|").split("|"):
-            t = tokens(one)
-            if label == "mention":
-                t = [x for x in t if x != SLOT]
-            if t:
-                out.append((label, frozenset(t), len(t)))
+    """Words in lower case; a word (no number) RUN times or more in a row is one token, whatever the word."""
+    words = _TOKEN.findall(passage.lower().replace("’", "'"))
+    if not any(map(str.__eq__, words, words[RUN - 1 :])):
+        return words
+    out: list[str] = []
+    at = 0
+    while at < len(words):
+        end = at + 1
+        while end < len(words) and words[end] == words[at]:
+            end += 1
+        out += [REPEAT] if end - at >= RUN and not words[at].isdigit() else words[at:end]
+        at = end
     return out
 
 
-VOCABULARY = frozenset(t for _, ts, _ in exemplars() for t in ts)
+class Exemplar:
+    """A labelled phrase: its tokens, and the least containment and coverage of a match."""
+
+    def __init__(self, label: str, text: str, pool: bool = False):
+        self.label, self.tokens, self.pool = label, frozenset(tokens(text)), pool
+        self.containment, self.coverage = (MENTION_CONTAINMENT, MENTION_COVERAGE) if label == "mention" else (1.0, POOL_COVERAGE) if pool else (CONTAINMENT, COVERAGE)
+
+
+def exemplars() -> list[Exemplar]:
+    given = [Exemplar(label, one) for label, text in EXEMPLARS.items() for one in text.strip().replace("\n", "|").split("|")]
+    return [x for x in given if x.tokens] + [Exemplar("filler", POOL, pool=True)]
+
+
+VOCABULARY = frozenset(t for x in exemplars() for t in x.tokens)
 
 
 def token_counts(documents: DataFrame) -> dict[str, int]:
@@ -116,7 +154,7 @@ def token_counts(documents: DataFrame) -> dict[str, int]:
             for x in pdf["text"]:
                 if x:
                     df[""] += 1
-                    for t in VOCABULARY.intersection(tokens(x)):
+                    for t in VOCABULARY.intersection(tokens(fill_slots(x))):
                         df[t] += 1
         yield pd.DataFrame({"token": list(df), "n": list(df.values())})
 
@@ -127,50 +165,49 @@ def token_counts(documents: DataFrame) -> dict[str, int]:
 class Index:
     """Inverted index of the exemplars with TF-IDF weights."""
 
-    def __init__(self, df: dict[str, int]):
+    def __init__(self, df: dict[str, int], given: list[Exemplar] | None = None):
         n = max(df.get("", 0), 1)
-        self.top = math.log(1 + n)
-        self.idf = {t: min(self.top, math.log(1 + n / (1 + df.get(t, 0)))) + 0.05 for t in VOCABULARY}
-        self.plain = 0.5 * self.top  # a word no exemplar has
-        self.all = exemplars()
-        self.latin = frozenset(t for one in EXEMPLARS["filler"].strip().split("\n")[0].split("|") for t in tokens(one))
-        self.weight = [sum(self.idf[t] for t in ts) for _, ts, _ in self.all]
+        top = math.log(1 + n)
+        self.all = exemplars() if given is None else given
+        self.idf = {t: min(top, math.log(1 + n / (1 + df.get(t, 0)))) + 0.05 for x in self.all for t in x.tokens}
+        self.plain = 0.5 * top  # a word no exemplar has
+        self.weight = []
         self.postings: dict[str, list[int]] = defaultdict(list)
-        for k, (_, ts, _) in enumerate(self.all):
-            for t in ts:
+        for k, x in enumerate(self.all):
+            weight = sum(self.idf[t] for t in x.tokens)
+            # Of shuffled filler any few words will do.
+            self.weight.append(weight * POOL_WORDS / len(x.tokens) if x.pool else weight)
+            left, least = weight, x.containment if x.pool else min(PARTLY, x.containment)
+            for t in sorted(x.tokens, key=lambda t: (-self.idf[t], t)):
+                if left < least * self.weight[k] - 1e-9:  # the tokens that are left cannot make a match
+                    break
                 self.postings[t].append(k)
+                left -= self.idf[t]
+        self.residue_keys = frozenset(t for t, ks in self.postings.items() if any(self.all[k].label != "mention" for k in ks))
 
     def match(self, window: list[str]) -> tuple[float, str]:
         """Best score of a window (the least of containment and coverage, each against its cutoff) and its label."""
         bag = {t for t in window if not _CODE.match(t)}
-        if len(window) >= 4 and len(bag) == 1 and not window[0].isdigit():
-            return 1.5, "filler"  # one word over and over, whatever the word
-        known = bag & VOCABULARY
-        if not known:
+        if self.residue_keys.isdisjoint(bag):
             return 0.0, ""
         total = sum(self.idf.get(t, self.plain) for t in bag)
-        held: dict[int, float] = defaultdict(float)
-        for t in known:
-            for k in self.postings[t]:
-                held[k] += self.idf[t]
         best = (0.0, "")
-        latin = bag & self.latin
-        if len(latin) >= 4:  # filler is often shuffled, so its exemplars also count as one pool
-            best = (min(len(latin) / 5, sum(self.idf[t] for t in latin) / total / 0.75), "filler")
-        for k, w in held.items():
-            label, _, length = self.all[k]
-            s = min(w / self.weight[k] / CONTAINMENT, w / total / COVERAGE)
-            if label == "mention":
-                s = min(w / self.weight[k] / 0.6, w / total / 0.5) + 0.01 if w / self.weight[k] >= 0.5 else 0.0
-            elif length == 1 and len(window) > 3:
-                continue
-            if s > best[0]:
-                best = (s, label)
-        if best[0] < 1 and best[1] != "mention":  # several exemplars in one window explain it together
-            whole = [k for k, w in held.items() if w >= 0.9 * self.weight[k] and self.all[k][0] != "mention" and self.all[k][2] > 1]
-            if len(whole) > 1:
-                share = sum(self.idf[t] for t in frozenset().union(*(self.all[k][1] for k in whole)) & bag) / total / COVERAGE
-                best = max(best, (share, self.all[whole[0]][0]))
+        near = []
+        for k in {k for t in bag if t in self.postings for k in self.postings[t]}:
+            x = self.all[k]
+            held = sum(self.idf[t] for t in x.tokens & bag)
+            share = held / self.weight[k]
+            # A slot is a window of its own.
+            score = min(share / x.containment, (held / total if x.label != "slot" else 1.0) / x.coverage)
+            if x.label == "mention":
+                score = score + 0.5 if share >= x.containment else 0.0
+            elif not x.pool and x.label != "slot" and share >= PARTLY:
+                near.append((share, x))
+            best = max(best, (score, x.label))
+        if best[0] < 1 and best[1] != "mention" and near:
+            held = sum(self.idf[t] for t in frozenset().union(*(x.tokens for _, x in near)) & bag)
+            share, x = max(near, key=lambda y: (y[0], y[1].label))
+            best = max(best, (min(share / PARTLY, held / total / TOGETHER), x.label))
         return best
 
 
@@ -181,19 +218,16 @@ def passages(text: str) -> list[str]:
 def residue(text: str, index: Index) -> tuple[float, str]:
     """Score (a case from 1 on) and kind of the strongest residue of a text."""
     best = (0.0, "")
-    parts = [tokens(p) for p in passages(text)]
+    filled = fill_slots(text)
+    if index.residue_keys.isdisjoint(tokens(filled)):
+        return best
+    parts = [t for t in map(tokens, passages(text)) if t]
     for k, part in enumerate(parts):
-        if not part:
-            continue
         score, label = index.match(part)
-        if SLOT in part and label != "mention":
-            score, label = max(score, 1.5), "slot"
-        elif score < 1 and k + 1 < len(parts) and 0 < len(part) <= 12 and len(parts[k + 1]) <= 12 and label != "mention":
-            joined = index.match(part + parts[k + 1])
-            if joined[0] > score:
-                score, label = joined
-        if label != "mention" and score > best[0]:
-            best = (score, label)
+        if score < 1 and k + 1 < len(parts) and label != "mention":
+            score, label = max((score, label), index.match(part + parts[k + 1]))
+        if label != "mention":
+            best = max(best, (score, label))
     return best
 
 

@@ -114,6 +114,41 @@ def test_no_residue(text):
     assert p8_residue.residue(text, index)[0] < 1
 
 
+#: Residue in wordings that no exemplar has.
+HELD_OUT = """The page that you have requested was not found|Sorry, the page you are looking for could not be found on this server|HTTP 404 – Page Not Found|Error 403: Forbidden|500 – Internal Server Error occurred|502 Bad Gateway nginx|503 Service Temporarily Unavailable|504 Gateway Time-out: Gateway Timeout|Something went wrong. Try again later.|An unexpected error occurred. Please try again.|Access to this page has been denied|You don't have permission to access this document|Your session has timed out. Your session expired.|Please sign in again to view this document|The document you requested could not be loaded|This content is no longer available here
+Please enable JavaScript in your browser to view this page|JavaScript must be enabled to view this site|Your browser does not support JavaScript or scripts are disabled|This page requires JavaScript to be enabled|You need to enable JavaScript and cookies to continue|This website uses cookies to improve your experience|Please enable cookies to continue reading|Enable JavaScript to view this article
+Insert your text here|Insert figure here|Type your abstract here|Enter the title of your paper here|Click here to enter your abstract|Your abstract goes here|Replace this text with your own paragraph|Your introduction here|Add your references here|TODO: write this section|TODO: insert references here|To be completed before submission by the authors
+Lorem ipsum dolor sit amet consectetur|Dolor sit amet elit tempor magna aliqua|This is placeholder text for the layout|This dummy text shows the layout only|la la la la la la|qwerty qwerty qwerty qwerty
+La page demandée n'existe pas|Page introuvable (erreur 404)|Accès refusé à ce document|Veuillez activer JavaScript pour lire cet article|Une erreur interne est survenue|Insérez votre texte ici|Seite wurde nicht gefunden (404)|Aktivieren Sie bitte JavaScript, um die Seite zu lesen|Interner Fehler: Es ist ein Fehler aufgetreten|Hier Ihren Text einfügen|La página no se ha encontrado|Active JavaScript para ver esta página|Se ha producido un error interno del servidor|Inserte aquí su texto|Hello ${first_name}|Published in [[journal]]"""
+#: Texts about such things, and the like of them.
+SOUND = """Of 300 requests, 12 ended with a 404 Not Found error and were sent again|We removed all pages that returned an internal server error from the corpus|Half of the participants clicked on the cookie banner before they read the article|The lorem ipsum condition served as a baseline for reading speed|Users who had disabled JavaScript could not take part in the survey|The parser replaces each placeholder token before training begins|The engine fills slots such as {{author}} in a template when it renders the page|The study was repeated because two sessions expired before the interview ended|The gateway and the server exchange messages over a secure channel|The error of the estimate is given in the title of each figure|The authors thank the editors and the reviewers of the journal|The service was unavailable to rural patients during the winter|The method could not be found in the earlier literature|An unexpected result occurred in the second experiment|Access to clean water was denied to many villages|The text of the abstract was written by the first author"""
+
+
+def test_held_out_residue():
+    """Of wordings that no exemplar has, 90 % are found, and texts about such things are let be."""
+    index = p8_residue.Index({"": 1000, "the": 900, "a": 800, "of": 700, "not": 300, "to": 600, "in": 700, "and": 800, "was": 500, "is": 500, "for": 500, "be": 300, "this": 300, "you": 20, "your": 10, "here": 10, "page": 30, "text": 40, "error": 60, "by": 400, "that": 400, "with": 500, "authors": 60, "title": 20})
+    cases = HELD_OUT.replace("\n", "|").split("|")
+    assert set(cases).isdisjoint(x for text in p8_residue.EXEMPLARS.values() for x in text.strip().replace("\n", "|").split("|"))
+    lost = [x for x in cases if p8_residue.residue(f"We compare two sensors in field plots.\n\n{x}\n\nEach genome was reviewed.", index)[0] < 1]
+    assert len(lost) <= 0.1 * len(cases), lost
+    assert not [x for x in SOUND.split("|") if p8_residue.residue(f"We compare two sensors. {x}.", index)[0] >= 1]
+
+
+def test_key_tokens_lose_nothing():
+    """The index with a few key tokens an exemplar gives what every exemplar gives."""
+    rng = random.Random(9)
+    index = p8_residue.Index({"": 1000, "the": 900, "page": 50})
+    words = sorted(p8_residue.VOCABULARY)
+    for _ in range(500):
+        x = rng.choice(index.all)
+        window = [t for t in sorted(x.tokens) if rng.random() < 0.85] + rng.sample(words, 2)
+        keep = index.postings
+        fast = index.match(window)
+        index.postings = {t: [k for k, y in enumerate(index.all) if t in y.tokens] for t in words}
+        assert fast == index.match(window) or fast[0] < 1 and index.match(window)[0] < 1 or "mention" in (fast[1], index.match(window)[1]) and fast[0] == 0.0
+        index.postings = keep
+
+
 def test_judged(spark):
     plain = "We compare the porous assay with a hybrid vaccine in field plots. Each genome was reviewed by two readers."
     rows = [(i, plain, "x") for i in range(40)] + [(50, None, "x"), (51, "", "x"), (52, " \n", "x"), (53, plain + "\n\nPlease enable JavaScript to view this article.", "x"), (53, plain + "\n\nPlease enable JavaScript to view this article.", "x")]
