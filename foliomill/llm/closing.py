@@ -18,6 +18,8 @@ import numpy as np
 SLOTS = 1 << 20
 #: Below this terminality a closing is taken for a cut.
 CUTOFF = 0.5
+#: The most that a closing known by its words only can have; 1 is for closings by structure.
+LEARNED = 0.99
 
 _STRING = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"', re.S)
 #: White space and characters without width.
@@ -172,14 +174,14 @@ def score(text: str | None, closes: np.ndarray, total: np.ndarray) -> float:
         by_word = min(1.0, terminality(closes, total, "item", last, 0.0) / 0.12)
         n_first = total[slot("first", first)]
         by_frame = 1.0 if n_first < 20 else min(1.0, 40.0 * total[slot("frame", frame)] / n_first)
-        return min(by_word, by_frame)
+        return min(by_word, by_frame, LEARNED)
     if kind == "list" and re.match(r"^\s*(?:[-*•–]|\d+[.)]?)\s*$", last_line):
         return 0.0
     if kind == "keywords":
         item = bare.rsplit(",", 1)[-1]
         if not item.strip():
             return 0.0
-        return min(1.0, terminality(closes, total, "item", core(item.split()[-1]), 0.0) / 0.12)
+        return min(LEARNED, terminality(closes, total, "item", core(item.split()[-1]), 0.0) / 0.12)
     tail = bare[-400:]
     if bare[-1:] in ".!?。！？":
         if "(" in tail and s[-1:] not in ")]":
@@ -191,7 +193,7 @@ def score(text: str | None, closes: np.ndarray, total: np.ndarray) -> float:
         if ellipsis and bare[-1] == "." and re.search(r"\.\.$", bare):
             return 0.0
         if bare[-2:-1].isdigit() and (m := _NUMBER_END.search(bare[-48:])) and shape(m[2]) == "9":  # 44. may be the start of 44.1 %
-            return min(1.0, terminality(closes, total, "number", f"{m[1].lower()} 9", 0.6) / 0.1)
+            return min(LEARNED, terminality(closes, total, "number", f"{m[1].lower()} 9", 0.6) / 0.1)
         return 1.0
     if bare[-1:] == ":":
         return 1.0 if re.search(r"(?:^|\n)\s*[A-ZÀ-Ý]{3,20}\s?:$", bare) else 0.0
@@ -211,5 +213,5 @@ def score(text: str | None, closes: np.ndarray, total: np.ndarray) -> float:
         return 0.0
     # A question or instruction given back needs no stop; it is cut if its last word is no word.
     if _REQUEST.match(body):
-        return float(total[slot("word", core(words[-1]))] > 0)
-    return max(0.0, terminality(closes, total, "word", core(words[-1]), 0.0) - 0.4) / 0.6
+        return LEARNED * (total[slot("word", core(words[-1]))] > 0)
+    return min(LEARNED, max(0.0, terminality(closes, total, "word", core(words[-1]), 0.0) - 0.4) / 0.6)

@@ -1,14 +1,16 @@
 """Problem 1: text cut off by field or transfer limits.
 
-Near-copies come from min-hash banding over five-word shingles.  A verified pair (Jaccard of 0.8 or more) whose alignment
-ends early in one copy marks that copy, if its closing does not turn out to be whole.  Texts without such a partner are
-scored by the terminality of their closing word (``closing``).  Only texts whose terminality leaves the case open look for a
-partner, among all members of their buckets; large buckets are joined in blocks, and maps of the shingles rule out pairs.
+Near-copies come from min-hash banding over the five-word shingles of beginnings (``shingles``): a text whose closing is not whole by its own structure
+looks for texts that begin like it.  A pair is verified if the longer holds 0.8 or more of the shorter's shingles and an alignment of their
+words ends early in the shorter one; whether it ends inside a word, sentence or item of the longer copy then decides, whatever the closing
+looks like.  Texts without such a copy are scored by the terminality of their closing word (``closing``), with the tokens spent on a
+text as a hint: a text much shorter than its tokens was cut afterwards.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomill.llm import closing
-from foliomill.llm.shingles import LANES, SHINGLE, jaccard, mapped_signatures
+from foliomill.llm.shingles import LANES, SHINGLE, containment, own_level, signatures
 from foliomill.plans.runtime import at_least, cut, small, table
 
 SIMILARITY = 0.8
-#: A matched text of at least this terminality is whole all the same.
+#: A text of at least this terminality is closed by its own structure, so nothing of it is missing.
 WHOLE = 0.999
+#: Tokens a character that only one whole text in a thousand has; texts beyond it are doubted twice as much.
+SPENT, DOUBT = 0.999, 0.5
 #: A large bucket is joined in blocks of so many members.
 BLOCK = 1000
 
@@ -53,17 +57,22 @@ def terminality_table(texts: DataFrame, column: str = "text") -> Broadcast:
 
 
 def scored(texts: DataFrame, key: str, model: Broadcast, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Each row's terminality, hash of its text, min-hash bands (null under five words) and map of shingles."""
-    schema = ", ".join([f"{key} {dict(texts.dtypes)[key]}", *(f"{c} {dict(texts.dtypes)[c]}" for c in keep), "terminality double, words int, text_hash long, bands array<long>", *(f"lane_{k} long" for k in range(LANES))])
+    """Each row's terminality, characters, hash of its text, min-hash bands of all its levels (null if it is too short) and of its own, and map of
+    shingles."""
+    types = dict(texts.dtypes)
+    schema = ", ".join([f"{key} {types[key]}", *(f"{c} {types[c]}" for c in keep), "terminality double, chars int, words int, text_hash long, bands array<long>, own array<long>", *(f"lane_{k} long" for k in range(LANES))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         closes, total = model.value
         for pdf in batches:
             text = pdf["text"].tolist()
-            words, whole, bands, maps = mapped_signatures(text)
+            words, whole, bands, maps = signatures(text)
             out = pdf[[key, *keep]].copy()
             out["terminality"] = [closing.score(x, closes, total) for x in text]
-            out["words"], out["text_hash"], out["bands"] = words, whole, bands
+            out["chars"] = [len(x) if x else 0 for x in text]
+            out["words"], out["text_hash"] = words, whole
+            out["bands"] = [None if x is None else x.ravel() for x in bands]
+            out["own"] = [None if x is None or own_level(n) < 0 else x[own_level(n)] for x, n in zip(bands, words)]
             for k in range(LANES):
                 out[f"lane_{k}"] = maps[:, k]
             yield out
@@ -71,81 +80,122 @@ def scored(texts: DataFrame, key: str, model: Broadcast, keep: tuple[str, ...] =
     return texts.select(key, *keep, "text").mapInPandas(run, schema)
 
 
-def early_ends(short: str, long: str) -> bool:
-    """True if ``short``, aligned word by word with ``long``, runs out while ``long`` goes on.
-
-    The alignment is a banded edit distance over words that lets the rest of ``long`` hang over for free; it must use up
-    all of ``short`` with at most a fifth of its words edited."""
-    a, b = closing.strip_marks(short)[0].split(), long.split()
-    if not a or len(a) >= len(b) or a == b[: len(a) - 1]:
-        return bool(a) and len(a) <= len(b) and a[:-1] == b[: len(a) - 1] and b[len(a) - 1].startswith(a[-1]) and a != b
-    band = max(8, len(a) // 5 + 1)
-    prev = {j: j for j in range(band + 1)}
-    for i, x in enumerate(a, 1):
-        row = {}
-        for j in range(max(0, i - band), min(len(b), i + band) + 1):
-            best = prev.get(j, 1 << 30) + 1
-            if j:
-                y = b[j - 1]
-                same = x == y or (i == len(a) and y.startswith(x))
-                best = min(best, prev.get(j - 1, 1 << 30) + (not same), row.get(j - 1, 1 << 30) + 1)
-            row[j] = best
-        prev = row
-    j, cost = min(prev.items(), key=lambda x: (x[1], x[0]))
-    return cost * 5 <= len(a) and j < len(b)
+def common_words(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence (bit-parallel)."""
+    at: dict[str, int] = defaultdict(int)
+    for i, x in enumerate(a):
+        at[x] |= 1 << i
+    full = v = (1 << len(a)) - 1
+    for y in b:
+        u = v & at.get(y, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(a) - v.bit_count()
+
+
+_WORDS = re.compile(r"\S+")
+_CLOSED = re.compile(r"[.!?。！？][\"'”’»)\]]*$")
+_ITEM = re.compile(r"\s*(?:[-*•–—‣◦·]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s")
+
+
+def ending(short: str, long: str) -> int:
+    """How ``short``, aligned word by word with ``long``, ends: 0, no alignment, or it does not end early; 1, inside a word, sentence or item of
+    ``long``; 2, where one of these ends in ``long``, too.
+
+    The alignment must keep SIMILARITY of the words of ``short``; marks added after the cut do not count."""
+    a = closing.strip_marks(short)[0].split()
+    spans = [(m.start(), m.end()) for m in _WORDS.finditer(long)]
+    b = [long[x:y] for x, y in spans]
+    if not a:
+        return 0
+    n = len(a)
+    slack = n // 5 + 1
+    if a[:-1] != b[: n - 1] and common_words(a, b[: n + slack]) < SIMILARITY * n:
+        return 0
+    # Where the last words of the shorter text, as many as possible, stand in the longer one, nearest to their own place.
+    for k in range(min(5, n), 0, -1):
+        tail = a[n - k :]
+        places = [j for j in range(max(k, n - slack), min(len(b), n + slack) + 1) if b[j - k : j - 1] == tail[:-1] and b[j - 1].startswith(tail[-1])]
+        if places:
+            j = min(places, key=lambda j: abs(j - n))
+            break
+    else:
+        return 0
+    if b[j - 1] != a[-1]:
+        more = b[j - 1][len(a[-1]) :]
+        # What the longer copy has next is a mark between items, or the word or sentence goes on.
+        return 2 if set(more) <= set(",;") and j < len(b) else 1 if j < len(b) or any(c.isalnum() for c in more) else 0
+    if j == len(b):
+        return 0
+    rest = long[spans[j - 1][1] : spans[j][1]]
+    if _CLOSED.search(a[-1]) and (rest[:1] == "\n" or not b[j][:1].islower()) or "\n" in rest and (_ITEM.match(long, spans[j][0]) or "\n\n" in rest):
+        return 2
+    return 1
 
 
 def early_copies(texts: DataFrame, sig: DataFrame, key: str) -> DataFrame:
-    """(key, partner): texts that are ``open`` and whose verified near-copy goes on where they end.
+    """(key, partner, inside): texts that are ``open`` and have a verified copy that goes on where they end; inside is true if one of the
+    copies goes on in the middle of a word, sentence or item.
 
-    ``sig`` holds a row for each distinct text (its least key).  An open text meets every other member of its buckets: the
-    members of a bucket are dealt into blocks of BLOCK, each of which meets all its open texts."""
+    ``sig`` holds a row for each distinct text (its least key).  An open text meets every other text that has one of its own bands: the
+    texts of a band are dealt into blocks of BLOCK, each of which meets all its open texts."""
     lanes = [f"lane_{k}" for k in range(LANES)]
-    entries = sig.select(key, "words", "open", *lanes, F.explode("bands").alias("bucket"))
-    load = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.max("open").alias("any")).filter("n > 1 and any").select("bucket", F.expr(f"int(ceil(n / {BLOCK}))").alias("blocks"))
-    members = cut(entries.join(small(cut(load)), "bucket"))
-    short = members.filter("open").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).select("bucket", "block", key, F.col("words").alias("n_words"), *(F.col(c).alias(f"{c}_a") for c in lanes))
-    other = members.withColumn("block", F.pmod(F.xxhash64(key), "blocks").cast("int")).select("bucket", "block", F.col(key).alias("partner"), "words", *lanes)
-    # A Jaccard of SIMILARITY lets the sets differ in a quarter of the smaller at most; a set has no more shingles than its text.
-    differ = " + ".join(f"bit_count({c} ^ {c}_a)" for c in lanes)
-    most = f"(least(words, n_words) - {SHINGLE - 1}) * {1 / SIMILARITY - 1}D + 1e-6D"
-    pairs = cut(short.join(other, ["bucket", "block"]).filter(F.col(key) != F.col("partner")).filter(f"{differ} <= {most}").select(key, "partner").distinct())
+    open_ = sig.filter("open and own is not null").select(key, F.explode("own").alias("bucket"))
+    asked = cut(open_.groupBy("bucket").agg(F.count("*").alias("n_open")))
+    members = sig.filter("bands is not null").select(F.col(key).alias("partner"), F.explode("bands").alias("bucket")).join(small(asked.select("bucket")), "bucket")
+    members = cut(members)
+    load = cut(members.groupBy("bucket").agg(F.expr(f"int(ceil(count(*) / {BLOCK}))").alias("blocks")).filter("blocks > 0"))
+    short = open_.join(small(load), "bucket").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).select("bucket", "block", key)
+    other = members.join(small(load.filter("blocks > 1")), "bucket", "left").select("bucket", F.expr("coalesce(int(pmod(xxhash64(partner), blocks)), 0)").alias("block"), "partner")
+    met = short.join(other, ["bucket", "block"]).filter(F.col(key) != F.col("partner")).select(key, "partner").distinct()
+    # Every shingle that the longer copy lacks sets at most one bit that it lacks.
+    fields = cut(sig.select(key, "words", *lanes))
+    a, b = (small(fields.select(F.col(key).alias(name), *(F.col(c).alias(f"{c}_{x}") for c in ("words", *lanes)))) for name, x in ((key, "a"), ("partner", "b")))
+    alone = " + ".join(f"bit_count({c}_a & ~{c}_b)" for c in lanes)
+    pairs = cut(met.join(a, key).join(b, "partner").filter(f"{alone} <= {1 - SIMILARITY}D * words_a + {SHINGLE}").select(key, "partner"))
     need = pairs.select(key).union(pairs.select("partner")).distinct()
     bodies = texts.join(small(need), key, "left_semi").groupBy(key).agg(F.first("text").alias("text"))
     both = pairs.join(bodies, key).join(bodies.select(F.col(key).alias("partner"), F.col("text").alias("whole")), "partner")
 
-    @F.pandas_udf("boolean")
-    def ends_early(text: pd.Series, whole: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(a, b) >= SIMILARITY and early_ends(a, b) for a, b in zip(text, whole)])
+    @F.pandas_udf("int")
+    def ends(text: pd.Series, whole: pd.Series) -> pd.Series:
+        return pd.Series([ending(a, b) if containment(a, b) >= SIMILARITY else 0 for a, b in zip(text, whole)])
 
-    return both.filter(ends_early("text", "whole")).groupBy(key).agg(F.min("partner").alias("partner"))
+    return both.withColumn("end", ends("text", "whole")).filter("end > 0").groupBy(key).agg(F.min("partner").alias("partner"), F.max(F.expr("end = 1")).alias("inside"))
 
 
-def truncated(texts: DataFrame, key: str = "result_id", source: str = "source") -> DataFrame:
+def truncated(texts: DataFrame, key: str = "result_id", source: str = "source", tokens: str = "generated_tokens", match: bool = True) -> DataFrame:
     """One row a distinct key: source, terminality, partner (of the near-copy that goes on), truncated.
 
     Rows with a null key are left out; a null, empty or markless text is not truncated; repeated rows of a key count once
-    (their least terminality and source); texts of any length are read whole; an empty table gives an empty result; other
-    columns of ``texts`` are ignored.  A text with a verified longer copy is truncated if its alignment ends early and its
-    closing is not whole (terminality under WHOLE); any other text if its terminality is under ``closing.CUTOFF``.  A partner
-    is looked for only where it decides, between the two."""
-    base = at_least(texts.select(F.col(key).alias("key"), F.col(source).alias("source"), "text").filter("key is not null"))
+    (their least terminality and source, their most tokens); null tokens are no hint; texts of any length are read whole; an empty table gives an empty
+    result; other columns of ``texts`` are ignored.  A text closed by its own structure (terminality of WHOLE or more) is whole.  Any other text
+    with a verified longer copy is truncated if the copy goes on inside a word, sentence or item; without such a copy if its terminality, times DOUBT for a
+    text with more tokens a character than whole texts have, is under ``closing.CUTOFF``.  ``match=False`` leaves the copies out."""
+    base = at_least(texts.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(tokens).cast("int").alias("tokens"), "text").filter("key is not null"))
     model = terminality_table(base)
-    rows = cut(scored(base, "key", model, ("source",)))
-    one = rows.filter("bands is not null").groupBy("text_hash").agg(F.min("key").alias("key"), F.first("words").alias("words"), F.first("bands").alias("bands"), F.min(F.expr(f"terminality >= {closing.CUTOFF}D and terminality < {WHOLE}D")).alias("open"), *(F.first(f"lane_{k}").alias(f"lane_{k}") for k in range(LANES)))
-    matched = early_copies(base, one, "key")
-    matched = cut(matched.join(one.select("key", "text_hash"), "key").select("text_hash", "partner"))
-    same = rows.select("key", "text_hash").join(small(matched), "text_hash").groupBy("key").agg(F.min("partner").alias("partner"))
-    flat = rows.groupBy("key").agg(F.min("source").alias("source"), F.min("terminality").alias("terminality"))
-    out = flat.join(same, "key", "left").withColumn("truncated", F.when(F.col("partner").isNotNull(), F.col("terminality") < WHOLE).otherwise(F.col("terminality") < closing.CUTOFF))
-    return out.select(F.col("key").alias(key), F.col("source").alias("source"), "terminality", "partner", "truncated")
+    rows = cut(scored(base, "key", model, ("source", "tokens")))
+    spent = F.col("tokens") / F.greatest(F.col("chars"), F.lit(1))
+    usual = rows.filter(f"terminality >= {WHOLE}D and words >= 5 and tokens is not null").agg(F.percentile_approx(spent, SPENT, 10_000)).first()[0]
+    doubt = F.when(spent > F.lit(usual), F.lit(DOUBT)).otherwise(F.lit(1.0)) if usual is not None else F.lit(1.0)
+    one = rows.filter("bands is not null").groupBy("text_hash").agg(F.min("key").alias("key"), *(F.first(c).alias(c) for c in ("words", "bands", "own")), F.min(F.expr(f"terminality < {WHOLE}D")).alias("open"), *(F.first(f"lane_{k}").alias(f"lane_{k}") for k in range(LANES)))
+    if match:
+        one = cut(one)
+        found = early_copies(base, one, "key")
+    else:
+        found = one.limit(0).select("key", F.col("key").alias("partner"), F.lit(True).alias("inside"))
+    matched = cut(found.join(one.select("key", "text_hash"), "key").select("text_hash", "partner", "inside"))
+    same = rows.select("key", "text_hash").join(small(matched), "text_hash").groupBy("key").agg(F.min("partner").alias("partner"), F.max("inside").alias("inside"))
+    flat = rows.groupBy("key").agg(F.min("source").alias("source"), F.min("terminality").alias("terminality"), F.min(F.col("terminality") * doubt).alias("doubted"))
+    out = flat.join(same, "key", "left")
+    verdict = F.when(F.col("terminality") >= WHOLE, False).when(F.col("partner").isNotNull(), F.col("inside")).otherwise(F.col("doubted") < closing.CUTOFF)
+    return out.select(F.col("key").alias(key), F.col("source").alias("source"), "terminality", "partner", verdict.alias("truncated"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncated(table(spark, sf_dir, "generation_results", ["result_id", "source", "text"])).filter("truncated").select("result_id")
+    return truncated(table(spark, sf_dir, "generation_results", ["result_id", "source", "text", "generated_tokens"])).filter("truncated").select("result_id")
 
 
 def p1_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of truncated rows for each source (null sources as one group)."""
-    rows = truncated(table(spark, sf_dir, "generation_results", ["result_id", "source", "text"]))
+    rows = truncated(table(spark, sf_dir, "generation_results", ["result_id", "source", "text", "generated_tokens"]))
     return rows.groupBy("source").agg(F.count("*").alias("n_rows"), F.sum(F.col("truncated").cast("long")).alias("n_truncated")).withColumn("share", F.round(F.col("n_truncated") / F.col("n_rows"), 6))

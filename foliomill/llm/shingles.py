@@ -1,4 +1,7 @@
-"""Five-word shingles and one-permutation min-hash, vectorised over a batch of texts."""
+"""Five-word shingles and one-permutation min-hash of the beginnings of texts, vectorised over a batch of texts.
+
+A text that was cut off is the beginning of its full copy, so min-hashes are taken of beginnings: of the first LEVELS[0] words, of four times as many,
+and so on.  A cut text meets its copy at the longest beginning that it still has, however much of it is lost."""
 
 from __future__ import annotations
 
@@ -13,6 +16,8 @@ BANDS, ROWS = 8, 3
 _BINS = BANDS * ROWS
 #: 64-bit lanes of the map of a text's shingles.
 LANES = 4
+#: Words of the beginnings that are hashed.
+LEVELS = tuple(8 * 4**k for k in range(12))
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _WORD = re.compile(r"\w+")
 
@@ -49,34 +54,37 @@ def rolling(stream: np.ndarray, size: int) -> np.ndarray:
     return mix(acc)
 
 
-def signatures(texts: list[str | None]) -> tuple[list[int], list[int], list[np.ndarray | None]]:
-    """Word counts, whole-text hashes and band hashes (None under SHINGLE words) of a batch.
-
-    One-permutation min-hash: a shingle falls into one of BANDS * ROWS bins, each bin keeps its least hash, an empty bin
-    borrows the next filled one's; a band is the hash of ROWS bins."""
-    return mapped_signatures(texts)[:3]
-
+def signatures(texts: list[str | None]) -> tuple[list[int], list[int], list[np.ndarray | None], np.ndarray]:
+    """Word counts, whole-text hashes, band hashes and maps of shingles of a batch.
 
-def mapped_signatures(texts: list[str | None]) -> tuple[list[int], list[int], list[np.ndarray | None], np.ndarray]:
-    """``signatures`` and a map of each text's shingles: each sets one of LANES * 64 bits, so two maps differ in no more bits than
-    the texts in shingles."""
+    The band hashes have a row for each level a text reaches (None under LEVELS[0] words).  One-permutation min-hash: a shingle falls into one of
+    BANDS * ROWS bins, each bin keeps the least hash of the beginning, an empty bin borrows the next filled one's; a band is the hash of ROWS
+    bins and of the level.  In the map each shingle sets one of LANES * 64 bits, so of two maps no more bits than shingles are set in one only."""
     words = [words_of(x) if x else [] for x in texts]
     counts = np.fromiter(map(len, words), np.int64, len(words))
     whole = [xxhash.xxh64_intdigest((x or "").encode("utf-8", "surrogatepass")) - (1 << 63) for x in texts]
-    many = np.flatnonzero(counts >= SHINGLE)
     bands: list[np.ndarray | None] = [None] * len(texts)
     maps = np.zeros((len(texts), LANES), np.uint64)
+    many = np.flatnonzero(counts >= LEVELS[0])
     if len(many):
         n = counts[many]
         hashes = rolling(np.fromiter((_HASH[w] for i in many for w in words[i]), np.uint64, int(n.sum())), SHINGLE)
-        owner = np.repeat(np.arange(len(many)), n)[: len(hashes)]
-        inside = owner == np.repeat(np.arange(len(many)), n)[SHINGLE - 1 :]
-        hashes, owner = hashes[inside], owner[inside]
+        owner = np.repeat(np.arange(len(many)), n)
+        place = (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n))[: len(hashes)]
+        inside = owner[: len(hashes)] == owner[SHINGLE - 1 :]
+        hashes, owner, place = hashes[inside], owner[: len(hashes)][inside], place[inside]
         np.bitwise_or.at(maps, (many[owner], ((hashes >> np.uint64(38)) % np.uint64(LANES)).astype(np.int64)), np.uint64(1) << (hashes >> np.uint64(32) & np.uint64(63)))
+        bounds = np.array(LEVELS)
+        levels = np.searchsorted(bounds, n, side="right")  # how many levels each text reaches
+        first = np.cumsum(levels) - levels
+        level = np.searchsorted(bounds - SHINGLE + 1, place, side="right")  # at which level a shingle comes in
+        used = level < levels[owner]
         free = np.iinfo(np.uint64).max
-        bins = np.full(len(many) * _BINS, free, np.uint64)
-        np.minimum.at(bins, owner * _BINS + (hashes % np.uint64(_BINS)).astype(np.int64), hashes // np.uint64(_BINS))
-        bins = bins.reshape(-1, _BINS)
+        bins = np.full((int(levels.sum()), _BINS), free, np.uint64)
+        np.minimum.at(bins.reshape(-1), (first[owner] + level)[used] * _BINS + (hashes[used] % np.uint64(_BINS)).astype(np.int64), hashes[used] // np.uint64(_BINS))
+        for k in range(1, int(levels.max())):  # a beginning holds the shorter ones
+            at = first[levels > k] + k
+            bins[at] = np.minimum(bins[at], bins[at - 1])
         empty = bins == free
         for _ in range(_BINS):  # an empty bin takes over its right neighbour's value, changed
             if not empty.any():
@@ -84,20 +92,25 @@ def mapped_signatures(texts: list[str | None]) -> tuple[list[int], list[int], li
             right = np.roll(bins, -1, axis=1)
             bins = np.where(empty & (right != free), right ^ _M2, bins)
             empty = bins == free
-        acc = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(many), BANDS)).copy()
+        of = (np.arange(len(bins)) - np.repeat(first, levels)).astype(np.uint64)
+        acc = np.arange(BANDS, dtype=np.uint64)[None, :] + of[:, None] * np.uint64(BANDS)
         for k in range(ROWS):
             acc = mix(acc * _M1 + bins[:, k::ROWS])
-        for i, row in zip(many.tolist(), acc.view(np.int64)):
-            bands[i] = row
+        for i, at, size in zip(many.tolist(), first.tolist(), levels.tolist()):
+            bands[i] = acc[at : at + size].view(np.int64)
     return counts.tolist(), whole, bands, maps.view(np.int64)
 
 
-def jaccard(a: str, b: str) -> float:
-    """Of the sets of five-word shingles; texts under five words are one shingle."""
+def own_level(n_words: int) -> int:
+    """The level at which a text of so many words, its last perhaps in pieces, looks for its copy; -1 if it is too short."""
+    return int(np.searchsorted(np.array(LEVELS), n_words - 1, side="right")) - 1
+
+
+def containment(a: str, b: str) -> float:
+    """Share of the five-word shingles of ``a``, but for those of its last word, that ``b`` has."""
 
-    def sets(x: str) -> set:
-        w = words_of(x)
+    def sets(w: list[str]) -> set:
         return {tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))}
 
-    x, y = sets(a), sets(b)
-    return len(x & y) / len(x | y)
+    x = sets(words_of(a)[:-1])
+    return len(x & sets(words_of(b))) / len(x)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,40 +41,100 @@ def test_cut(model, text):
 
 def test_near_copy_alignment():
     long = " ".join(f"w{i}" for i in range(100)) + "."
-    assert p1_truncation.early_ends(" ".join(f"w{i}" for i in range(85)), long)
-    assert p1_truncation.early_ends(" ".join(f"w{i}" if i != 40 else "x" for i in range(85)) + "…", long)
-    assert not p1_truncation.early_ends(long, long)
-    assert not p1_truncation.early_ends(" ".join(f"v{i}" for i in range(85)), long)
-
-
-def test_signatures_find_near_copies():
+    assert p1_truncation.ending(" ".join(f"w{i}" for i in range(85)), long) == 1
+    assert p1_truncation.ending(" ".join(f"w{i}" if i != 40 else "x" for i in range(85)) + "…", long) == 1
+    assert p1_truncation.ending(" ".join(f"w{i}" for i in range(30)) + " w3", long) == 1
+    assert p1_truncation.ending(long, long) == 0 == p1_truncation.ending("", long)
+    assert p1_truncation.ending(" ".join(f"v{i}" for i in range(85)), long) == 0
+    assert p1_truncation.ending(PROSE[: PROSE.index("We compare") - 1], PROSE) == 2  # a sentence ends here
+    assert p1_truncation.ending("Keywords: clinical sensor, neural parser", "Keywords: clinical sensor, neural parser, porous assay") == 2
+    assert p1_truncation.ending("Keywords: clinical sensor, neural", "Keywords: clinical sensor, neural parser, porous assay") == 1
+    assert p1_truncation.ending(ITEMS.rsplit("\n", 1)[0], ITEMS) == 2 and p1_truncation.ending(ITEMS[:-7], ITEMS) == 1
+
+
+def test_signatures_find_cut_copies():
     base = [f"w{i}" for i in range(120)]
-    a, b = " ".join(base), " ".join(base[:108])
-    _, _, bands = shingles.signatures([a, b, None, "", "few words"])
-    assert shingles.jaccard(a, b) > 0.8 and (bands[0] == bands[1]).any() and bands[2:] == [None, None, None]
+    a, b = " ".join(base), " ".join(base[:40])
+    counts, _, bands, _ = shingles.signatures([a, b, None, "", "few words"])
+    own = shingles.own_level(counts[1])
+    assert (bands[0][own] == bands[1][own]).all() and bands[2:] == [None, None, None] and len(bands[0]) == 2
+    assert shingles.containment(b, a) == 1.0 and shingles.own_level(8) == -1
+
+
+def planted(rng, n=250):
+    """Whole texts of 30 to 150 words, and of each a copy cut anywhere after its tenth word, every third with a word changed."""
+    words = "clinical sensor neural parser porous assay hybrid vaccine nested genome viral sampling coupled embedding lateral filament".split()
+    whole, cut = [], []
+    for _ in range(n):
+        x = [rng.choice(words) + str(rng.randrange(300)) for _ in range(rng.randrange(30, 150))]
+        for k in range(9, len(x), 10):
+            x[k] += "."
+        x[-1] = x[-1].rstrip(".") + "."
+        text = " ".join(x)
+        at = rng.randrange(len(" ".join(x[:12])), len(text) - 3)
+        y = text[:at].split(" ")
+        if rng.random() < 0.33 and len(y) > 14:
+            y[rng.randrange(9, len(y) - 2)] = "changed"
+        whole.append(text)
+        cut.append(" ".join(y))
+    return whole, cut
+
+
+def test_matching_finds_planted_copies(spark):
+    """Without any terminality: at least nine in ten cut copies are matched, and the alignment knows which end inside a sentence."""
+    whole, cut = planted(random.Random(3))
+    rows = list(enumerate(whole)) + [(1000 + i, x) for i, x in enumerate(cut)]
+    counts, _, bands, maps = shingles.signatures([x for _, x in rows])
+    lanes = [f"lane_{k}" for k in range(shingles.LANES)]
+    sig = [(k, n, k >= 1000, b.ravel().tolist(), b[shingles.own_level(n)].tolist(), *map(int, m)) for (k, _), n, b, m in zip(rows, counts, bands, maps)]
+    sig = spark.createDataFrame(sig, f"key long, words int, open boolean, bands array<long>, own array<long>, {', '.join(f'{c} long' for c in lanes)}")
+    got = {r["key"]: r for r in p1_truncation.early_copies(spark.createDataFrame(rows, "key long, text string"), sig, "key").collect()}
+    assert sum(got[k]["partner"] == k - 1000 for k in got) >= 0.9 * len(cut)
+    wrong = [k for k in got if got[k]["inside"] == (cut[k - 1000].endswith("."))]
+    assert len(wrong) <= 0.02 * len(cut), [cut[k - 1000][-30:] for k in wrong]
+
+
+def test_matching_decides(spark):
+    """List items cut after a word that may well close an item: only the full copies tell."""
+    items = [f"- tables about the porous assay\n- discussion of the hybrid vaccine\n- use of case {i} in plot {i} with a clinical sensor and a neural parser\n- study of the nested genome for site {i} from the lateral field plots" for i in range(30)]
+    cut = [x[: x.index(" for site")] for x in items]
+    rows = [(i, "A", x, 50, "x") for i, x in enumerate(items)] + [(100 + i, "A", x, 50, "x") for i, x in enumerate(cut[:10])]
+    rows += [(200 + i, "A", f"- study of the nested genome\n- tables about the lateral genome\n- discussion of case {i}", 30, "x") for i in range(30)]
+    df = spark.createDataFrame(rows, "result_id long, source string, text string, generated_tokens int, inside string")
+    found = lambda **k: {r["result_id"] for r in p1_truncation.truncated(df, **k).filter("truncated").collect()}
+    assert found() - found(match=False) == set(range(100, 110))
+
+
+def test_tokens_are_a_hint(spark):
+    """A closing that is neither sure nor doubtful counts as cut if far more tokens were spent than such a text has."""
+    plain = [(i, "A", f"The sensor was kept in plot {i}. {SENTENCES[1]}", 20, "x") for i in range(200)]
+    rows = plain + [(1000, "A", "It remains open whether the nested genome and the porous assay", 14, "x"), (1001, "A", "It remains open whether the nested genome and the porous assay", 90, "x"), (1002, "A", "It remains open whether the nested genome and the porous assay", None, "x"), (1003, "A", SENTENCES[0], 900, "x")]
+    df = spark.createDataFrame(rows, "result_id long, source string, text string, generated_tokens int, chars string")
+    got = {r["result_id"]: r for r in p1_truncation.truncated(df, match=False).collect()}
+    assert not got[1003]["truncated"] and got[1000]["terminality"] == got[1001]["terminality"]
+    assert got[1001]["truncated"] >= got[1000]["truncated"] == got[1002]["truncated"]
 
 
 def test_truncated(spark):
     whole = PROSE
-    rows = [(1, "A", whole, "x"), (1, "A", whole, "x"), (2, "A", whole[:-25], "x"), (3, None, None, "x"), (4, "B", "", "x"), (5, "B", "Yes.", "x"), (6, "B", '[{"cue": "a', "x"), (None, "B", whole, "x")]
+    rows = [(1, "A", whole, 90, "x"), (1, "A", whole, None, "x"), (2, "A", whole[:-25], 90, "x"), (3, None, None, 9, "x"), (4, "B", "", None, "x"), (5, "B", "Yes.", 1, "x"), (6, "B", '[{"cue": "a', 5, "x"), (None, "B", whole, 90, "x")]
     # Near-copies of one text hold more than a third of the rows.
-    rows += [(100 + i, "C", f"{whole} Case {i} ends here.", "x") for i in range(20)]
-    df = spark.createDataFrame(rows, "result_id long, source string, text string, key string")
+    rows += [(100 + i, "C", f"{whole} Case {i} ends here.", 90, "x") for i in range(20)]
+    df = spark.createDataFrame(rows, "result_id long, source string, text string, generated_tokens int, key string")
     got = {r["result_id"]: r["truncated"] for r in p1_truncation.truncated(df).collect()}
     assert len(got) == 26 and {k for k, v in got.items() if v} == {2, 6}
     assert p1_truncation.truncated(df.limit(0)).count() == 0
 
 
-def test_every_partner_of_a_bucket_is_tried(spark):
-    """The longest of a family is no near-copy of the shortest, but the middle one is; a bucket in common and closings left open."""
-    words = [f"w{i}" for i in range(100)]
-    texts = {1: " ".join(words[:78]), 2: " ".join(words[:95]), 3: " ".join(words)}
-    assert shingles.jaccard(texts[1], texts[3]) < 0.8 <= shingles.jaccard(texts[1], texts[2])
-    _, _, bands, maps = shingles.mapped_signatures(list(texts.values()))
-    lanes = [f"lane_{k}" for k in range(shingles.LANES)]
-    sig = spark.createDataFrame([(k, len(x.split()), True, [7], *map(int, m)) for (k, x), m in zip(texts.items(), maps)], f"key long, words int, open boolean, bands array<long>, {', '.join(f'{c} long' for c in lanes)}")
-    df = spark.createDataFrame(list(texts.items()), "key long, text string")
-    assert {(r["key"], r["partner"]) for r in p1_truncation.early_copies(df, sig, "key").collect()} == {(1, 2), (2, 3)}
+def test_large_buckets_are_joined_in_blocks(spark, monkeypatch):
+    """A third of the texts begin alike; each of their cut copies finds its own."""
+    monkeypatch.setattr(p1_truncation, "BLOCK", 7)
+    head = " ".join(f"h{i}" for i in range(10))
+    rows = [(i, "A", f"{head} {' '.join(f'w{i}x{j}' for j in range(30))}.", 60, "x") for i in range(60)]
+    rows += [(100 + i, "A", rows[i][2][:-40], 60, "x") for i in range(20)]
+    df = spark.createDataFrame(rows, "result_id long, source string, text string, generated_tokens int, block string")
+    got = {r["result_id"]: r["partner"] for r in p1_truncation.truncated(df).collect()}
+    assert {k: v for k, v in got.items() if v is not None} == {100 + i: i for i in range(20)}
 
 
 def test_language():
