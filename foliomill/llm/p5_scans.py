@@ -1,10 +1,10 @@
 """Problem 5: noise in text from scanned pages.
 
 Word counts and skip-gram vectors are learned from all samples: counts by partial aggregation, vectors by skip-gram with negative
-sampling on each partition from one start, averaged by word over the partitions, round by round.  Only words of at least a
-millionth (vectors: a fifty-thousandth) of all tokens are kept, which bounds both tables whatever the corpus.  Rare words are linked to
-frequent neighbours by plausible glyph edits and corrected in context; then furniture is removed and paragraphs are reflowed
-(``scan_lines``).
+sampling on each split of the samples from one start, averaged by word over the splits, round by round.  The splits go by a hash of the sample, so
+the vectors do not depend on how the table is stored.  Only words of at least a millionth (vectors: a fifty-thousandth) of all tokens are
+kept, which bounds both tables whatever the corpus.  A rare word has the vector that its context gives it; it is linked to neighbours within plausible
+glyph edits and corrected in context; then furniture is removed and paragraphs are reflowed (``scan_lines``).
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from foliomill.plans.runtime import cut, table
 #: Least share of all tokens: of a word of the vocabulary (so at most 10^6 words), and of one with a vector (at most 50,000).
 WORD_SHARE, VECTOR_SHARE = 1e-6, 2e-5
 DIMENSIONS, WIDTH, NEGATIVES, ROUNDS, BATCH, RATE = 24, 3, 4, 2, 4096, 0.06
+#: Splits of the samples: so many at least, and one more for so many samples.
+SPLITS, SPLIT_SAMPLES = 24, 4096
 #: A line is a known head if its form stands alone in at least this share of the samples.
 HEAD_SHARE = 0.002
 
@@ -113,6 +115,27 @@ def train_partition(ids: list[np.ndarray], inner: np.ndarray, outer: np.ndarray,
     return inner, outer, seen
 
 
+class Ids(dict):
+    """token -> number of its word, -1 if it has no vector; computed once a word form."""
+
+    def __init__(self, ids: dict[str, int]):
+        super().__init__()
+        self.ids = ids
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        k = self[token] = self.ids.get(scan_lines.core(token), -1)
+        return k
+
+
+def by_split(samples: DataFrame) -> DataFrame:
+    """(sample_id, markdown), each sample once (its least text), a partition each split: the splits depend on the samples only."""
+    rows = samples.filter("sample_id is not null").select("sample_id", "markdown")
+    splits = max(SPLITS, -(-rows.count() // SPLIT_SAMPLES))
+    return rows.repartition(splits, "sample_id").groupBy("sample_id").agg(F.min("markdown").alias("markdown"))
+
+
 def skip_gram(samples: DataFrame, counts: dict[str, int], total: int) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
     """Word ids and both vector tables, by ROUNDS of training on every partition and averaging."""
     words = sorted(w for w, n in counts.items() if n >= max(3, VECTOR_SHARE * total))
@@ -124,22 +147,27 @@ def skip_gram(samples: DataFrame, counts: dict[str, int], total: int) -> tuple[d
     if not words:
         return ids, inner, outer
     spark = samples.sparkSession
+    names = [f"v{k}" for k in range(2 * DIMENSIONS)]
     for r in range(ROUNDS):
         state = spark.sparkContext.broadcast((ids, inner, outer, weights))
 
         def run(batches: Iterator[pd.DataFrame], state=state, r=r) -> Iterator[pd.DataFrame]:
             ids, inner, outer, weights = state.value
-            for pdf in batches:
-                texts = [np.fromiter((ids.get(scan_lines.core(w), -1) for w in scan_lines.vocabulary_tokens(x)), np.int64) for x in pdf["markdown"] if x]
-                a, b, seen = train_partition([x for x in texts if len(x) > WIDTH], inner, outer, weights, 100 + r)
-                used = np.flatnonzero(seen)
-                yield pd.DataFrame({"id": used, "n": seen[used], "v": [np.concatenate([a[k], b[k]]).astype(np.float64) * seen[k] for k in used]})
-
-        moved = samples.select("markdown").mapInPandas(run, "id int, n long, v array<double>")
-        mean = moved.select("id", "n", F.posexplode("v").alias("i", "x")).groupBy("id", "i").agg((F.sum("x") / F.sum("n")).alias("x")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).select("id", F.col("v.x").alias("v")).toPandas()
+            known = Ids(ids)
+            # A partition is a split, see ``by_split``; its samples in one order, whatever order they came in.
+            split = sorted((x for pdf in batches for x in zip(pdf["sample_id"], pdf["markdown"]) if x[1]), key=lambda x: x[0])
+            texts = [np.fromiter((known[w] for w in scan_lines.vocabulary_tokens(x)), np.int64) for _, x in split]
+            a, b, seen = train_partition([x for x in texts if len(x) > WIDTH], inner, outer, weights, 100 + r)
+            used = np.flatnonzero(seen)
+            moved = np.concatenate([a[used], b[used]], axis=1).astype(np.float64) * seen[used, None]
+            yield pd.DataFrame(moved, columns=names).assign(id=used, n=seen[used])[["id", "n", *names]]
+
+        moved = samples.select("sample_id", "markdown").mapInPandas(run, "id int, n long, " + ", ".join(f"{c} double" for c in names))
+        # Rounded, so that the order of the sums does not show.
+        mean = moved.groupBy("id").agg(*(F.round(F.sum(c) / F.sum("n"), 6).alias(c) for c in names)).toPandas()  # a row a word with a vector
         inner, outer = inner.copy(), outer.copy()
-        for k, v in zip(mean["id"], mean["v"]):
-            inner[k], outer[k] = v[:DIMENSIONS], v[DIMENSIONS:]
+        at, values = mean["id"].to_numpy(), mean[names].to_numpy(np.float32)
+        inner[at], outer[at] = values[:, :DIMENSIONS], values[:, DIMENSIONS:]
     return ids, inner, outer
 
 
@@ -160,7 +188,7 @@ def repaired(samples: DataFrame) -> DataFrame:
 
     Rows without a sample_id are left out; a null or empty markdown gives an empty text and no noise; repeated rows count once (the
     least text); texts are read whole; an empty table gives an empty result; other columns are ignored."""
-    base = cut(samples.filter("sample_id is not null").groupBy("sample_id").agg(F.min("markdown").alias("markdown")))
+    base = cut(by_split(samples))
     model = learn(base)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

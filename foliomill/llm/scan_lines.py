@@ -29,6 +29,16 @@ _ROMAN = re.compile(r"(?:c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$", re.I)
 _LIST = re.compile(r"\s*(?:[-*•–+]|\(?\d{1,3}[.)]|\(?[a-z][.)])\s+\S")
 _HEAD_NUMBER = re.compile(r"^(?P<left>\W{0,2}[\dlOIS]{1,5}\W{0,2}?(?:\s{2,}|\s+[|·•—–]\s+))?(?P<core>.*?)(?P<right>(?:\s{2,}|\s+[|·•—–]\s+)\W{0,2}[\dlOIS]{1,5}\W{0,2})?$")
 _SENTENCE_END = re.compile(r"[.!?:;][\"'”’»)\]]*$")
+_JOURNAL = re.compile(r",\s*\S{3}[.,]?\s*[\dlOIS]{1,4}\s*\([\dlOIS]{4}\)")
+_SIDES = re.compile(r"^\W*[\dlOIS]{1,5}\s{2,}|\s{2,}[\dlOIS]{1,5}\W*$")
+_LETTERS3 = re.compile(r"[^\W\d_]{3}")
+_ET_AL = re.compile(r"(?i)\bet al\.$")
+_NO_WORD = re.compile(r"[^\w ]")
+_BLANKS = re.compile(r"\s+")
+_SECOND = re.compile(r"\d{1,3}\. ")
+_STOP = re.compile(r"[.!?:][\"'”’»)\]]*$")
+#: Look-alikes evened out in heads.
+_EVEN = str.maketrans("013589íìéèóú", "olesbgiieeou")
 
 
 def core(token: str) -> str:
@@ -50,30 +60,58 @@ def vocabulary_tokens(markdown: str) -> list[str]:
     return out
 
 
+class Tokens(dict):
+    """token -> (core, whether it may be a misreading), computed once a word form."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, token: str) -> tuple[str, bool]:
+        if len(self) > 500_000:
+            self.clear()
+        w = core(token)
+        n = self.model.counts.get(w, 0)
+        doubtful = bool(w) and (n * 5_000 < self.model.total or not w.isalpha())
+        out = self[token] = (w, doubtful)
+        return out
+
+
+#: A word is a misreading of another if the log-odds for it by context, and COUNTS times those by counts, reach so much: for a word with marks
+#: that no word has, for any other word, and for a word of three letters or fewer.  Counts say little more once they differ much, so context has the say.
+COUNTS, ODD, PLAIN, SHORT = 0.4, 0.7, 1.5, 2.0
+
+
 class Model:
     """Corpus word counts, skip-gram vectors, and head lines known from the corpus."""
 
     def __init__(self, counts: dict[str, int], total: int, ids: dict[str, int], inner: np.ndarray, outer: np.ndarray, heads: frozenset[str]):
-        self.counts, self.total, self.ids, self.inner, self.outer, self.heads = counts, total, ids, inner, outer, heads
-        self.known: dict[str, list[str]] = {}
-
-    def edits(self, word: str) -> list[str]:
-        """Words of the vocabulary that ``word`` may be a misreading of: one or two glyph edits, or stray marks dropped."""
-        if word in self.known:
-            return self.known[word]
-        found: set[str] = set()
-        bare = "".join(c for c in word if c not in STRAYS)
-        if bare != word and bare in self.counts:
-            found.add(bare)
+        self.counts, self.total, self.ids, self.outer, self.heads = counts, total, ids, outer, heads
+        weights = np.array([counts[w] for w in sorted(ids, key=ids.__getitem__)], float) ** 0.75
+        # Vectors are taken against the mean word, so that 0 is the fit of any word, and scaled by the spread of fits, so that the context has the same
+        # say however long they were trained.
+        self.inner = inner
+        if len(weights):
+            weights /= weights.sum()
+            self.inner = inner - weights @ inner
+            spread = math.sqrt(np.trace((outer.T * weights) @ outer @ (self.inner.T * weights) @ self.inner))
+            self.inner = self.inner / max(spread, 1e-9)
+        self.near: dict[str, frozenset[str]] = {}
+        self.far: dict[str, frozenset[str]] = {}
+        self.tokens = Tokens(self)
+
+    def edits(self, word: str, two: bool = False) -> frozenset[str]:
+        """Words of the vocabulary that ``word`` may be a misreading of: one glyph edit away or with stray marks dropped; with ``two``, two edits away."""
+        memory = self.far if two else self.near
+        if word in memory:
+            return memory[word]
         first = self.step(word)
-        found.update(w for w in first if w in self.counts)
-        if not found and len(word) > 4:
-            for w in first | {bare}:
-                found.update(x for x in self.step(w) if x in self.counts)
-        found.discard(word)
-        if len(self.known) > 500_000:
-            self.known.clear()
-        self.known[word] = out = sorted(found, key=lambda w: -self.counts[w])
+        bare = "".join(c for c in word if c not in STRAYS)
+        first.add(bare)
+        reached = first if not two else {x for w in first for x in self.step(w)} if len(word) > 4 else set()
+        if len(memory) > 500_000:
+            memory.clear()
+        out = memory[word] = frozenset(w for w in reached if w in self.counts and w != word)
         return out
 
     @staticmethod
@@ -87,32 +125,41 @@ class Model:
                     out.add(word[:i] + true + word[i + size :])
         return out
 
-    def fit(self, word: str, context: list[str]) -> float:
-        """Mean log-odds of the skip-gram model for ``word`` amid its context; 0 where it is unknown."""
+    def around(self, context: list[str]) -> np.ndarray | None:
+        """The vector that a context gives the word in it: the mean of its words' outer vectors; None if it has none."""
+        known = [self.ids[c] for c in context if c in self.ids]
+        return self.outer[known].mean(axis=0) if known else None
+
+    def fit(self, word: str, around: np.ndarray | None) -> float:
+        """How much better ``word`` fits a context than any word does, in spreads of the fits; 0 where it is unknown."""
         k = self.ids.get(word)
-        around = [self.ids[c] for c in context if c in self.ids]
-        if k is None or not around:
-            return 0.0
-        return float((self.outer[around] @ self.inner[k]).mean())
+        return 0.0 if k is None or around is None else float(around @ self.inner[k])
 
     def correction(self, word: str, context: list[str]) -> str | None:
-        """The frequent word that a rare word is a misreading of, chosen in context; None if it stands."""
-        own = self.counts.get(word, 0)
-        letters = sum(c.isalpha() for c in word)
+        """The word that ``word`` is a misreading of; None if it stands.
+
+        A rare word's vector is the one its context gives it.  It links to the neighbours that plausible glyph edits reach: what the context
+        says for a neighbour against the word itself, and their counts, decide; the best one counts if that is enough.  Words two edits away are tried if
+        none nearer is."""
+        letters = sum(map(str.isalpha, word))
         if letters < 1 or len(word) < 2 or (letters == len(word) and len(word) < 3):
             return None
-        sure = len(word) > 3 or letters < len(word) or "c" in word or "b" in word or "í" in word
         odd = letters < len(word) and not re.fullmatch(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*", word)
-        best = None
-        for candidate in self.edits(word)[:8]:
-            n = self.counts[candidate]
-            ratio = n / max(own, 1)
-            if len(candidate) < 3 and not odd or not sure or ratio < (8 if odd else 30):
+        least = ODD if odd else PLAIN if len(word) > 3 else SHORT
+        around = None
+        for two in (False, True):
+            candidates = self.edits(word, two)
+            if not odd:
+                candidates = [w for w in candidates if len(w) > 2]
+            if not candidates:
                 continue
-            score = 0.5 * math.log(n) + self.fit(candidate, context)
-            if best is None or score > best[0]:
-                best = (score, candidate)
-        return best[1] if best else None
+            if around is None:
+                around = self.around(context)
+                base = COUNTS * math.log(max(self.counts.get(word, 0), 1)) + self.fit(word, around)
+            odds, best = max((COUNTS * math.log(self.counts[w]) + self.fit(w, around) - base, w) for w in candidates)
+            if odds >= least:
+                return best
+        return None
 
 
 def page_number(s: str) -> int | None:
@@ -135,12 +182,12 @@ def page_number(s: str) -> int | None:
 
 def head_core(s: str) -> tuple[str, bool]:
     """A line without a page number set apart at its side, with misreadings evened out; whether a number stood there."""
-    m = _HEAD_NUMBER.match(s)
+    m = _HEAD_NUMBER.match(s) if "  " in s or "|" in s or "·" in s or "•" in s or "—" in s or "–" in s else None
     text = (m["core"] if m else s).strip()
     side = bool(m and (m["left"] or m["right"]))
-    even = re.sub(r"[^\w ]", "", text.lower().translate(_HEAD_MARKS))
-    even = even.translate(str.maketrans("013589íìéèóú", "olesbgiieeou")).replace("rn", "m").replace("cl", "d").replace("ii", "u").replace("vv", "w").replace("c", "e").replace("b", "h")
-    return re.sub(r"\s+", " ", even).strip(), side
+    even = _NO_WORD.sub("", text.lower().translate(_HEAD_MARKS)).translate(_EVEN)
+    even = even.replace("rn", "m").replace("cl", "d").replace("ii", "u").replace("vv", "w").replace("c", "e").replace("b", "h")
+    return _BLANKS.sub(" ", even).strip(), side
 
 
 def furniture(lines: list[str], heads: frozenset[str] = frozenset()) -> dict[int, str]:
@@ -188,16 +235,16 @@ def furniture(lines: list[str], heads: frozenset[str] = frozenset()) -> dict[int
 
     for i, (c, side) in cores.items():
         s = stripped[i]
-        if not re.search(r"[^\W\d_]{3}", s) or not c:
+        if not c or not _LETTERS3.search(s):
             continue
-        text = re.sub(r"^\W*[\dlOIS]{1,5}\s{2,}|\s{2,}[\dlOIS]{1,5}\W*$", "", s).strip()
+        text = _SIDES.sub("", s).strip() if "  " in s else s
         first = text[:1]
-        journal = bool(re.search(r",\s*\S{3}[.,]?\s*[\dlOIS]{1,4}\s*\([\dlOIS]{4}\)", text))
+        journal = "(" in text and bool(_JOURNAL.search(text))
         if journal or side and (first.isupper() or not first.isalpha()) and len(text) < 70:
             out[i] = "running_header"
         elif c in heads:
             out[i] = "running_header"
-        elif first.isupper() and not _SENTENCE_END.search(re.sub(r"(?i)\bet al\.$", "et al", text)) and len(text) < 60:
+        elif first.isupper() and len(text) < 60 and not _SENTENCE_END.search(_ET_AL.sub("et al", text)):
             before, after = previous(i), following(i)
             cuts = bool(before) and not _SENTENCE_END.search(before) and not before.startswith(("#", "|")) and after[:1].islower()
             apart = len(text) < 0.75 * width or text.lower().endswith("et al.")
@@ -226,8 +273,8 @@ def flow(lines: list[str], gone: dict[int, str]) -> list[tuple[bool, list[int]]]
             blank = True
             continue
         last = lines[current[-1]].rstrip() if current else ""
-        plain = is_plain(line) or bool(current) and not blank and not passed and last[-1:] not in ":" and bool(re.match(r"\d{1,3}\. ", s))  # a sentence that ends in a number
-        goes_on = current and plain and (not blank or passed and not re.search(r"[.!?:][\"'”’»)\]]*$", last))
+        plain = is_plain(line) or bool(current) and not blank and not passed and last[-1:] not in ":" and bool(_SECOND.match(s))  # a sentence that ends in a number
+        goes_on = current and plain and (not blank or passed and not _STOP.search(last))
         if goes_on:
             current.append(i)
         else:
@@ -272,11 +319,14 @@ def read(markdown: str, model: Model) -> tuple[list[tuple[int, str]], str]:
                 else:
                     words.append((token, i, i, len(token)))
         found += [(n, "hyphen_break") for n in hyphens]
-        cores = [core(w[0]) for w in words]
+        known = [model.tokens[w[0]] for w in words]
         text = []
         for k, (token, at, then, size) in enumerate(words):
-            w = cores[k]
-            fixed = model.correction(w, [c for c in cores[max(0, k - 3) : k] + cores[k + 1 : k + 4]]) if w and suspicious(w, model) else None
+            w, doubtful = known[k]
+            if not doubtful:
+                text.append(token)
+                continue
+            fixed = model.correction(w, [c for c, _ in known[max(0, k - 3) : k] + known[k + 1 : k + 4]])
             if fixed is None and "-" in w and w not in model.counts:
                 fixed = by_parts(w, model)
             if fixed is None:
@@ -293,12 +343,6 @@ def read(markdown: str, model: Model) -> tuple[list[tuple[int, str]], str]:
     return sorted(set(found)), out.strip()
 
 
-def suspicious(word: str, model: Model) -> bool:
-    """Rare, or with a mark no word has, or outnumbered by a glyph neighbour (checked by the correction itself)."""
-    n = model.counts.get(word, 0)
-    return n * 5_000 < model.total or not word.isalpha()
-
-
 def by_parts(word: str, model: Model) -> str | None:
     """A compound unknown as a whole is corrected part by part."""
     parts = word.split("-")
@@ -319,7 +363,7 @@ def broken(head: str, token: str, model: Model) -> bool:
     if n or h:
         return n > h
     for form, yes in ((joined, True), (whole, False)):
-        if model.edits(form):
+        if model.edits(form) or model.edits(form, two=True):
             return yes
     tail = a.rsplit("-", 1)[-1]
     return not (model.counts.get(tail, 0) and model.counts.get(b, 0))

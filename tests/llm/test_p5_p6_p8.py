@@ -54,6 +54,30 @@ def test_skip_gram_learns_company():
     assert seen.min() > 0 and fit[:6, :6].mean() > fit[:6, 6:].mean() + 0.5
 
 
+def test_context_decides_a_misreading():
+    """Of two words a glyph apart, a rarer one stands where it belongs, and is mended where the other does; without vectors neither is told."""
+    counts = {"modern": 900, "modem": 60, "art": 500, "house": 500, "cable": 500, "signal": 500}
+    ids = {w: k for k, w in enumerate(sorted(counts))}
+    inner, outer = np.zeros((len(ids), 2), np.float32), np.zeros((len(ids), 2), np.float32)
+    for w, v in {"modern": (1, 0), "art": (1, 0), "house": (1, 0), "modem": (0, 1), "cable": (0, 1), "signal": (0, 1)}.items():
+        inner[ids[w]] = outer[ids[w]] = v
+    model = scan_lines.Model(counts, 10_000_000, ids, inner, outer, frozenset())
+    assert model.correction("modem", ["art", "house"]) == "modern" and model.correction("modem", ["cable", "signal"]) is None
+    flat = scan_lines.Model(counts, 10_000_000, ids, inner * 0, outer * 0, frozenset())
+    assert flat.correction("modem", ["art", "house"]) == flat.correction("modem", ["cable", "signal"])
+    assert model.correction("modcrn", ["art", "house"]) == "modern" == flat.correction("modcrn", [])
+
+
+def test_storage_does_not_show(spark):
+    """The same vectors, rows and texts however the table is cut into partitions."""
+    rng = random.Random(5)
+    body = lambda: " ".join(rng.choice(WORDS) for _ in range(60)) + "."
+    rows = [(i, body().replace("error", "err0r", 1)) for i in range(80)]
+    df = spark.createDataFrame(rows, "sample_id long, markdown string")
+    one, two = ({tuple(map(str, r)) for r in p5_scans.repaired(df.repartition(n)).collect()} for n in (2, 12))
+    assert one == two and len(one) == 80
+
+
 def test_pair_counts():
     codes, counts = p5_scans.count_pairs([np.array([0, 1, -1, 2])], 3)
     assert dict(zip(codes.tolist(), counts.tolist())) == {1: 1, 3: 1, 2: 1, 6: 1, 5: 1, 7: 1}
