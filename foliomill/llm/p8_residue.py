@@ -88,13 +88,13 @@ access denied and similar errors were a common cause of failure in the systems u
 }
 #: The exemplars that are one pool: shuffled filler holds any of their words.
 POOL = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
-_TOKEN = re.compile(r"⟨slot⟩|⟨repeat⟩|[^\W_]+(?:['’][^\W_]+)?|\d+")
+_TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|⟨slot⟩|⟨repeat⟩")
 _SPLIT = re.compile(r"(?<=[.!?…])\s+|(?<=[a-zà-ÿß)][.!?])(?=[A-ZÀ-Ý])|\n+|\s[|·]\s")
 SLOT, REPEAT = "⟨slot⟩", "⟨repeat⟩"
 #: A word that follows itself so often is a repetition.
 RUN = 4
 #: Marks without which no slot is.
-_MARKS = re.compile(r"[<«@%{\[$_#]")
+_MARKS = re.compile(r"[<«@{]|\[\[|\[(?:INSERT|insert|Insert|TODO|YOUR|Your|ENTER|ADD)|%[(%A-Z]|__|\$[A-Z]")
 #: Codes of incidents and the like say nothing.
 _CODE = re.compile(r"(?=.*\d)[0-9a-f]{4,}$")
 
