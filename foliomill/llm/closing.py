@@ -31,7 +31,7 @@ _BULLET = re.compile(r"^\s*(?:[-*•–—‣◦·]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.
 _KEYWORDS = re.compile(r"^\s*[\w\- ]{2,30}\s?:\s")
 _ABBREV = re.compile(r"(?:^|[\s(\[])(?:al|e\.g|i\.e|cf|vs|fig|figs|eq|eqs|vol|pp|approx|resp|dr|prof|bzw|z\.b|d\.h|etc\. et|p\. ?ej|sp|ref|refs|tab|abb)\.$", re.I)
 _NUMBER_END = re.compile(r"(\S+)\s+\(?(\d+(?:[.,]\d+)*)([.!?]?)$")
-_NUMBER_IN = re.compile(r"([^\W\d_]\S*) (\d+(?:[.,]\d+)*)([.!?]?)(?= )")
+_NUMBER = re.compile(r"(\d+(?:[.,]\d+)*)([.!?]?)")
 _CORE = re.compile(r"[^\w'’\-]+")
 #: First words of questions and instructions.
 _REQUEST = re.compile(r"\W*(?:what|how|which|why|who|is every|are|does|do|describe|list|write|summari[sz]e|explain|que|quels?|quelles?|comment|pourquoi|décrivez|résumez|expliquez|was|wie|welche[rsn]?|warum|beschreiben|fassen|erklären|qué|cuál|cuáles|cómo|por qué|describa|resuma|explique)\b", re.I)
@@ -109,8 +109,9 @@ def evidence(texts: list[str]) -> Counter:
             if words:
                 tokens.update(words)
                 tokens[words[-1]] -= 1
-            for prev, number, stop in _NUMBER_IN.findall(s):
-                out["number", f"{prev.lower()} {shape(number)}", bool(stop)] += 1
+            for prev, number in zip(words, words[1:-1]):
+                if number[0].isdigit() and (m := _NUMBER.fullmatch(number)):
+                    out["number", f"{prev.lower()} {shape(m[1])}", bool(m[2])] += 1
         elif kind == "list":
             lines = [_BULLET.sub("", x).rstrip(" ;,.") for x in s.split("\n") if x.strip()]
             for item in lines[:-1]:

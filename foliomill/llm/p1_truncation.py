@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomill.llm import closing
-from foliomill.llm.shingles import LANES, SHINGLE, containment, own_level, signatures
+from foliomill.llm.shingles import BANDS, LANES, SHINGLE, containment, own_level, signatures
 from foliomill.plans.runtime import at_least, cut, small, table
 
 SIMILARITY = 0.8
@@ -57,10 +57,10 @@ def terminality_table(texts: DataFrame, column: str = "text") -> Broadcast:
 
 
 def scored(texts: DataFrame, key: str, model: Broadcast, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Each row's terminality, characters, hash of its text, min-hash bands of all its levels (null if it is too short) and of its own, and map of
+    """Each row's terminality, characters, hash of its text, min-hash bands of all its levels (null if it is too short), the level that is its own, and map of
     shingles."""
     types = dict(texts.dtypes)
-    schema = ", ".join([f"{key} {types[key]}", *(f"{c} {types[c]}" for c in keep), "terminality double, chars int, words int, text_hash long, bands array<long>, own array<long>", *(f"lane_{k} long" for k in range(LANES))])
+    schema = ", ".join([f"{key} {types[key]}", *(f"{c} {types[c]}" for c in keep), "terminality double, chars int, words int, text_hash long, bands array<int>, level int", *(f"lane_{k} long" for k in range(LANES))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         closes, total = model.value
@@ -72,7 +72,7 @@ def scored(texts: DataFrame, key: str, model: Broadcast, keep: tuple[str, ...] =
             out["chars"] = [len(x) if x else 0 for x in text]
             out["words"], out["text_hash"] = words, whole
             out["bands"] = [None if x is None else x.ravel() for x in bands]
-            out["own"] = [None if x is None or own_level(n) < 0 else x[own_level(n)] for x, n in zip(bands, words)]
+            out["level"] = [own_level(n) for n in words]
             for k in range(LANES):
                 out[f"lane_{k}"] = maps[:, k]
             yield out
@@ -139,7 +139,7 @@ def early_copies(texts: DataFrame, sig: DataFrame, key: str) -> DataFrame:
     ``sig`` holds a row for each distinct text (its least key).  An open text meets every other text that has one of its own bands: the
     texts of a band are dealt into blocks of BLOCK, each of which meets all its open texts."""
     lanes = [f"lane_{k}" for k in range(LANES)]
-    open_ = sig.filter("open and own is not null").select(key, F.explode("own").alias("bucket"))
+    open_ = sig.filter("open and level >= 0 and bands is not null").select(key, F.explode(F.expr(f"slice(bands, level * {BANDS} + 1, {BANDS})")).alias("bucket"))
     asked = cut(open_.groupBy("bucket").agg(F.count("*").alias("n_open")))
     members = sig.filter("bands is not null").select(F.col(key).alias("partner"), F.explode("bands").alias("bucket")).join(small(asked.select("bucket")), "bucket")
     members = cut(members)
@@ -177,7 +177,7 @@ def truncated(texts: DataFrame, key: str = "result_id", source: str = "source",
     spent = F.col("tokens") / F.greatest(F.col("chars"), F.lit(1))
     usual = rows.filter(f"terminality >= {WHOLE}D and words >= 5 and tokens is not null").agg(F.percentile_approx(spent, SPENT, 10_000)).first()[0]
     doubt = F.when(spent > F.lit(usual), F.lit(DOUBT)).otherwise(F.lit(1.0)) if usual is not None else F.lit(1.0)
-    one = rows.filter("bands is not null").groupBy("text_hash").agg(F.min("key").alias("key"), *(F.first(c).alias(c) for c in ("words", "bands", "own")), F.min(F.expr(f"terminality < {WHOLE}D")).alias("open"), *(F.first(f"lane_{k}").alias(f"lane_{k}") for k in range(LANES)))
+    one = rows.filter("bands is not null").groupBy("text_hash").agg(F.min("key").alias("key"), *(F.first(c).alias(c) for c in ("words", "bands", "level")), F.min(F.expr(f"terminality < {WHOLE}D")).alias("open"), *(F.first(f"lane_{k}").alias(f"lane_{k}") for k in range(LANES)))
     if match:
         one = cut(one)
         found = early_copies(base, one, "key")

@@ -86,8 +86,8 @@ def test_matching_finds_planted_copies(spark):
     rows = list(enumerate(whole)) + [(1000 + i, x) for i, x in enumerate(cut)]
     counts, _, bands, maps = shingles.signatures([x for _, x in rows])
     lanes = [f"lane_{k}" for k in range(shingles.LANES)]
-    sig = [(k, n, k >= 1000, b.ravel().tolist(), b[shingles.own_level(n)].tolist(), *map(int, m)) for (k, _), n, b, m in zip(rows, counts, bands, maps)]
-    sig = spark.createDataFrame(sig, f"key long, words int, open boolean, bands array<long>, own array<long>, {', '.join(f'{c} long' for c in lanes)}")
+    sig = [(k, n, k >= 1000, b.ravel().tolist(), shingles.own_level(n), *map(int, m)) for (k, _), n, b, m in zip(rows, counts, bands, maps)]
+    sig = spark.createDataFrame(sig, f"key long, words int, open boolean, bands array<int>, level int, {', '.join(f'{c} long' for c in lanes)}")
     got = {r["key"]: r for r in p1_truncation.early_copies(spark.createDataFrame(rows, "key long, text string"), sig, "key").collect()}
     assert sum(got[k]["partner"] == k - 1000 for k in got) >= 0.9 * len(cut)
     wrong = [k for k in got if got[k]["inside"] == (cut[k - 1000].endswith("."))]
