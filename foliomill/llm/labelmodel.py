@@ -7,37 +7,62 @@ functions), so a fit costs the same for any corpus.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 
-def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 60, prior: float = 0.05) -> np.ndarray:
-    """Posterior of the defect for each pattern (row of ``votes``)."""
-    if not len(counts):
-        return np.empty(0)
-    w = counts.astype(float)
+@dataclass
+class LabelModel:
+    """The share of the defect, and of each class and function the chances of the votes -1 and +1."""
+
+    share: float
+    chances: np.ndarray
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """Posterior of the defect for each row of ``votes``, also of patterns that no training row had."""
+        said = _said(votes)
+        log1 = np.log(self.share) + (said * np.log(self.chances[1])).sum((1, 2))
+        log0 = np.log(1 - self.share) + (said * np.log(self.chances[0])).sum((1, 2))
+        return 1 / (1 + np.exp(np.clip(log0 - log1, -500, 500)))
+
+
+def _said(votes: np.ndarray) -> np.ndarray:
     # Only what a function says counts; its silence is no evidence for either class.
-    said = np.stack([votes == -1, votes == 1], axis=2).astype(float)  # pattern, function, vote
-    table = np.empty((2, votes.shape[1], 2))
-    table[1], table[0] = [0.2, 0.8], [0.8, 0.2]  # every function right four times in five, to begin with
-    pi = prior
-    for _ in range(rounds):
-        log1 = np.log(pi) + (said * np.log(table[1])).sum((1, 2))
-        log0 = np.log(1 - pi) + (said * np.log(table[0])).sum((1, 2))
-        post = 1 / (1 + np.exp(np.clip(log0 - log1, -500, 500)))
-        for y, share in ((1, post), (0, 1 - post)):
-            n = np.einsum("p,pfv->fv", w * share, said)
+    return np.stack([votes == -1, votes == 1], axis=2).astype(float)  # pattern, function, vote
+
+
+def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 60, prior: float = 0.05) -> LabelModel:
+    """The model of patterns (rows of ``votes``) and how often each occurs."""
+    k = votes.shape[1]
+    chances = np.empty((2, k, 2))
+    chances[1], chances[0] = [0.2, 0.8], [0.8, 0.2]  # every function right four times in five, to begin with
+    model = LabelModel(prior, chances)
+    w, said = counts.astype(float), _said(votes)
+    for _ in range(rounds if len(counts) else 0):
+        post = model.posterior(votes)
+        chances = np.empty((2, k, 2))
+        for y, part in ((1, post), (0, 1 - post)):
+            n = np.einsum("p,pfv->fv", w * part, said)
             # Pseudo-votes keep each function better than chance, hence the classes from changing places.
             guess = np.array([1.0, 4.0]) if y else np.array([4.0, 1.0])
-            table[y] = (n + guess) / (n + guess).sum(1, keepdims=True)
-        pi = float(np.clip((w * post).sum() / w.sum(), 1e-6, 0.5))
-    return post
+            chances[y] = (n + guess) / (n + guess).sum(1, keepdims=True)
+        model = LabelModel(float(np.clip((w * post).sum() / w.sum(), 1e-6, 0.5)), chances)
+    return model
 
 
-def cutoff(post: np.ndarray, counts: np.ndarray) -> float:
-    """The cutoff of greatest expected F1 under the posteriors, 0.5 at least."""
-    if not len(post):
+def validated_cutoff(posterior: np.ndarray, label: np.ndarray, share: float) -> float:
+    """The cutoff, 0.5 at least, of greatest F1 on labelled rows, of which the positive ones are weighted to be ``share`` of all; of equal ones the
+    middle between the least and the next posterior below."""
+    positive = label.sum()
+    if not positive or positive == len(label):
         return 0.5
-    order = np.argsort(-post)
-    p, w = post[order], counts[order].astype(float)
-    f1 = 2 * np.cumsum(p * w) / (np.cumsum(w) + (p * w).sum() + 1e-12)
-    return float(max(0.5, p[int(np.argmax(f1))]))
+    weight = np.where(label, share / positive, (1 - share) / (len(label) - positive))
+    values = np.unique(posterior[posterior >= 0.5])
+    best = (0.0, 0.5)
+    for k, at in enumerate(values):
+        hit = posterior >= at
+        f1 = 2 * (weight * label)[hit].sum() / (weight[hit].sum() + share)
+        if f1 > best[0] + 1e-12:
+            best = (f1, float(at + (values[k - 1] if k else 0.5)) / 2)
+    return best[1]

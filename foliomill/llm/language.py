@@ -1,4 +1,4 @@
-"""Language evidence for short scholarly texts in English, French, German and Spanish."""
+"""Language evidence for short scholarly texts in English, French, German, Spanish, Italian and Portuguese."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ FUNCTION_WORDS = {
     "fr": "le la les du des une un et est dans pour par sur avec au aux en qui ne pas que ce cette ces nous sont été ou où se sa son leur plus entre pendant contre lorsque dont soit très mais je vous il elle ont ces sans selon donc l d n s qu j quels quelles quel quelle montre porte concernent résumez décrivez comment après oui non enfin cependant".split(),
     "de": "der die das und den dem des ein eine einer eines einen ist von zu im mit für auf nicht wird bei sich als auch es sind wurde werden aber oder um an über nach aus durch wie so ich sie wir kaum zum zur noch ob dass keine kein mir dazu beim welche welcher welches was zeigt enthält fassen beschreiben nein ja schließlich zwischen".split(),
     "es": "el la los las de del y una un que es en para por con se al como no su fue son entre este esta estos más lo sus ha sin sobre desde cuando sigue pero cada durante tras frente nos le me ninguna por si ser a o qué cuál cuáles muestra resuma describa trata refieren cómo sí después finalmente".split(),
+    "it": "il lo gli della delle dei degli del di che è sono per con non una uno nel nella nei sul sulla dal dalla tra fra più questo questa questi come anche ma se ha hanno alla alle ai al da si dove quando mentre però quale quali mostra descrivi riassumi perché".split(),
+    "pt": "o os da das do dos em no na nos nas um uma uns umas não é são com para pelo pela pelos pelas mais como mas foi foram ao aos à às que e ou seu sua também entre sobre qual quais quando até isso este esta descreva resuma porque".split(),
 }
 LANGUAGES = tuple(FUNCTION_WORDS)
 #: word -> weight in each language; a word of several languages counts for each by its share.
@@ -17,9 +19,11 @@ _WEIGHTS = {w: tuple((w in v) / sum(w in other for other in FUNCTION_WORDS.value
 #: Letter groups by language.
 LETTERS = {
     "en": (" th", "ing ", "wh", "ould ", "'t ", "ly ", "tion of ", " sh", "ee"),
-    "fr": ("é", "è", "ê", "ç", "à", "œ", "û", " d'", " l'", "eau", "tion d", "ette ", " qu", "eurs ", "ées "),
-    "de": ("ä", "ö", "ü", "ß", "sch", "ung", "keit", "lich", " ver", "ein", "ch "),
-    "es": ("ñ", "¿", "ó", "í", "á", "ú", "ción", "idad ", "mente ", " el ", " los ", " las ", "ado ", "ada "),
+    "fr": ("è", "ê", "ç", "à ", "œ", "û", " d'", " l'", "eau", "tion d", "ette ", " qu'", "eurs ", "ées ", "ée ", " et ", " le ", " les ", " des ", " une ", " dans "),
+    "de": ("ä", "ö", "ü", "ß", "sch", "ung", "keit", "lich", " ver", " ein", "cht ", " und ", " der ", " die "),
+    "es": ("ñ", "¿", "ó", "í", "ción", "idad ", "mente ", " el ", " los ", " las ", " del ", " una ", "ado ", "ada ", "aron ", "eron ", " y "),
+    "it": ("zione ", "ità ", " gli ", " della ", " che ", "zz", "cch", "ggi", " è ", "tto ", "lla "),
+    "pt": ("ção", "ções", "ã", "õ", "lh", "nh", " não ", " dos ", " das ", "dade ", " uma "),
 }
 _WORD = re.compile(r"[^\W\d_]+")
 #: Names of the languages as prompts spell them.
@@ -44,17 +48,21 @@ def _best(scores: list[float]) -> tuple[str | None, float]:
     return (LANGUAGES[k] if top > 0 else None), top - max(x for i, x in enumerate(scores) if i != k)
 
 
+def weights(text: str) -> list[tuple[float, ...] | None]:
+    """Of each word what it says for each language; None for a word of none."""
+    return [_WEIGHTS.get(w) for w in _WORD.findall(text.lower())]
+
+
+def best_of(words: list[tuple[float, ...] | None]) -> tuple[str | None, float]:
+    """Best language of weighted words and its lead over the next, in shares of the words."""
+    known = [x for x in words if x]
+    return _best([sum(x) / len(words) for x in zip(*known)]) if known else (None, 0.0)
+
+
 def by_words(text: str) -> tuple[str | None, float, int]:
     """Best language by function words, its lead over the next (in shares of words), and the number of words."""
-    words = _WORD.findall(text.lower())
-    if not words:
-        return None, 0.0, 0
-    n = len(words)
-    known = [_WEIGHTS[w] for w in words if w in _WEIGHTS]
-    if not known:
-        return None, 0.0, n
-    lang, lead = _best([sum(x) / n for x in zip(*known)])
-    return lang, lead, n
+    words = weights(text)
+    return *best_of(words), len(words)
 
 
 def by_letters(text: str) -> tuple[str | None, float]:

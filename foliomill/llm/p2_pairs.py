@@ -2,18 +2,21 @@
 
 Every answer of either origin is joined with its prompt and shown to noisy labelling functions, some for each defect.  The
 counts of their vote patterns (a few hundred rows whatever the corpus) train one expectation-maximisation label model a defect;
-posteriors go back to the answers by their pattern.  Labels whose posterior reaches the defect's validated cutoff are kept, also
-several of one answer (``p2_labels``); ``p2_found`` names the severest of them.
+posteriors go back to the answers by their pattern.  The cutoffs are validated on labelled rows: a bounded sample of pairs, into each of
+which one defect is put.  Labels whose posterior reaches the defect's cutoff are kept, also several of one answer (``p2_labels``); ``p2_found``
+names the severest of them.
 """
 
 from __future__ import annotations
 
 import json
+import random
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,43 +91,56 @@ def vote(yes: bool, no: bool) -> int:
     return 1 if yes else -1 if no else 0
 
 
-def empty_votes(text: str | None) -> tuple[int, ...]:
+def empty_votes(text: str | None, inner: str) -> tuple[int, ...]:
+    """By letters at all, by what is left without nulls, by what JSON or fences hold, by length."""
     s = text or ""
-    if len(s) > 60 and s.lstrip()[:1] not in ("[", "{", "`") and _LETTERS.search(s):
-        return -1, -1, -1, -1
-    bare = _NULLS.sub("", _FENCE.sub("", s))
-    has = bool(_LETTERS.search(_FENCE.sub("", s)))
-    inner = content(s) if s.strip()[:1] in ("[", "{", "`") else bare
-    return vote(not has, has), vote(not _LETTERS.search(bare), bool(_LETTERS.search(bare))), vote(not _LETTERS.search(_NULLS.sub("", inner)), len(inner) > 20), vote(len(s.strip()) <= 1, len(s.strip()) > 25)
+    bare = _FENCE.sub("", s)
+    has, left = bool(_LETTERS.search(bare)), bool(_LETTERS.search(_NULLS.sub("", bare)))
+    held = bool(_LETTERS.search(_NULLS.sub("", inner)))
+    n = len(s.strip())
+    return vote(not has, has), vote(not left, left), vote(not held, held), vote(n <= 1, n > 25)
+
+
+#: Words without which nothing is denied.
+_DENYING = re.compile(r"\b(?:can't|cant|cannot|can not|unable|able|won't|will not|decline|refuse|rather not|not allowed|not permitted|ability|access|not possible|beyond|keep|was provided|give no|declined|denied|refused|be given|something i can|against my|nicht|kein\w*|ablehnen|peux|puis|n'ai|suis|dois|impossible|mesure|possible|accès|puedo|imposible|negarme|niego|acceso|autorizad\w|permite|posible)\b", re.I)
+#: Who denies.
+_SPEAKER = re.compile(r"\b(?:i|me|my|ich|mir|mich|je|mes|yo|mis|puedo|me|debo)\b|\bm'|\bj'", re.I)
 
 
 def refusal_votes(inner: str) -> tuple[int, ...]:
+    """By opening, by a denial in the first sentence, by one in a later sentence, by what is offered or pleaded, by length, and by an answer that
+    follows all the same."""
     s = _WRAPPER.sub("", inner.strip())
     s = s.replace("’", "'").lstrip("*\"'“«> ")
-    head = s[:240]
     n = len(s.split())
-    if n > 35 and not _OPENING.match(head):  # long and without a refusal's opening: no denial or offer is looked for
-        return -1, -1, -1, -1, 0
-    sentences = [x for x in re.split(r"(?<=[.!?])\s+", s) if x]
+    sentences = [x for x in _SENTENCES.split(s) if x]
     first = sentences[0] if sentences else ""
+    denies = bool(_DENYING.search(first) and _DENIAL.search(first))
     yet = _YET.search(first)
     # Told of others or quoted, or followed by an answer all the same, a denial is none.
     answered = bool(yet) and not _IMPOSSIBLE.search(first[yet.end() :]) and not _DENIAL.search(first[yet.start() :])
-    told = bool(re.search(r"[“\"«][^”\"»]*(?:sorry|cannot|can't|désolé|leider|lo siento)", first, re.I)) or bool(re.match(r"(?:we|the authors)\b", s, re.I))
+    told = bool(_QUOTED.search(first)) or bool(_OTHERS.match(s))
+    later = any(_SPEAKER.search(x) and _DENYING.search(x) and _DENIAL.search(x) for x in sentences[1:])
     return (
-        vote(bool(_OPENING.match(head)), True),
-        vote(bool(_DENIAL.search(first)) and not answered and not told, True),
-        vote(bool(_OFFER.search(s[:400])), n > 35),
+        vote(bool(_OPENING.match(s)), True),
+        vote(denies and not answered and not told, True),
+        vote(later, False),
+        vote(bool(_OFFER.search(s)), n > 35),
         vote(0 < n <= 35 and len(sentences) <= 3, n > 45 or len(sentences) > 4 or n == 0),
         vote(False, answered or told),
     )
 
 
+_SENTENCES = re.compile(r"(?<=[.!?])\s+")
+_QUOTED = re.compile(r"[“\"«][^”\"»]*(?:sorry|cannot|can't|désolé|leider|lo siento)", re.I)
+_OTHERS = re.compile(r"(?:we|the authors)\b", re.I)
 _ECHO = re.compile(r"\W*(?:q|question|user|prompt|task|answer|frage|pregunta|system|instruction)\W*[:\n]", re.I)
 _ECHO_END = re.compile(r"\b(?:answer|antwort|réponse|respuesta)\s*:?\s*$", re.I)
 
 
-def copied_votes(prompt: str, inner: str, cut_off: bool = False) -> tuple[int, ...]:
+def copied_votes(prompt: str, inner: str) -> tuple[int, ...]:
+    """By the share of its words that the prompt has, by its pairs of words, by being a piece of the prompt, and by its end, which an answer that goes on
+    after the question has of its own.  An answer of fewer than four words is told by none of these."""
     low = inner.lower()
     if m := _ECHO.match(low):
         low = low[m.end() :]
@@ -132,32 +148,28 @@ def copied_votes(prompt: str, inner: str, cut_off: bool = False) -> tuple[int, .
         low = low[: m.start()]
     a = _WORD.findall(low)
     if len(a) < 4:
-        return -1, -1, -1
+        return 0, 0, -1, 0
     p = _WORD.findall(prompt.lower())
-    have = frozenset(p)
+    have, pairs = frozenset(p), set(zip(p, p[1:]))
     share = sum(map(have.__contains__, a)) / len(a)
-    if share < 0.5:
-        return -1, -1, -1
-    pairs = set(zip(p, p[1:]))
-    run = sum(map(pairs.__contains__, zip(a, a[1:]))) / max(1, len(a) - 1)
-    sa, sp = " ".join(a), " ".join(p)
-    half = " ".join(a[: (len(a) + 1) // 2])
-    inside = sa in sp or (half in sp and " ".join(a[len(a) // 2 :]) in sp)
-    if cut_off and not inside:  # the question, and then an answer that breaks off
-        return -1, -1, -1
-    return vote(share >= 0.82, share < 0.7), vote(run >= 0.6, run < 0.5), vote(inside, share < 0.75)
+    run = sum(map(pairs.__contains__, zip(a, a[1:]))) / (len(a) - 1)
+    sp = " ".join(p)
+    middle = len(a) // 2
+    inside = " ".join(a) in sp or (" ".join(a[: (len(a) + 1) // 2]) in sp and " ".join(a[middle:]) in sp)
+    end = sum(map(pairs.__contains__, zip(a[-4:], a[-3:])))
+    return vote(share >= 0.82, share < 0.7), vote(run >= 0.6, run < 0.5), vote(inside, share < 0.75), vote(end == 3, end < 2)
 
 
 def language_votes(want: str | None, inner: str) -> tuple[int, ...]:
-    if want is None:
+    """By function words, by letter groups, and by the function words of either half; no opinion where the wanted language is unknown."""
+    if want not in language.LANGUAGES:
         return 0, 0, 0
-    lang, lead, n = language.by_words(inner)
-    if lang == want and lead > 0.12:
-        return -1, -1, -1
+    words = language.weights(inner)
+    lang, lead = language.best_of(words)
     letters, ahead = language.by_letters(inner)
-    weak = n < 5
-    half = len(inner) // 2
-    sides = [] if n < 16 else [x for x, e, _ in (language.by_words(inner[:half]), language.by_words(inner[half:])) if e > 0.03]
+    weak = len(words) < 5
+    half = len(words) // 2
+    sides = [] if len(words) < 16 else [x for x, e in (language.best_of(words[:half]), language.best_of(words[half:])) if e > 0.03]
     return (
         vote(not weak and lang is not None and lang != want and lead > 0.04, lang == want and lead > 0.0),
         vote(not weak and letters is not None and letters == lang != want and ahead > 0.05, letters == want),
@@ -165,10 +177,22 @@ def language_votes(want: str | None, inner: str) -> tuple[int, ...]:
     )
 
 
-def truncated_votes(text: str | None, terminality: float, tokens, budget) -> tuple[int, ...]:
-    s = (text or "").rstrip()
-    hint = 0 if tokens is None or budget is None or tokens != tokens or budget != budget else vote(tokens >= budget, tokens < 0.5 * budget)
-    return vote(terminality < closing.CUTOFF, terminality >= closing.CUTOFF), vote(terminality < 0.05, terminality > 0.9), vote(bool(s) and s[-1].isalnum() and terminality < 0.9, s[-1:] in ".!?]}\"”`)"), hint if hint > 0 else 0
+_ENDS = re.compile(r"[.!?。！？:\]})\"'”’»`*_]$")
+
+
+def truncated_votes(text: str | None, terminality: float, tokens, budget, usual: float | None) -> tuple[int, ...]:
+    """By the terminality of the closing, by open brackets and fences or the last mark, by the token limit, and by the tokens spent on so short a text."""
+    s = closing.strip_marks(text or "")[0]
+    body = s.lstrip()
+    bare = _FENCE.sub("", body).strip()
+    if closing.kind_of(body) in ("json", "fence") and bare[:1] in ("[", "{"):
+        ends = not closing.json_open(bare) and body.count("```") % 2 == 0
+    else:
+        ends = bool(_ENDS.search(s))
+    known = tokens is not None and tokens == tokens and usual is not None and len(s) > 20
+    limit = known and budget is not None and budget == budget and tokens >= budget
+    much = known and tokens > usual * len(s)
+    return vote(terminality < closing.CUTOFF, True), vote(bool(s) and not ends, bool(s)), vote(limit, False), vote(much, known and not limit)
 
 
 def encode(votes: tuple[int, ...]) -> int:
@@ -187,7 +211,7 @@ def decode(code: int, k: int) -> list[int]:
 
 
 #: Labelling functions a defect.
-FUNCTIONS = {"empty": 4, "refusal": 5, "copied_prompt": 3, "other_language": 3, "truncated": 4}
+FUNCTIONS = {"empty": 4, "refusal": 6, "copied_prompt": 4, "other_language": 3, "truncated": 4}
 
 
 def answer_pairs(results: DataFrame, interpretations: DataFrame, requests: DataFrame) -> DataFrame:
@@ -199,26 +223,29 @@ def answer_pairs(results: DataFrame, interpretations: DataFrame, requests: DataF
     return answers.filter("request_id is not null and pair_id is not null").join(prompts, "request_id").select("origin", "pair_id", "prompt", "text", "tokens", "budget")
 
 
-def votes(pairs: DataFrame, model) -> DataFrame:
+def votes_of(prompt: str, text: str | None, tokens, budget, model: tuple, usual: float | None) -> dict[str, tuple[int, ...]]:
+    """The votes for each defect of one answer."""
+    inner = content(text) if text else ""
+    whole = closing.score(text, *model)
+    known = inner.rsplit(None, 1)[0] if whole < closing.CUTOFF and " " in inner else inner  # a piece of a word has no language
+    return {
+        "empty": empty_votes(text, inner),
+        "refusal": refusal_votes(inner),
+        "copied_prompt": copied_votes(prompt, inner),
+        "other_language": language_votes(language.expected(prompt), known),
+        "truncated": truncated_votes(text, whole, tokens, budget, usual),
+    }
+
+
+def votes(pairs: DataFrame, model: Broadcast, usual: float | None) -> DataFrame:
     """A code of the votes for each defect, a row each answer."""
     schema = "origin string, pair_id long, " + ", ".join(f"{d} int" for d in DEFECTS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        closes, total = model.value
         for pdf in batches:
             rows = []
             for prompt, text, tokens, budget in zip(pdf["prompt"], pdf["text"], pdf["tokens"], pdf["budget"]):
-                inner = content(text) if text else ""
-                whole = closing.score(text, closes, total)
-                cut_off = whole < closing.CUTOFF
-                known = inner.rsplit(None, 1)[0] if cut_off and " " in inner else inner  # a piece of a word has no language
-                by = {
-                    "empty": empty_votes(text),
-                    "refusal": refusal_votes(inner),
-                    "copied_prompt": copied_votes(prompt, inner, cut_off),
-                    "other_language": language_votes(language.expected(prompt), known),
-                    "truncated": truncated_votes(text, whole, tokens, budget),
-                }
+                by = votes_of(prompt, text, tokens, budget, model.value, usual)
                 rows.append([encode(by[d]) for d in DEFECTS])
             out = pdf[["origin", "pair_id"]].copy()
             out[list(DEFECTS)] = np.array(rows, dtype=np.int32).reshape(-1, len(DEFECTS))
@@ -227,18 +254,83 @@ def votes(pairs: DataFrame, model) -> DataFrame:
     return pairs.mapInPandas(run, schema)
 
 
-def posteriors(voted: DataFrame) -> DataFrame:
-    """(defect, code, posterior, cutoff): the label models' verdict on each vote pattern seen; at most 3^5 rows a defect."""
+#: Pairs of the labelled sample: a bound, whatever the corpus.
+LABELLED = 1500
+#: Answers that are none, for the labelled sample.
+EMPTY_FORMS = ("", "  \n", "[]", "{}", "null", "```json\n[]\n```", '{"cues": []}', "-", "...", "```\n```", '[""]', "N/A", '{"textual": null}', "[ { } ]")
+#: Refusals in other words than the functions know, for the labelled sample.
+REFUSALS = (
+    "I'm sorry, but I am unable to describe this paper.", "Sorry, I can't answer that.", "I cannot help with this request. Please ask something else.", "As a language model, I do not have access to the document.", "Unfortunately I won't be able to provide a summary of this text.", "I must decline to answer this question.", "I am afraid I cannot give an answer to this.", "My instructions do not permit me to comment on this figure; I cannot help.",
+    "Leider kann ich diese Frage nicht beantworten.", "Es tut mir leid, dazu kann ich nichts sagen, ich darf es nicht.", "Als Sprachmodell habe ich keinen Zugriff auf die Abbildung.", "Ich kann dieser Bitte nicht nachkommen.",
+    "Désolé, je ne peux pas répondre à cette question.", "Je suis désolé, mais il m'est impossible de résumer ce texte.", "Malheureusement, je ne peux pas décrire cette figure.", "Je ne suis pas en mesure de répondre.",
+    "Lo siento, no puedo responder a esta pregunta.", "Lamentablemente no puedo ayudarle con este texto.", "Como modelo de lenguaje, no tengo acceso a la figura.", "Me resulta imposible describir este artículo.",
+)
+
+
+def changed(text: str, rng: random.Random) -> str:
+    """The text with one of its words replaced by another of them."""
+    words = text.split()
+    if len(words) > 1:
+        words[rng.randrange(len(words))] = rng.choice(words)
+    return " ".join(words)
+
+
+def labelled(pairs: list[tuple[str, str]]) -> list[tuple[int, str, str, str]]:
+    """(pair, prompt, answer, defect) of (prompt, answer) pairs: of each the answer as it is, without a label, and one with a defect put into it,
+    defects by turns.  A cut falls inside a word; a copy is the whole prompt or its first line; another language is that of another pair."""
+    rng = random.Random(len(pairs))
+    wanted = [language.expected(p) for p, _ in pairs]
+    out = []
+    for k, (prompt, text) in enumerate(pairs):
+        out.append((k, prompt, text, ""))
+        defect = DEFECTS[k % len(DEFECTS)]
+        if defect == "empty":
+            bad = rng.choice(EMPTY_FORMS)
+        elif defect == "refusal":
+            bad = rng.choice(REFUSALS)
+        elif defect == "copied_prompt":
+            bad = rng.choice([prompt, prompt.split("\n")[0], prompt.upper(), f"Question: {prompt}", changed(prompt.split("\n")[0], rng)])
+        elif defect == "other_language":
+            others = [j for j in rng.sample(range(len(pairs)), min(20, len(pairs))) if wanted[j] and wanted[k] and wanted[j] != wanted[k] and content(pairs[j][1]).count(" ") > 12]
+            if not others:
+                continue
+            bad = pairs[others[0]][1]
+        else:
+            inside = [i for i in range(len(text) // 3, len(text)) if text[i - 1 : i + 1].isalpha()]
+            if not inside:
+                continue
+            bad = text[: rng.choice(inside)]
+        out.append((k, prompt, bad, defect))
+    return out
+
+
+def sample_pairs(results: DataFrame, requests: DataFrame) -> list[tuple[str, str]]:
+    """(prompt, answer) of the LABELLED requests of least hash that have an answer with text; of an answer's repeats the least."""
+    some = requests.filter("prompt is not null and request_id is not null").select("request_id", "prompt").orderBy(F.xxhash64("request_id"), "request_id").limit(LABELLED)
+    rows = results.filter("text is not null").select("request_id", "text").join(F.broadcast(some), "request_id").groupBy("request_id").agg(F.min("prompt").alias("prompt"), F.min("text").alias("text"))
+    return [(r["prompt"], r["text"]) for r in rows.orderBy("request_id").collect()]
+
+
+def posteriors(voted: DataFrame, sample: list[dict[str, tuple[int, ...]]], pair: list[int], truth: list[str]) -> DataFrame:
+    """(defect, code, posterior, cutoff): the label models' verdict on each vote pattern seen, at most 3^6 rows a defect, and the cutoffs validated on the
+    labelled sample: its votes, and of each row the pair it comes from and the defect put into it (none for an answer as it is)."""
     spark = voted.sparkSession
     long = voted.select(F.explode(F.array(*(F.struct(F.lit(d).alias("defect"), F.col(d).alias("code")) for d in DEFECTS))).alias("x")).groupBy("x.defect", "x.code").agg(F.count("*").alias("n"))
     seen = long.toPandas()
-    rows = []
+    patterns, models, judged = {}, {}, {}
     for d in DEFECTS:
         part = seen[seen["defect"] == d]
-        codes, n = part["code"].to_numpy(), part["n"].to_numpy()
-        post = labelmodel.fit(np.array([decode(int(c), FUNCTIONS[d]) for c in codes]).reshape(-1, FUNCTIONS[d]), n)
-        cut_at = labelmodel.cutoff(post, n)
-        rows += [(d, int(c), float(p), cut_at) for c, p in zip(codes, post)]
+        patterns[d] = np.array([decode(int(c), FUNCTIONS[d]) for c in part["code"]]).reshape(-1, FUNCTIONS[d])
+        models[d] = labelmodel.fit(patterns[d], part["n"].to_numpy())
+        judged[d] = models[d].posterior(np.array([v[d] for v in sample]).reshape(-1, FUNCTIONS[d]))
+    # A pair whose answer the models take for a case as it is tells nothing about the defect put into it.
+    doubtful = {k for d in DEFECTS for k, t, p in zip(pair, truth, judged[d]) if not t and p >= 0.5}
+    sure = np.array([k not in doubtful for k in pair], bool)
+    label = np.array(truth, dtype=object)
+    rows = []
+    for d in DEFECTS:
+        cut_at = labelmodel.validated_cutoff(judged[d][sure], label[sure] == d, models[d].share) if sure.any() else 0.5
+        rows += [(d, int(c), float(p), cut_at) for c, p in zip(seen[seen["defect"] == d]["code"], models[d].posterior(patterns[d]))]
     return spark.createDataFrame(rows, "defect string, code int, posterior double, cutoff double")
 
 
@@ -248,10 +340,18 @@ def defects(results: DataFrame, interpretations: DataFrame, requests: DataFrame)
     Answers without a request, or whose prompt is null, and rows with null ids are left out; a null text is an empty answer;
     repeated rows count once; texts are judged whole; empty tables give an empty result; other columns are ignored."""
     texts = results.select("text").unionByName(interpretations.select("text"))
-    voted = cut(votes(answer_pairs(results, interpretations, requests), terminality_table(texts)).dropDuplicates(["origin", "pair_id"]))
+    table_of = terminality_table(texts)
+    usual = results.filter("generated_tokens is not null and length(text) > 20").agg(F.percentile_approx(F.col("generated_tokens") / F.length("text"), USUAL, 10_000)).first()[0]
+    voted = cut(votes(answer_pairs(results, interpretations, requests), table_of, usual).dropDuplicates(["origin", "pair_id"]))
+    sample = labelled(sample_pairs(results, requests))
+    known = [votes_of(prompt, text, None, None, table_of.value, usual) for _, prompt, text, _ in sample]
     long = voted.select("origin", "pair_id", F.explode(F.array(*(F.struct(F.lit(d).alias("defect"), F.col(d).alias("code")) for d in DEFECTS))).alias("x")).select("origin", "pair_id", "x.defect", "x.code")
-    # The verdicts are at most a thousand rows, so they are sent to every executor.
-    return long.join(F.broadcast(posteriors(voted)), ["defect", "code"]).filter("posterior >= cutoff").select("origin", "pair_id", "defect", "posterior")
+    # The verdicts are at most a few thousand rows, so they are sent to every executor.
+    return long.join(F.broadcast(posteriors(voted, known, [x[0] for x in sample], [x[3] for x in sample])), ["defect", "code"]).filter("posterior >= cutoff").select("origin", "pair_id", "defect", "posterior")
+
+
+#: Share of the answers that have at most the usual tokens a character: nearly all but those that were cut afterwards.
+USUAL = 0.95
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -151,16 +151,19 @@ def test_label_model_recovers_classes():
     votes = np.stack([np.where(rng.random(len(y)) < a, y, ~y) * 2 - 1 for a in accuracy], axis=1)
     votes[rng.random(votes.shape) < 0.2] = 0
     patterns, where, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
-    post = labelmodel.fit(patterns, counts)
-    cut = labelmodel.cutoff(post, counts)
+    model = labelmodel.fit(patterns, counts)
+    post = model.posterior(patterns)
+    some = rng.permutation(len(y))[:500]
+    cut = labelmodel.validated_cutoff(post[where.ravel()][some], y[some], model.share)
     hit = post[where.ravel()] >= cut
     precision, recall = (hit & y).sum() / hit.sum(), (hit & y).sum() / y.sum()
     assert cut >= 0.5 and precision > 0.75 and recall > 0.6
-    assert len(labelmodel.fit(np.empty((0, 3)), np.empty(0))) == 0
+    assert len(labelmodel.fit(np.empty((0, 3)), np.empty(0)).posterior(np.empty((0, 3)))) == 0
+    assert labelmodel.validated_cutoff(np.array([0.9, 0.6, 0.2]), np.array([True, False, False]), 0.3) == pytest.approx(0.75)
 
 
 PROMPT = "Describe how the clinical sensor is presented in this paper.\n\nUse neutral wording."
-FR = "La figure 9 illustre la réponse de la densité osseuse en fonction du temps. Nous recommandons donc la mesure du béton armé avant toute intervention dans les unités de soins."
+FR_TEXT = FR = "La figure 9 illustre la réponse de la densité osseuse en fonction du temps. Nous recommandons donc la mesure du béton armé avant toute intervention dans les unités de soins."
 
 
 def pairs_tables(spark):
@@ -182,10 +185,39 @@ def test_defects(spark):
     want |= {("interpretation", 1): "empty", ("interpretation", 2): "refusal", ("interpretation", 3): "copied_prompt"}
     assert {k: v for k, v in got.items() if k in want} == want
     assert not {k for k in got if k not in want}
+    both = [(i, f"q{i}", "I'm sorry, but I can't help with this request: the sensor and the pars", 500, "z") for i in range(45, 50)]
+    tables = pairs_tables(spark)
+    labels = {(r["pair_id"], r["defect"]) for r in p2_pairs.defects(tables[0].union(spark.createDataFrame(both, tables[0].schema)), *tables[1:]).collect()}
+    assert {(45, "refusal"), (45, "truncated")} <= labels  # several labels of one answer
     empty = [x.limit(0) for x in pairs_tables(spark)]
     assert p2_pairs.defects(*empty).count() == 0
 
 
+def test_long_refusals_are_read_whole():
+    text = "This paper was sent to us with a long list of questions about the way in which the sensor and the parser are used in the field. After some thought about what is asked here, I cannot answer this question. " + "The figure is about the sensor and the parser and it was drawn by the authors of the paper in the year of the study."
+    assert p2_pairs.refusal_votes(text)[2] == 1 and p2_pairs.refusal_votes(PROSE)[2] == 0
+
+
+@pytest.mark.parametrize("prompt, text, wrong", [("Answer in Italian: what does the figure show?", "La figura mostra che la misura del sensore è stata ripetuta nelle prove e che il valore non è più alto della media.", False), ("Descrivi come il sensore è presentato in questo articolo e quali sono le misure.", "La figura mostra che la misura del sensore è stata ripetuta nelle prove e che il valore non è più alto della media.", False), ("Answer in Portuguese: what does the figure show?", "A figura mostra que a medição do sensor não foi repetida nos ensaios e que o valor é mais alto do que a média.", False), ("Answer in Portuguese: what does the figure show?", FR_TEXT, True), ("Answer in English.", FR_TEXT, True)])
+def test_language_votes(prompt, text, wrong):
+    assert (sum(p2_pairs.language_votes(language.expected(prompt), text)) > 0) == wrong
+
+
+def test_functions_do_not_vote_in_unison(spark):
+    """No two functions of a defect are one: each pair of them disagrees, or one is silent, on some of the answers."""
+    closes = np.zeros(closing.SLOTS)
+    texts = [None, "", "[]", "null", "Yes.", "No", PROSE, PROSE[:-20], "I'm sorry, I can't help.", "Leider nicht.", PROMPT, PROMPT.upper(), FR_TEXT, '[{"cue": "a', '{"cues": [], "note": "I cannot access the figure."}', PROMPT.split("\n")[0] + " " + PROSE, "We cannot exclude it. I refuse to answer.", "...", " ".join(reversed(PROMPT.split())), PROMPT.split("\n")[0] + " It is presented in this paper as neutral.", "Describe how this paper is presented."]
+    for defect, k in p2_pairs.FUNCTIONS.items():
+        columns = list(zip(*(p2_pairs.votes_of(PROMPT, x, 90, 80, (closes, closes), 0.25)[defect] for x in texts)))
+        assert len(columns) == k == len(set(columns)), defect
+
+
+def test_labelled_sample_has_every_defect():
+    pairs = [(PROMPT, PROSE), ("Résumez le passage qui porte sur la mesure du champ.", FR_TEXT)] * 10
+    rows = p2_pairs.labelled(pairs)
+    assert {x[3] for x in rows} == {"", *p2_pairs.DEFECTS} and sum(not x[3] for x in rows) == 20
+
+
 @pytest.mark.parametrize("text, yes", [("Thank you for the question, but it is not possible for me to fulfil this.", True), ("Je suis désolé, mais il m'est impossible de décrire la dégradation.", True), ("I'm sorry that I cannot recall the title, but it compared a sensor with a parser.", False), ("We cannot exclude that the sensor affects the parser, and the authors decline to give a sen", False), ("The corpus contains turns such as “I'm sorry, I can't help with that”, which are tagged.", False), ("My guidelines keep me from answering.", True)])
 def test_refusal_votes(text, yes):
     assert (sum(p2_pairs.refusal_votes(text)) > 0) == yes
