@@ -70,9 +70,11 @@ class Tokens(dict):
     def __missing__(self, token: str) -> tuple[str, bool]:
         if len(self) > 500_000:
             self.clear()
-        w = core(token)
-        n = self.model.counts.get(w, 0)
-        doubtful = bool(w) and (n * 5_000 < self.model.total or not w.isalpha())
+        w, model = core(token), self.model
+        n = model.counts.get(w, 0)
+        doubtful = bool(w) and (n * 5_000 < model.total or not w.isalpha())
+        # A word that no edit turns into another stands, and so does its compound if it is known.
+        doubtful = doubtful and bool("-" in w and not n or model.edits(w) or model.edits(w, two=True))
         out = self[token] = (w, doubtful)
         return out
 
@@ -216,8 +218,8 @@ def furniture(lines: list[str], heads: frozenset[str] = frozenset()) -> dict[int
                 continue
             out[i] = "page_number"
             continue
-        if _LIST.match(s) or len(s) > 90 or s.startswith(("$", "**", ">", "`")):
-            continue
+        if len(s) > 90 or s.startswith(("$", "**", ">", "`")) or "a" <= s[0] <= "z" and s[0] != "l" and "  " not in s or _LIST.match(s):
+            continue  # a head begins with a capital, or what is read for one, or with a number set apart
         cores[i] = head_core(s)
     times = Counter(c for c, _ in cores.values())
 
@@ -304,38 +306,37 @@ def read(markdown: str, model: Model) -> tuple[list[tuple[int, str]], str]:
         if not paragraph:
             blocks.append(("\n" if blocks and blocks[-1][-1:] == "\x00" else "") + lines[part[0]].rstrip() + "\x00")
             continue
-        words: list[tuple[str, int, int, int]] = []  # token, line, line of its second piece, length of its first piece
-        hyphens = []
+        words: list[str] = []
+        at: list[int] = []  # the line of each word
+        joined: dict[int, tuple[int, int]] = {}  # of words over two lines, the second line and the length of the first piece
         for i in part:
-            for k, token in enumerate(lines[i].split()):
-                if k == 0 and words and words[-1][0][-1] in BREAKS and words[-1][1] != i and len(words[-1][0]) > 1 and words[-1][0][-2].isalnum() | (words[-1][0][-2] in STRAYS) and (token[0].isalpha() or token[0] in "!@†|¦015689^~·"):
-                    head, at = words[-1][0], words[-1][1]
-                    joined, whole = head[:-1] + token, head[:-1] + "-" + token
-                    if broken(head, token, model):
-                        hyphens.append(at + 1)
-                        words[-1] = (joined, at, i, len(head) - 1)
-                    else:
-                        words[-1] = (whole, at, i, len(head))
-                else:
-                    words.append((token, i, i, len(token)))
-        found += [(n, "hyphen_break") for n in hyphens]
-        known = [model.tokens[w[0]] for w in words]
-        text = []
-        for k, (token, at, then, size) in enumerate(words):
-            w, doubtful = known[k]
+            tokens = lines[i].split()
+            if words and words[-1][-1] in BREAKS and at[-1] != i and goes_on(words[-1], tokens[0]):
+                head, token = words[-1], tokens[0]
+                cut = broken(head, token, model)
+                if cut:
+                    found.append((at[-1] + 1, "hyphen_break"))
+                words[-1] = head[:-1] + token if cut else head[:-1] + "-" + token
+                joined[len(words) - 1] = i, len(head) - cut
+                tokens = tokens[1:]
+            words += tokens
+            at += [i] * len(tokens)
+        text = list(words)
+        known = model.tokens
+        for k, token in enumerate(words):
+            w, doubtful = known[token]
             if not doubtful:
-                text.append(token)
                 continue
-            fixed = model.correction(w, [c for c, _ in known[max(0, k - 3) : k] + known[k + 1 : k + 4]])
+            fixed = model.correction(w, [known[x][0] for x in words[max(0, k - 3) : k] + words[k + 1 : k + 4]])
             if fixed is None and "-" in w and w not in model.counts:
                 fixed = by_parts(w, model)
             if fixed is None:
-                text.append(token)
                 continue
+            then, size = joined.get(k, (at[k], len(token)))
             where = token.lower().find(w)
             at_char = where + next((x for x, (p, q) in enumerate(zip(w, fixed)) if p != q), min(len(w), len(fixed)))
-            found.append(((at if at_char < size else then) + 1, "misread"))
-            text.append(token[:where] + (fixed.upper() if w.upper() == token[where : where + len(w)] and len(w) > 1 and token[where].isupper() and w.upper() != w and token.isupper() else fixed.capitalize() if token[where : where + 1].isupper() else fixed) + token[where + len(w) :])
+            found.append(((at[k] if at_char < size else then) + 1, "misread"))
+            text[k] = token[:where] + (fixed.upper() if w.upper() == token[where : where + len(w)] and len(w) > 1 and token[where].isupper() and w.upper() != w and token.isupper() else fixed.capitalize() if token[where : where + 1].isupper() else fixed) + token[where + len(w) :]
         blocks.append(" ".join(text))
     out = ""
     for b in blocks:
@@ -343,6 +344,11 @@ def read(markdown: str, model: Model) -> tuple[list[tuple[int, str]], str]:
     return sorted(set(found)), out.strip()
 
 
+def goes_on(head: str, token: str) -> bool:
+    """True if a line's last word, which ends in a mark, may go on in the next line's first."""
+    return len(head) > 1 and (head[-2].isalnum() or head[-2] in STRAYS) and (token[0].isalpha() or token[0] in "!@†|¦015689^~·")
+
+
 def by_parts(word: str, model: Model) -> str | None:
     """A compound unknown as a whole is corrected part by part."""
     parts = word.split("-")
