@@ -114,7 +114,7 @@ def _closing(text: str, at: int):
 
 
 #: The order in which the fields of a figure clue are told.
-FIGURE_FIELDS = ("figure_type", "visual_elements", "layout", "colors", "text_elements", "axes", "relationships")
+FIGURE_FIELDS = ("figure_type", "layout", "visual_elements", "colors_and_styles", "relationships", "distinctive_visual_cues")
 
 
 def _texts(value) -> Iterator[str]:

@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 #: Canonical licence URL (host and path) -> label.
 LICENSE_URLS = {
-    "creativecommons.org/licenses/by/4.0": "CC BY 4.0",
+    "creativecommons.org/licenses/by/1.0": "CC BY 1.0",
+    "creativecommons.org/licenses/by/2.0": "CC BY 2.0",
+    "creativecommons.org/licenses/by/2.5": "CC BY 2.5",
     "creativecommons.org/licenses/by/3.0": "CC BY 3.0",
-    "creativecommons.org/licenses/by-sa/4.0": "CC BY-SA 4.0",
+    "creativecommons.org/licenses/by/4.0": "CC BY 4.0",
+    "creativecommons.org/licenses/by-sa/1.0": "CC BY-SA 1.0",
+    "creativecommons.org/licenses/by-sa/2.0": "CC BY-SA 2.0",
+    "creativecommons.org/licenses/by-sa/2.5": "CC BY-SA 2.5",
     "creativecommons.org/licenses/by-sa/3.0": "CC BY-SA 3.0",
+    "creativecommons.org/licenses/by-sa/4.0": "CC BY-SA 4.0",
     "creativecommons.org/publicdomain/zero/1.0": "CC0 1.0",
-    "creativecommons.org/licenses/by-nc-sa/4.0": "CC BY-NC-SA 4.0",
-    "creativecommons.org/licenses/by-nc-nd/4.0": "CC BY-NC-ND 4.0",
+    "creativecommons.org/licenses/publicdomain": "CC0 1.0",
 }
 
 

@@ -35,10 +35,14 @@ def shown(cue: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(cue), r"^(?:textual\s+[^:]+|[A-Za-z][A-Za-z0-9_ -]*):\s*", ""))
 
 
+#: Fixed value: how the query of the null backend begins.
+NULL_QUERY = "I'm trying to find a paper I read before. I remember that "
+
+
 def null_query(cues: Column) -> Column:
     """The query that the null backend writes from the cues."""
     told = F.array_join(F.transform(cues, lambda x: F.rtrim(shown(x), F.lit("."))), " ")
-    return F.concat(F.lit("I'm trying to find a paper I read before. I remember that "), told, F.lit("."))
+    return F.concat(F.lit(NULL_QUERY), told, F.lit("."))
 
 
 def bullets(cues: Column) -> Column:

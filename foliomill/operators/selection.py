@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from foliomill.operators import ranking
 
 
 def with_rejection(df: DataFrame, rules: list[tuple[Column, str]], name: str = "rejection") -> DataFrame:
@@ -23,17 +27,49 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int |
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= limit)
 
 
-def priority_quota(df: DataFrame, key: str, groups: list[tuple[str, Column, int]], order: list[Column]) -> DataFrame:
+def priority_quota(df: DataFrame, key: str, groups: list[tuple[str, Column, int]], order: list[str]) -> DataFrame:
     """Greedy quotas in priority order: a row goes to the first group that matches it and still has room when the row comes.
 
-    Keys must be distinct.  One pass for each group over the rows not yet taken: partitions send only their first ``quota`` rows, so what
-    is gathered is bounded by the quota, whatever the size of the group."""
-    rest, out = df, None
-    for name, matches, quota in groups:
-        got = rest.filter(matches).orderBy(*order).limit(quota).withColumn("quota_group", F.lit(name))
-        rest = rest.join(got.select(key), key, "left_anti")
-        out = got if out is None else out.unionByName(got)
-    return out
+    Keys must be distinct; ``order`` names columns.  In one pass each group keeps its first rows, as many as its own quota and those before it ask for,
+    since these can take no more of its rows; partitions send only so many each.  The quotas, not the rows, bound what is left, and one task
+    deals it out."""
+    asked, rooms = 0, []
+    for k, (_, matches, quota) in enumerate(groups):
+        asked += quota
+        rooms.append(F.when(matches, F.struct(F.lit(k).alias("group_no"), F.lit(asked).alias("room"))))
+    first = df.withColumn("g", F.explode(F.array_compact(F.array(*rooms)))).select(*df.columns, "g.group_no", "g.room")
+    first = top_per_group(first, ["group_no"], [F.col(c) for c in order], "room", "place").drop("room")
+    names, quotas, columns = [n for n, _, _ in groups], [q for _, _, q in groups], df.columns
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken: set = set()
+        current, left = -1, 0
+        for batch in batches:
+            keys, at, who = batch.column(key).to_pylist(), batch.column("group_no").to_pylist(), []
+            for i, (k, g) in enumerate(zip(keys, at)):
+                if g != current:
+                    current, left = g, quotas[g]
+                if left and k not in taken:
+                    taken.add(k)
+                    left -= 1
+                    who.append(i)
+            kept = batch.take(pa.array(who, pa.int64()))
+            out = [kept.column(c) for c in columns] + [pa.array([names[at[i]] for i in who], pa.string())]
+            yield pa.RecordBatch.from_arrays(out, names=[*columns, "quota_group"])
+
+    schema = T.StructType([*df.schema.fields, T.StructField("quota_group", T.StringType())])
+    return first.coalesce(1).sortWithinPartitions("group_no", "place").mapInArrow(deal, schema)
+
+
+def until_filled(df: DataFrame, accepted: Column, key: str, groups: list[tuple[str, Column, int]], order: list[str]) -> DataFrame:
+    """The rows that a scan in ``order`` sees until every quota of ``priority_quota`` is full; all rows if one never is."""
+    picked = priority_quota(df.filter(accepted), key, groups, order)
+    # One row: the place where the scan stops, or null.
+    full = F.lit(True)
+    for name, _, quota in groups:
+        full = full & (F.count_if(F.col("quota_group") == name) >= quota)
+    stop = picked.agg(F.when(full, F.max(F.struct(*order))).alias("stop"))
+    return df.join(F.broadcast(stop), F.col("stop").isNull() | (F.struct(*order) <= F.col("stop"))).drop("stop")
 
 
 def hash_rank(seed: str, *keys: Column) -> Column:
@@ -41,18 +77,23 @@ def hash_rank(seed: str, *keys: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *keys))
 
 
-def split_by_counts(df: DataFrame, stratum: str, key: str, train: int, test: int, seed: str) -> DataFrame:
+def _digest_rank(df: DataFrame, stratum: str, key: str, seed: str, most: int | None) -> DataFrame:
+    return ranking.ranked(df.withColumn("digest", hash_rank(seed, F.col(key))), [stratum], [F.col("digest"), F.col(key)], "rank", most).drop("digest")
+
+
+def split_by_counts(df: DataFrame, stratum: str, key: str, train: int, test: int, seed: str, most: int | None = None) -> DataFrame:
     """Random train and test rows of each stratum, fixed numbers; the rest is left out."""
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_rank(seed, F.col(key)), key))
-    return df.withColumn("rank", rank).withColumn("split", F.when(F.col("rank") <= train, "train").when(F.col("rank") <= train + test, "test")).filter("split is not null")
+    split = F.when(F.col("rank") <= train, "train").when(F.col("rank") <= train + test, "test")
+    return _digest_rank(df, stratum, key, seed, most).withColumn("split", split).filter("split is not null")
 
 
-def split_by_fraction(df: DataFrame, stratum: str, key: str, fraction: float, seed: str) -> DataFrame:
+def split_by_fraction(df: DataFrame, stratum: str, key: str, fraction: float, seed: str, most: int | None = None) -> DataFrame:
     """Test rows of each stratum: the rounded fraction, at least one and not all; a lone row stays in train."""
-    n = F.count("*").over(Window.partitionBy(stratum))
+    n = F.col("size")
     test = F.when(n <= 1, 0).otherwise(F.least(n - 1, F.greatest(F.lit(1), F.round(n * fraction).cast("long"))))
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_rank(seed, F.col(key)), key))
-    return df.withColumn("rank", rank).withColumn("split", F.when(F.col("rank") <= test, "test").otherwise("train"))
+    sizes = df.groupBy(stratum).agg(F.count("*").alias("size")).withColumnRenamed(stratum, "stratum_of")
+    rows = _digest_rank(df, stratum, key, seed, most).join(sizes, F.col(stratum).eqNullSafe(F.col("stratum_of")))
+    return rows.withColumn("split", F.when(F.col("rank") <= test, "test").otherwise("train")).drop("size", "stratum_of")
 
 
 def allocate(sizes: DataFrame, key: str, size: str, total: int) -> DataFrame:
@@ -89,10 +130,10 @@ def next_fit(df: DataFrame, group: str, order: str, size: str, limit: int, most:
     return rows.mapInPandas(fold, f"{group} {kinds[group]}, {order} {kinds[order]}, {size} {kinds[size]}, shard_no long")
 
 
-def cap_plan(df: DataFrame, group: str, pages: str, key: str, short: int, long: int, cap: int) -> DataFrame:
+def cap_plan(df: DataFrame, group: str, pages: str, key: str, short: int, long: int, cap: int, most: int | None = None) -> DataFrame:
     """Which rows to delete and why: too short, too long, or beyond the group's cap (the longest first)."""
-    df = with_rejection(df, [(F.col(pages) <= short, "short"), (F.col(pages) >= long, "long")], "reason")
-    alive = F.col("reason").isNull()
-    over = F.sum(alive.cast("int")).over(Window.partitionBy(group)) - cap
-    rank = F.row_number().over(Window.partitionBy(group, alive).orderBy(F.col(pages).desc(), F.col(key).desc()))
-    return df.withColumn("over", over).withColumn("rank", rank).withColumn("reason", F.when(alive & (F.col("rank") <= F.col("over")), "cap").otherwise(F.col("reason"))).withColumn("action", F.when(F.col("reason").isNull(), "keep").otherwise("delete")).drop("over", "rank")
+    df = with_rejection(df, [(F.col(pages) <= short, "short"), (F.col(pages) >= long, "long")], "reason").withColumn("alive", F.col("reason").isNull())
+    over = df.groupBy(group).agg((F.sum(F.col("alive").cast("int")) - cap).alias("over")).withColumnRenamed(group, "group_of")
+    rows = ranking.ranked(df, [group, "alive"], [F.col(pages).desc(), F.col(key).desc()], "rank", most).join(over, F.col(group).eqNullSafe(F.col("group_of")))
+    rows = rows.withColumn("reason", F.when(F.col("alive") & (F.col("rank") <= F.col("over")), "cap").otherwise(F.col("reason")))
+    return rows.withColumn("action", F.when(F.col("reason").isNull(), "keep").otherwise("delete")).drop("over", "rank", "alive", "group_of")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliomill.functions import arrow, text
-from foliomill.operators import agreement, clues, relations, selection, timeline
-from foliomill.plans.runtime import table
+from foliomill.operators import agreement, clues, figures, ranking, relations, selection, timeline
+from foliomill.plans.runtime import cut, table
 from foliomill.streaming import incremental
 
 RESULT_ROWS = "r AS (SELECT DISTINCT result_id, request_id, paper_id, source, stage, attempt, text, generated_tokens, error, finished_at, ingested_at FROM generation_results)"
@@ -187,23 +187,77 @@ def kind_agreement(spark, sf):
 def fixed_batches(spark, sf):
     """Requests of each paper in batches of three."""
     q = table(spark, sf, "generation_requests", ["request_id", "metadata"]).select("request_id", F.col("metadata.paper_id").alias("paper_id"))
-    rn = F.row_number().over(Window.partitionBy("paper_id").orderBy("request_id"))
-    return q.select("request_id", F.floor((rn - 1) / 3).alias("batch"))
+    return ranking.ranked(q, ["paper_id"], [F.col("request_id")], "place").select("request_id", F.floor((F.col("place") - 1) / 3).alias("batch"))
+
+
+def _walk(spark, sf):
+    return ranking.ranked(_results(spark, sf, "paper_id", "finished_at"), ["paper_id"], [F.col("finished_at"), F.col("result_id")], "place")
 
 
 def progress(spark, sf):
     """Running count of a paper's answers and its share of them."""
-    r = _results(spark, sf, "paper_id", "finished_at")
-    w = Window.partitionBy("paper_id").orderBy("finished_at", "result_id")
-    done, all_ = F.count("*").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.count("*").over(Window.partitionBy("paper_id"))
-    return r.select("result_id", done.alias("done"), F.round(100 * done / all_, 1).alias("percent"))
+    rows = _walk(spark, sf)
+    sizes = _results(spark, sf, "paper_id").groupBy(F.col("paper_id").alias("paper_of")).agg(F.count("*").alias("all"))
+    x = rows.join(sizes, F.col("paper_id").eqNullSafe(F.col("paper_of")))
+    return x.select("result_id", F.col("place").alias("done"), F.round(100 * F.col("place") / F.col("all"), 1).alias("percent"))
 
 
 def neighbours(spark, sf):
     """Previous and next answer of the same paper, as a reviewer walks through them."""
-    r = _results(spark, sf, "paper_id", "finished_at")
-    w = Window.partitionBy("paper_id").orderBy("finished_at", "result_id")
-    return r.select("result_id", F.lag("result_id").over(w).alias("previous"), F.lead("result_id").over(w).alias("next"))
+    rows = cut(_walk(spark, sf))
+    x = ranking.beside(ranking.beside(rows, ["paper_id"], "place", "result_id", -1, "previous"), ["paper_id"], "place", "result_id", 1, "next")
+    return x.select("result_id", "previous", "next")
+
+
+def paper_answers(spark, sf):
+    """Each paper's answered requests in order, in lists of a hundred."""
+    r = _results(spark, sf, "paper_id", "request_id").filter("paper_id is not null and request_id is not null").select("paper_id", "request_id").distinct()
+    x = ranking.in_blocks(r, ["paper_id"], [F.col("request_id")], F.col("request_id"), 100)
+    return x.select("paper_id", "block", F.size("items").cast("long").alias("n"), F.md5(F.array_join("items", ",")).alias("digest"))
+
+
+def submission_order(spark, sf):
+    """Each request's last answer, numbered in the order the requests were submitted."""
+    q = table(spark, sf, "generation_requests", ["request_id", "submitted_at"])
+    last = relations.latest(_results(spark, sf, "request_id", "attempt", "finished_at").filter("request_id is not null"), ["request_id"], ["attempt", "finished_at", "result_id"], ["result_id"])
+    return ranking.ranked(q.join(last, "request_id"), [], [F.col("submitted_at"), F.col("request_id")], "place").select("request_id", "result_id", "place")
+
+
+def _figures(spark, sf):
+    """Papers with the images their requests show as figures."""
+    q = table(spark, sf, "generation_requests", ["metadata", "images"]).select(F.col("metadata.paper_id").alias("paper_id"), F.explode("images").alias("image")).filter("paper_id is not null").distinct()
+    return q.groupBy("paper_id").agg(F.array_sort(F.collect_list("image")).alias("figures"))  # distinct images of one paper
+
+
+def figure_window(spark, sf):
+    """The figures numbered 10 to 59 over all papers."""
+    return figures.figure_window(_figures(spark, sf), [F.col("paper_id")], "figures", 10, 60).select("paper_id", F.col("figure").alias("image"), "figure_index")
+
+
+def first_figures(spark, sf):
+    """The first two figures of each paper."""
+    return _figures(spark, sf).select("paper_id", F.array_join(figures.first_figures(F.col("figures"), 2), ",").alias("images"))
+
+
+def selected_components(spark, sf):
+    """The components for a query of each mode: textual then visual ones, or visual ones only, by paper."""
+    i = _interpretations(spark, sf, "record_id", "kind", "text").filter("record_id is not null and text is not null")
+    x = ranking.in_blocks(i.withColumn("digest", F.md5("text")), ["record_id", "kind"], [F.col("digest"), F.col("interpretation_id")], F.col("digest"), 100)
+    lists = x.groupBy("record_id", "block").agg(*(F.max(F.when(F.col("kind") == k, F.col("items"))).alias(k) for k in ("textual", "visual")))
+    chosen = lambda mode: F.array_join(figures.components_of(F.col("textual"), F.col("visual"), mode), ",")
+    return lists.select("record_id", "block", F.md5(chosen("visual-and-text")).alias("both"), F.md5(chosen("visual-only")).alias("visual_only"))
+
+
+def absent_queries(spark, sf):
+    """Interpretations that would be appended as queries: neither their request nor their paper and kind has one yet, earlier ones first."""
+    i = _interpretations(spark, sf, "record_id", "kind", "metadata", "created_at").filter("created_at is not null").select("interpretation_id", "record_id", "kind", F.col("metadata.request_id").alias("request_id"), "created_at")
+    keys = [F.concat(F.lit("query_id:"), "request_id"), F.concat(F.lit("mode-paper:"), "kind", F.lit(":"), "record_id")]
+    return incremental.absent(i, keys, ["created_at", "interpretation_id"]).select("interpretation_id")
+
+
+def stream_sample_ticks(spark, sf):
+    """Samples of every three seconds, streamed."""
+    return incremental.sample_ticks(spark, sf)
 
 
 def index_window(spark, sf):
@@ -288,6 +342,7 @@ QUERIES = {f.__name__: f for f in (
     latest_result, first_result, pending_requests, pending_interpretations, retry_papers, result_papers, answer_contract, json_answers, judge_claims, component_flatten, component_categories, loose_components, null_queries, judge_prompts, null_answers,
     plain_answers, completion_audit, audit_reasons, status_counts, stage_totals, late_results, best_model, kind_agreement, fixed_batches, progress, neighbours, index_window, synthetic_queries, review_filter, changed_annotations, telemetry_delta,
     telemetry_summary, telemetry_ticks, trailing_errors, json_props, date_windows, date_bisect, stream_window_counts, stream_latest_state,
+    paper_answers, submission_order, figure_window, first_figures, selected_components, absent_queries, stream_sample_ticks,
 )}
 
 _BODY = "trim(regexp_replace(text, '^\\s*```[a-z]*\\s*|\\s*```\\s*$', '', 'g'))"
@@ -340,6 +395,15 @@ SQL = {
 g AS (SELECT min(d) AS a, max(d) AS b, sum(n)::BIGINT AS n FROM d
   UNION ALL SELECT * FROM (SELECT CASE s WHEN 0 THEN a ELSE a + ((b - a) // 2 + 1)::INT END AS x, CASE s WHEN 0 THEN a + ((b - a) // 2)::INT ELSE b END AS y, (SELECT sum(d.n)::BIGINT FROM d WHERE d.d BETWEEN CASE s WHEN 0 THEN a ELSE a + ((b - a) // 2 + 1)::INT END AND CASE s WHEN 0 THEN a + ((b - a) // 2)::INT ELSE b END) AS m FROM g, (VALUES (0), (1)) v(s) WHERE n > 400 AND a < b))
 SELECT a::VARCHAR AS range_start, b::VARCHAR AS range_end, n FROM g WHERE n > 0 AND (n <= 400 OR a = b)""",
+    "paper_answers": f"WITH {RESULT_ROWS}, d AS (SELECT DISTINCT paper_id, request_id FROM r WHERE paper_id IS NOT NULL AND request_id IS NOT NULL), o AS (SELECT *, (row_number() OVER (PARTITION BY paper_id ORDER BY request_id) - 1) // 100 AS block FROM d) SELECT paper_id, block, count(*) AS n, md5(string_agg(request_id, ',' ORDER BY request_id)) AS digest FROM o GROUP BY 1, 2",
+    "submission_order": f"WITH {RESULT_ROWS}, l AS (SELECT request_id, result_id FROM r WHERE request_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY attempt DESC NULLS LAST, finished_at DESC NULLS LAST, result_id DESC) = 1) SELECT request_id, result_id, row_number() OVER (ORDER BY submitted_at NULLS FIRST, request_id) AS place FROM generation_requests q JOIN l USING (request_id)",
+    "figure_window": "WITH f AS (SELECT DISTINCT metadata.paper_id AS paper_id, unnest(images) AS image FROM generation_requests), o AS (SELECT *, row_number() OVER (ORDER BY paper_id, image) - 1 AS figure_index FROM f WHERE paper_id IS NOT NULL AND image IS NOT NULL) SELECT paper_id, image, figure_index FROM o WHERE figure_index BETWEEN 10 AND 59",
+    "first_figures": "WITH f AS (SELECT DISTINCT metadata.paper_id AS paper_id, unnest(images) AS image FROM generation_requests), o AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY image) AS n FROM f WHERE paper_id IS NOT NULL AND image IS NOT NULL) SELECT paper_id, string_agg(image, ',' ORDER BY image) AS images FROM o WHERE n <= 2 GROUP BY 1",
+    "selected_components": """WITH i AS (SELECT DISTINCT interpretation_id, record_id, kind, md5(text) AS d FROM interpretation_records WHERE record_id IS NOT NULL AND text IS NOT NULL),
+o AS (SELECT *, (row_number() OVER (PARTITION BY record_id, kind ORDER BY d, interpretation_id) - 1) // 100 AS block FROM i)
+SELECT record_id, block, md5(concat_ws(',', string_agg(d, ',' ORDER BY d, interpretation_id) FILTER (kind = 'textual'), string_agg(d, ',' ORDER BY d, interpretation_id) FILTER (kind = 'visual'))) AS both,
+  md5(coalesce(string_agg(d, ',' ORDER BY d, interpretation_id) FILTER (kind = 'visual'), '')) AS visual_only FROM o GROUP BY 1, 2""",
+    "stream_sample_ticks": "SELECT to_timestamp(floor(epoch(ts) / 3) * 3)::TIMESTAMP AS tick, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS most FROM events GROUP BY 1",
     "stream_window_counts": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "stream_latest_state": f"WITH {_STATE} SELECT user_id, event_id, event_type FROM e",
 }

@@ -17,12 +17,16 @@ MEDICAL_TERMS = ("clinical", "patient", "tumour", "vaccine", "lesion", "diagnosi
 BIOLOGY_TERMS = ("cell", "genome", "protein", "colony", "biofilm", "membrane")
 
 
-def papers(spark: SparkSession, sf: str) -> DataFrame:
-    """Each document's last discovery, flat."""
+def papers(spark: SparkSession, sf: str, *need: str) -> DataFrame:
+    """Each document's last discovery, flat: document_id and the fields named (all, if none is).  Only these and the fields that order the discoveries are
+    shuffled, so a query that reads no abstract moves none."""
     rows = table(spark, sf, "pdf_entries", PDF_COLUMNS).withColumn("source", F.trim(F.lower("source")))
-    flat = rows.select("document_id", "source", "original_filename", "original_relative_path", "shard", "size_bytes", "sha256", "discovered_at", F.col("metadata.title").alias("title"), F.col("metadata.year").alias("year"), F.col("metadata.license").alias("license"), F.col("metadata.doi").alias("doi"), F.col("metadata.abstract").alias("abstract"))
+    nested = {c: F.col(f"metadata.{c}") for c in ("title", "year", "license", "doi", "abstract")}
+    plain = ("source", "original_filename", "original_relative_path", "shard", "size_bytes", "sha256", "discovered_at")
     order = ["discovered_at", "source", "year", "license", "sha256"]
-    return relations.latest(flat, ["document_id"], order, [c for c in flat.columns if c != "document_id"])
+    wanted = need or (*plain, *nested)
+    flat = rows.select("document_id", *(nested[c].alias(c) if c in nested else F.col(c) for c in dict.fromkeys((*wanted, *order))))
+    return relations.latest(flat, ["document_id"], order, list(wanted))
 
 
 PAPERS = """papers AS (
@@ -35,7 +39,7 @@ TOKENS = "list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')
 
 
 def latest_papers(spark, sf):
-    return papers(spark, sf).select("document_id", "source", "year", "license", "size_bytes")
+    return papers(spark, sf, "source", "year", "license", "size_bytes").select("document_id", "source", "year", "license", "size_bytes")
 
 
 def text_normalize(spark, sf):
@@ -45,24 +49,24 @@ def text_normalize(spark, sf):
 
 
 def safe_path_ids(spark, sf):
-    return papers(spark, sf).select("document_id", text.safe_name("original_filename").alias("safe_name"), text.slug("title").alias("slug"))
+    return papers(spark, sf, "original_filename", "title").select("document_id", text.safe_name("original_filename").alias("safe_name"), text.slug("title").alias("slug"))
 
 
 def document_keys(spark, sf):
-    p = papers(spark, sf)
+    p = papers(spark, sf, "source", "doi", "title", "original_relative_path")
     return p.select("document_id", text.document_key(F.col("source"), F.coalesce(text.truthy("doi"), text.truthy("title"), F.col("document_id")), F.col("original_relative_path")).alias("key"))
 
 
 def license_family_counts(spark, sf):
     label = text.license_label("license")
-    return papers(spark, sf).select(label.alias("label"), text.license_family(label).alias("family")).groupBy("family", "label").agg(F.count("*").alias("n"))
+    return papers(spark, sf, "license").select(label.alias("label"), text.license_family(label).alias("family")).groupBy("family", "label").agg(F.count("*").alias("n"))
 
 
 REJECTIONS = ["malformed", "outside_years", "missing_license", "disallowed_license", "missing_doi", "missing_abstract"]
 
 
 def _rejected(spark, sf):
-    p = papers(spark, sf).withColumn("label", text.license_label("license"))
+    p = papers(spark, sf, "source", "title", "year", "license", "doi", "abstract", "discovered_at").withColumn("label", text.license_label("license"))
     family = text.license_family(F.col("label"))
     rules = [
         (F.col("title").isNull() | (F.trim("title") == ""), "malformed"),
@@ -100,15 +104,15 @@ QUOTAS = [("clinical", "clinical", 12), ("neural", "neural", 20), ("any", "", 40
 def quota_selection(spark, sf):
     ok = _rejected(spark, sf).filter("rejection is null").select("document_id", "title", "discovered_at")
     groups = [(name, F.contains(F.lower("title"), F.lit(term)), n) for name, term, n in QUOTAS]
-    return selection.priority_quota(ok, "document_id", groups, [F.col("discovered_at"), F.col("document_id")]).select("document_id", "quota_group")
+    return selection.priority_quota(ok, "document_id", groups, ["discovered_at", "document_id"]).select("document_id", "quota_group")
 
 
 def quota_stop(spark, sf):
-    """Rows scanned until the last quota was full, and reasons counted among those only."""
+    """Reasons counted among the rows that are scanned: those up to the one that fills the last quota, or all if a quota stays unfilled."""
     rows = _rejected(spark, sf).select("document_id", "title", "discovered_at", "rejection")
-    picked = selection.priority_quota(rows.filter("rejection is null"), "document_id", [(n, F.contains(F.lower("title"), F.lit(t)), q) for n, t, q in QUOTAS], [F.col("discovered_at"), F.col("document_id")])
-    stop = picked.agg(F.max(F.struct("discovered_at", "document_id")).alias("stop"))
-    return rows.crossJoin(F.broadcast(stop)).filter(F.struct("discovered_at", "document_id") <= F.col("stop")).groupBy(F.coalesce("rejection", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"))
+    groups = [(n, F.contains(F.lower("title"), F.lit(t)), q) for n, t, q in QUOTAS]
+    scanned = selection.until_filled(rows, F.col("rejection").isNull(), "document_id", groups, ["discovered_at", "document_id"])
+    return scanned.groupBy(F.coalesce("rejection", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
 _QUOTA_CTE = REJECTED + """,
@@ -137,14 +141,14 @@ def domain_cascade(spark, sf):
         (F.col("source") == "medicine", "medicine"),
         (F.col("source") == "biology", "biology"),
     ]
-    return papers(spark, sf).select("document_id", text.first_matching(rules, "unknown").alias("domain"))
+    return papers(spark, sf, "source", "title").select("document_id", text.first_matching(rules, "unknown").alias("domain"))
 
 
 def term_score_domain(spark, sf):
     """Distinct terms of each class contained in title and abstract; medicine must lead outright."""
     hay = F.lower(F.concat_ws(" ", "title", "abstract"))
     med, bio = (sum((F.contains(hay, F.lit(t)).cast("int") for t in terms), F.lit(0)) for terms in (MEDICAL_TERMS, BIOLOGY_TERMS))
-    p = papers(spark, sf).select("document_id", med.alias("medical"), bio.alias("biological"))
+    p = papers(spark, sf, "title", "abstract").select("document_id", med.alias("medical"), bio.alias("biological"))
     return p.withColumn("domain", F.when((F.col("medical") == 0) & (F.col("biological") == 0), None).when(F.col("medical") > F.col("biological"), "medicine").otherwise("biology"))
 
 
@@ -197,15 +201,15 @@ pruned AS (SELECT doc_id, source, CASE WHEN reason IS NULL AND rn <= over_cap TH
 
 
 def stratified_split(spark, sf):
-    return selection.split_by_fraction(papers(spark, sf).select("document_id", "source"), "source", "document_id", 0.1, "s1").select("document_id", "source", "split")
+    return selection.split_by_fraction(papers(spark, sf, "source").select("document_id", "source"), "source", "document_id", 0.1, "s1").select("document_id", "source", "split")
 
 
 def sample_split(spark, sf):
-    return selection.split_by_counts(papers(spark, sf).select("document_id", "source"), "source", "document_id", 40, 10, "s2").select("document_id", "source", "split")
+    return selection.split_by_counts(papers(spark, sf, "source").select("document_id", "source"), "source", "document_id", 40, 10, "s2").select("document_id", "source", "split")
 
 
 def split_counts(spark, sf):
-    rows = selection.split_by_fraction(papers(spark, sf).select("document_id", "source"), "source", "document_id", 0.1, "s1")
+    rows = selection.split_by_fraction(papers(spark, sf, "source").select("document_id", "source"), "source", "document_id", 0.1, "s1")
     return rows.groupBy("source").pivot("split", ["train", "test"]).count().select("source", F.coalesce("train", F.lit(0)).alias("train"), F.coalesce("test", F.lit(0)).alias("test"))
 
 
@@ -218,7 +222,7 @@ SHARD_BYTES, SHARD_FILES = 20_000_000, 12
 
 
 def shard_plan(spark, sf):
-    return selection.next_fit(papers(spark, sf).select("source", "document_id", "size_bytes"), "source", "document_id", "size_bytes", SHARD_BYTES, SHARD_FILES)
+    return selection.next_fit(papers(spark, sf, "source", "size_bytes").select("source", "document_id", "size_bytes"), "source", "document_id", "size_bytes", SHARD_BYTES, SHARD_FILES)
 
 
 def shard_report(spark, sf):
@@ -239,18 +243,18 @@ fold AS (
 
 def exact_duplicates(spark, sf):
     """Documents with the bytes of an earlier one: the first document_id of equal bytes is canonical."""
-    p = papers(spark, sf).filter("sha256 is not null").select("sha256", "document_id", "source")
+    p = papers(spark, sf, "source", "sha256").filter("sha256 is not null").select("sha256", "document_id", "source")
     first = p.groupBy("sha256").agg(F.min_by(F.struct("document_id", "source"), "document_id").alias("c"), F.count("*").alias("n")).filter("n > 1")
     return p.join(first, "sha256").filter("document_id <> c.document_id").select("sha256", F.col("c.document_id").alias("canonical_document_id"), F.col("document_id").alias("duplicate_document_id"), F.col("c.source").alias("canonical_source"), F.col("source").alias("duplicate_source"))
 
 
 def bytes_by_source(spark, sf):
-    return papers(spark, sf).groupBy("source").agg(F.count("*").alias("files"), F.countDistinct("sha256").alias("distinct_files"), F.sum("size_bytes").alias("bytes"))
+    return papers(spark, sf, "source", "sha256", "size_bytes").groupBy("source").agg(F.count("*").alias("files"), F.countDistinct("sha256").alias("distinct_files"), F.sum("size_bytes").alias("bytes"))
 
 
 def _quality(spark, sf):
     d = table(spark, sf, "documents", ["doc_id", "paper_id", "text"]).filter("text is not null")
-    p = papers(spark, sf).select(F.col("document_id").alias("paper_id"), "title", "abstract")
+    p = papers(spark, sf, "title", "abstract").select(F.col("document_id").alias("paper_id"), "title", "abstract")
     x = d.join(p, "paper_id", "left").withColumn("a", text.word_set("text")).withColumn("b", text.word_set("abstract"))
     inter = F.size(F.array_intersect("a", "b")).cast("double")
     return x.select(
@@ -283,7 +287,7 @@ quality AS (
 def abstract_similarity(spark, sf):
     """Ratcliff-Obershelp similarity of each document's text with its paper's abstract (an Arrow UDF; no SQL form)."""
     d = table(spark, sf, "documents", ["doc_id", "paper_id", "text"])
-    p = papers(spark, sf).select(F.col("document_id").alias("paper_id"), "abstract")
+    p = papers(spark, sf, "abstract").select(F.col("document_id").alias("paper_id"), "abstract")
     return d.join(p, "paper_id").select("doc_id", F.round(arrow.similarity_udf("text", "abstract"), 6).alias("similarity"))
 
 
@@ -299,7 +303,7 @@ def markdown_counts(spark, sf):
 
 def top_words(spark, sf):
     """The hundred most frequent title words; ties alphabetical."""
-    words = papers(spark, sf).select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("title", F.lit(""))), F.lit("[a-z-]+"), F.lit(0))).alias("word"))
+    words = papers(spark, sf, "title").select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("title", F.lit(""))), F.lit("[a-z-]+"), F.lit(0))).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(100)
 
 
@@ -330,31 +334,31 @@ def split_intersection(spark, sf):
 
 def split_other(spark, sf):
     """Papers in no split."""
-    p = papers(spark, sf).withColumn("path", F.concat("source", F.lit("/"), F.lower("original_relative_path")))
+    p = papers(spark, sf, "source", "original_relative_path").withColumn("path", F.concat("source", F.lit("/"), F.lower("original_relative_path")))
     return p.join(_entries(spark, sf).select("path").distinct(), "path", "left_anti").select("document_id", "source")
 
 
 def split_papers(spark, sf):
     """Papers of the test split in the order of the list, with its missing ones counted as null."""
-    p = papers(spark, sf).select(F.concat("source", F.lit("/"), F.lower("original_relative_path")).alias("path"), "document_id")
+    p = papers(spark, sf, "source", "original_relative_path").select(F.concat("source", F.lit("/"), F.lower("original_relative_path")).alias("path"), "document_id")
     return _entries(spark, sf).filter("split = 'test'").join(p, "path", "left").select("entry_id", "entry_pos", "document_id")
 
 
 def paper_versions(spark, sf):
     """Row fields read from file names: year folder, number, version, and the last valid version first."""
-    p = papers(spark, sf).select("document_id", F.regexp_extract("original_relative_path", "^([0-9]{4})/", 1).alias("folder"), F.regexp_extract("original_filename", "([0-9]{8})(?:v([0-9]+))?[.]", 2).alias("version"), F.regexp_extract("original_filename", "([0-9]{8})", 1).alias("number"))
+    p = papers(spark, sf, "original_relative_path", "original_filename").select("document_id", F.regexp_extract("original_relative_path", "^([0-9]{4})/", 1).alias("folder"), F.regexp_extract("original_filename", "([0-9]{8})(?:v([0-9]+))?[.]", 2).alias("version"), F.regexp_extract("original_filename", "([0-9]{8})", 1).alias("number"))
     return p.select("document_id", F.expr("try_cast(nullif(folder, '') as int)").alias("folder_year"), F.expr("try_cast(nullif(version, '') as int)").alias("version"), F.expr("try_cast(nullif(number, '') as int)").alias("number"))
 
 
 def export_sample(spark, sf):
     """The first 20 papers of each source by digest order, as an export bundle would take them."""
-    p = papers(spark, sf).select("document_id", "source", "sha256")
+    p = papers(spark, sf, "source", "sha256").select("document_id", "source", "sha256")
     return selection.top_per_group(p, ["source"], [F.col("sha256"), F.col("document_id")], 20).select("document_id", "source", F.col("rank").cast("long").alias("rank"))
 
 
 def id_repair(spark, sf):
     """Ids made unique: the n-th holder of a file name gets a suffix."""
-    p = papers(spark, sf).select("document_id", "source", F.lower(F.regexp_extract("original_filename", "([A-Za-z]+)", 1)).alias("stem"))
+    p = papers(spark, sf, "source", "original_filename").select("document_id", "source", F.lower(F.regexp_extract("original_filename", "([A-Za-z]+)", 1)).alias("stem"))
     w = Window.partitionBy("source", "stem").orderBy("document_id")
     n, rn = F.count("*").over(Window.partitionBy("source", "stem")), F.row_number().over(w)
     return p.select("document_id", F.concat("stem", F.when(rn > 1, F.concat(F.lit("-"), F.hex(rn.cast("long") - 1))).otherwise(F.lit(""))).alias("unique_id"), n.alias("holders"))
@@ -370,7 +374,7 @@ def reconcile_sizes(spark, sf):
 
 def package_violations(spark, sf):
     """Rules that discovered files break: path, digest, size, archive member, shard name."""
-    p = papers(spark, sf).join(table(spark, sf, "pdf_entries", ["document_id", "member_path"]).groupBy("document_id").agg(F.min("member_path").alias("member_path")), "document_id")
+    p = papers(spark, sf, "original_relative_path", "sha256", "size_bytes", "year").join(table(spark, sf, "pdf_entries", ["document_id", "member_path"]).groupBy("document_id").agg(F.min("member_path").alias("member_path")), "document_id")
     rules = {"path": validate.unsafe_path(F.col("original_relative_path"), ".pdf"), "digest": validate.bad_digest(F.col("sha256")), "size": validate.bad_size(F.col("size_bytes")), "member": F.col("member_path") != F.concat("document_id", F.lit(".pdf")), "year": ~F.coalesce(F.col("year").between(1900, 2100), F.lit(False))}
     return validate.violations(p, "document_id", rules)
 
@@ -383,7 +387,7 @@ def quota_targets(spark, sf):
 
 def paper_strata(spark, sf):
     """Papers by stratum: source and year, with fallbacks."""
-    return papers(spark, sf).groupBy(ids.stratum(None, F.col("source"), F.col("year")).alias("stratum")).agg(F.count("*").alias("n"))
+    return papers(spark, sf, "source", "year").groupBy(ids.stratum(None, F.col("source"), F.col("year")).alias("stratum")).agg(F.count("*").alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -412,7 +416,11 @@ SQL = {
     "candidate_rejections": f"WITH {REJECTED} SELECT document_id, rejection FROM rejected",
     "rejection_funnel": f"WITH {REJECTED} SELECT source, coalesce(rejection, 'selected') AS outcome, count(*) AS n FROM rejected GROUP BY ALL",
     "quota_selection": f"WITH {_QUOTA_CTE} SELECT document_id, quota_group FROM picked",
-    "quota_stop": f"WITH {_QUOTA_CTE}, s AS (SELECT discovered_at, document_id FROM picked ORDER BY discovered_at DESC, document_id DESC LIMIT 1) SELECT coalesce(r.rejection, 'accepted') AS outcome, count(*) AS n FROM rejected r, s WHERE r.discovered_at < s.discovered_at OR (r.discovered_at = s.discovered_at AND r.document_id <= s.document_id) GROUP BY ALL",
+    "quota_stop": f"""WITH {_QUOTA_CTE},
+filled AS (SELECT (SELECT count(*) FROM a) >= 12 AND (SELECT count(*) FROM b) >= 20 AND (SELECT count(*) FROM c) >= 40 AS yes),
+s AS (SELECT discovered_at, document_id FROM picked ORDER BY discovered_at DESC, document_id DESC LIMIT 1)
+SELECT coalesce(rejection, 'accepted') AS outcome, count(*) AS n FROM rejected r
+WHERE NOT (SELECT yes FROM filled) OR (r.discovered_at, r.document_id) <= (SELECT (discovered_at, document_id) FROM s) GROUP BY ALL""",
     "source_cap": f"WITH {REJECTED} SELECT document_id, source, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY discovered_at, document_id) AS rn FROM rejected WHERE rejection IS NULL) WHERE rn <= 25",
     "domain_cascade": f"""WITH {PAPERS}, t AS (SELECT document_id, source, lower(coalesce(title, '')) AS t FROM papers)
 SELECT document_id, CASE WHEN source = 'acl' THEN 'language' WHEN contains(t, 'neural') AND contains(t, 'sensor') THEN 'signal' WHEN contains(t, 'clinical') OR contains(t, 'patient') THEN 'clinical' WHEN contains(t, 'genome') OR contains(t, 'cell') THEN 'cell'

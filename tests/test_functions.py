@@ -89,6 +89,7 @@ def test_plain_text_and_similarity():
         ('[{"cue": "a", "category": "t"}, {"cue": "b"}]', "textual", ["textual t: a", "textual cue: b"]),
         ('```json\n[{"cue": "a", "category": "t"}, {"cue": "b c', "textual", ["textual t: a", "textual cue: b c"]),
         ('{"layout": "grid", "figure_type": ["bar", "line"]}', "visual", ["figure_type: bar", "figure_type: line", "layout: grid"]),
+        ('{"distinctive_visual_cues": "d", "note": "n", "visual_elements": "v", "colors_and_styles": "c", "relationships": "r", "layout": "l"}', "visual", ["layout: l", "visual_elements: v", "colors_and_styles: c", "relationships: r", "distinctive_visual_cues: d", "note: n"]),
         ('{"a": "x"} {"b": "y"}', "visual", ["a: x", "b: y"]),
         ("only words", "visual", ["only words"]),
         ("", "visual", []),

@@ -25,7 +25,7 @@ def test_quota_equals_greedy_loop(spark):
                     count[g] += 1
                     break
         df = spark.createDataFrame(rows, "id int, tags string")
-        got = selection.priority_quota(df, "id", [(g, F.contains("tags", F.lit(g)), quotas[g]) for g in ("a", "b")], [F.col("id")])
+        got = selection.priority_quota(df, "id", [(g, F.contains("tags", F.lit(g)), quotas[g]) for g in ("a", "b")], ["id"])
         # The greedy loop lets a row that finds the first group full try the second, as the passes do.
         assert {r["id"]: r["quota_group"] for r in got.collect()} == taken
 
