@@ -178,27 +178,38 @@ def safe_member(name: str) -> bool:
     return bool(name) and not name.startswith("/") and "\\" not in name and not any(p in ("", ".", "..") for p in name.split("/"))
 
 
-def archive_members(content: bytes | None) -> list[dict]:
-    """Files of a TAR or ZIP archive with their bytes; unsafe names and repeated members are marked, not extracted."""
-    if not content:
-        return []
-    pairs: list[tuple[str, bytes]] = []
-    if zipfile.is_zipfile(io.BytesIO(content)):
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            pairs = [(i.filename, z.read(i)) for i in z.infolist() if not i.is_dir()]
-    else:
-        try:
-            with tarfile.open(fileobj=io.BytesIO(content)) as t:
-                pairs = [(m.name, t.extractfile(m).read()) for m in t if m.isfile()]
-        except tarfile.TarError:
-            return [{"name": None, "content": None, "problem": "unreadable"}]
+def stream_members(file) -> Iterator[dict]:
+    """Files of a TAR or ZIP archive, one by one with their bytes, from a file open for reading; unsafe names and repeated members are marked, not
+    extracted."""
     seen: set[str] = set()
-    out = []
-    for name, data in pairs:
+
+    def member(name: str, read) -> dict:
         problem = "unsafe" if not safe_member(name) else "duplicate" if name in seen else None
         seen.add(name)
-        out.append({"name": name, "content": None if problem else data, "problem": problem})
-    return out
+        return {"name": name, "content": None if problem else read(), "problem": problem}
+
+    begin = file.read(4)
+    file.seek(0)
+    if not begin:
+        return
+    try:
+        if begin[:2] == b"PK":
+            with zipfile.ZipFile(file) as z:
+                for i in z.infolist():
+                    if not i.is_dir():
+                        yield member(i.filename, lambda i=i: z.read(i))
+        else:
+            with tarfile.open(fileobj=file, mode="r|*") as t:
+                for m in t:
+                    if m.isfile():
+                        yield member(m.name, lambda m=m: t.extractfile(m).read())
+    except (tarfile.TarError, zipfile.BadZipFile):
+        yield {"name": None, "content": None, "problem": "unreadable"}
+
+
+def archive_members(content: bytes | None) -> list[dict]:
+    """``stream_members`` of an archive that is at hand."""
+    return list(stream_members(io.BytesIO(content))) if content else []
 
 
 @F.pandas_udf(T.StringType())
@@ -216,11 +227,6 @@ def components_udf(text: pd.Series, kind: pd.Series) -> pd.Series:
     return pd.Series([components(x, k) for x, k in zip(text, kind)])
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("content", T.BinaryType()), T.StructField("problem", T.StringType())])))
-def archive_members_udf(content: pd.Series) -> pd.Series:
-    return content.map(archive_members)
-
-
 @F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
 def image_size_udf(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([image_size(x) or (None, None) for x in content], columns=["width", "height"]).astype("Int32")

@@ -144,3 +144,8 @@ def first_matching(rules: list[tuple[Column, str]], default: str | None = None)
     for condition, name in reversed(rules):
         out = F.when(condition, F.lit(name)).otherwise(out)
     return out
+
+
+def bar(n: Column, most: Column, width: int = 32) -> Column:
+    """A bar of # as long as ``n`` is of ``most``: nothing for none, at least one mark for some."""
+    return F.when((n <= 0) | (most <= 0), "").otherwise(F.repeat(F.lit("#"), F.greatest(F.lit(1), F.round(n / most * width).cast("int"))))

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomill.plans import answer_queries, corpus_queries
+from foliomill.plans import answer_queries, corpus_queries, source_queries
 
 FLAGSHIP = "parsed_quality_report"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return corpus_queries.QUERIES | answer_queries.QUERIES
+    return corpus_queries.QUERIES | answer_queries.QUERIES | source_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return corpus_queries.SQL | answer_queries.SQL
+    return corpus_queries.SQL | answer_queries.SQL | source_queries.SQL

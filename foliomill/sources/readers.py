@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
-from foliomill.functions.arrow import archive_members_udf
+from foliomill.functions.arrow import stream_members
+from foliomill.operators import ranking
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -19,19 +24,40 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line")).filter(F.trim("line") != "")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line) of all lines, numbered from 1 in each file.  A file's pieces may be read in any order, so lines are ranked by the place of their
+    piece in the file and their place in the piece; a file of any size is spread over tasks."""
+    rows = spark.read.option("lineSep", "\n").text(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("piece"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"))
+    return ranking.ranked(rows, ["file"], [F.col("piece"), F.col("pos")], "line_no").select("file", "line_no", "line")
+
+
+def _is_object(line: Column) -> Column:
+    """True for a line that is one JSON object."""
+    one = F.startswith(F.trim(line), F.lit("{")) & (F.json_array_length(F.concat(F.lit("["), line, F.lit("]"))) == 1)
+    return F.coalesce(one, F.lit(False))
+
+
+def invalid_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, problem, line) of the lines that are no JSON (invalid) or no object."""
+    rows = numbered_lines(spark, path).filter((F.trim("line") != "") & ~_is_object(F.col("line")))
+    problem = F.when(F.try_parse_json("line").isNull(), "invalid JSON").otherwise("no object")
+    return rows.select("file", "line_no", problem.alias("problem"), "line")
+
+
 def jsonl(spark: SparkSession, path: str, schema: T.StructType | str, bad: str = "fail", missing_ok: bool = False) -> DataFrame:
-    """JSON objects, one a line.  ``bad`` lines (no JSON, or no object) fail the read, are skipped, or stay as rows with ``parse_error`` true."""
+    """JSON objects, one a line.  ``bad`` lines (no JSON, or no object) fail the read at once, with file and line number, are skipped, or stay as rows with
+    ``parse_error`` true."""
     wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     if missing_ok and not _exists(spark, path):
         return spark.createDataFrame([], T.StructType([T.StructField("file", T.StringType()), T.StructField("pos", T.LongType()), *wanted.fields]))
-    is_object = F.startswith(F.trim("line"), F.lit("{")) & (F.json_array_length(F.concat(F.lit("["), F.col("line"), F.lit("]"))) == 1)
-    rows = lines(spark, path).withColumn("ok", F.coalesce(is_object, F.lit(False)))
+    rows = lines(spark, path).withColumn("ok", _is_object(F.col("line")))
+    if bad == "fail" and not rows.filter("not ok").isEmpty():
+        first = invalid_lines(spark, path).orderBy("file", "line_no").first()
+        raise ValueError(f"{first['file']}:{first['line_no']}: {first['problem']}: {first['line'][:80]}")
     parsed = rows.withColumn("r", F.when(F.col("ok"), F.from_json("line", wanted)))
     if bad == "rows":
         return parsed.select("file", "pos", (~F.col("ok")).alias("parse_error"), "r.*")
-    if bad == "fail":
-        checked = F.when(~F.col("ok"), F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring("line", 1, 80)))).otherwise(F.col("r"))
-        return parsed.select("file", "pos", checked.alias("r")).select("file", "pos", "r.*")
     return parsed.filter("ok").select("file", "pos", "r.*")
 
 
@@ -116,12 +142,33 @@ def samples_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.filter(F.hash(*rows.columns) >= -(2**31))  # reads every column, so that no width goes unchecked
 
 
+def _open(path: str):
+    """A file of any file system that the executors see, open for reading."""
+    where = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return where[0].open_input_file(unquote(where[1]) if path.startswith("file:") else where[1])
+
+
+@F.pandas_udf(T.BinaryType())
+def file_head(path: pd.Series) -> pd.Series:
+    """The first eight bytes of a file; null for one that cannot be read."""
+
+    def head(x: str) -> bytes | None:
+        try:
+            with _open(x) as f:
+                return f.read(8)
+        except OSError:
+            return None
+
+    return path.map(head)
+
+
 def inventory(spark: SparkSession, path: str, pattern: str = "*.pdf", root: str = "") -> DataFrame:
-    """(path, relative_path, domain, size_bytes, pdf) of files below a folder: the content is read for its first bytes only in the check, never kept."""
-    f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    """(path, relative_path, domain, size_bytes, pdf) of files below a folder: files are listed, and of each only the first bytes are read."""
+    f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "length")
     base = F.regexp_replace(F.lit(root or path), "^(file:)?/*", "")
     relative = F.regexp_replace(F.regexp_replace(F.col("path"), "^[a-z]+:/*", ""), F.concat(F.lit("^"), base, F.lit("/*")), "")
-    return f.select("path", relative.alias("relative_path"), F.split(relative, "/")[0].alias("domain"), F.col("length").alias("size_bytes"), (F.substring("content", 1, 4) == F.lit(b"%PDF")).alias("pdf"))
+    pdf = F.coalesce(F.substring(file_head("path"), 1, 4) == F.lit(b"%PDF"), F.lit(False))
+    return f.select("path", relative.alias("relative_path"), F.split(relative, "/")[0].alias("domain"), F.col("length").alias("size_bytes"), pdf.alias("pdf"))
 
 
 def page_count(content: Column) -> Column:
@@ -129,10 +176,31 @@ def page_count(content: Column) -> Column:
     return F.regexp_count(F.decode(content, "ISO-8859-1"), F.lit(r"/Type\s*/Page(?!s)"))
 
 
+#: Bytes of members that are held at once.
+ARCHIVE_BATCH = 32 << 20
+
+
 def archive(spark: SparkSession, path: str) -> DataFrame:
-    """Members of TAR and ZIP files: archive, name, content, size, sha256, problem (unsafe, duplicate or unreadable)."""
-    f = spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), F.explode(archive_members_udf("content")).alias("m"))
-    return f.select("archive", "m.name", "m.content", F.length("m.content").cast("long").alias("size_bytes"), F.sha2("m.content", 256).alias("sha256"), "m.problem")
+    """Members of TAR and ZIP files: archive, name, content, size_bytes, sha256, problem (unsafe, duplicate or unreadable).
+
+    An archive is read as a stream, member by member, so its size does not matter; only a single member has to fit into a row."""
+    names = spark.read.format("binaryFile").load(path).select("path")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for archive_path in pdf["path"]:
+                held, size = [], 0
+                with _open(archive_path) as f:
+                    for m in stream_members(f):
+                        held.append((archive_path, m["name"], m["content"], m["problem"]))
+                        size += len(m["content"] or b"")
+                        if size > ARCHIVE_BATCH:
+                            yield pd.DataFrame(held, columns=["archive", "name", "content", "problem"])
+                            held, size = [], 0
+                yield pd.DataFrame(held, columns=["archive", "name", "content", "problem"])
+
+    m = names.mapInPandas(run, "archive string, name string, content binary, problem string")
+    return m.select("archive", "name", "content", F.length("content").cast("long").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), "problem")
 
 
 def paper_folders(spark: SparkSession, path: str) -> DataFrame:
@@ -242,13 +310,73 @@ def harvest_records(c: Column) -> Column:
 
 
 def first_format(spark: SparkSession, folder: str) -> DataFrame:
-    """A dataset kept as Parquet, JSON lines or CSV, whichever is there first in that order."""
-    for pattern, read in (("*.parquet", spark.read.parquet), ("*.jsonl", spark.read.json), ("*.csv", spark.read.option("header", True).csv)):
+    """A dataset kept as Parquet, JSON lines or CSV, whichever is there first in that order, else as papers.jsonl, else as a folder for each paper."""
+    readers = ((spark.read.parquet, "data.parquet"), (spark.read.json, "data.jsonl"), (spark.read.option("header", True).csv, "data.csv"), (spark.read.parquet, "*.parquet"), (spark.read.json, "papers.jsonl"), (spark.read.json, "*.jsonl"), (spark.read.option("header", True).csv, "*.csv"))
+    for read, pattern in readers:
         if _exists(spark, f"{folder}/{pattern}"):
             return read(f"{folder}/{pattern}")
+    if _exists(spark, f"{folder}/*/markdown.md") or _exists(spark, f"{folder}/*/*/markdown.md"):
+        return paper_folders(spark, folder)
     raise FileNotFoundError(folder)
 
 
+def by_any_id(records: DataFrame, ids: list[Column]) -> DataFrame:
+    """(id, record): the record that each of several ids names (a column of ids may be an array); the last record of an id counts, by the record itself
+    if its order is not known."""
+    lists = [F.array(c.cast("string")) if not isinstance(records.select(c).schema[0].dataType, T.ArrayType) else c.cast("array<string>") for c in ids]
+    rows = records.select(F.struct(*records.columns).alias("record"), F.explode(F.array_compact(F.array_distinct(F.flatten(F.array(*(F.coalesce(x, F.array().cast("array<string>")) for x in lists)))))).alias("id"))
+    return rows.filter("id <> ''").groupBy("id").agg(F.max("record").alias("record"))
+
+
+Page = tuple[list[tuple[str, str]], str | None]
+
+
+def harvest(windows: DataFrame, load: Callable[[], Callable[[str, str, str | None], Page]], retries: int = 3, base: float = 0.5, limit: int | None = None, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(window_no, id, record, page, status): the records of date windows (window_no, window_start, window_end as text) of a paged service.
+
+    ``load`` makes a client in each worker; called with a window's dates and a resumption token it returns a page's (id, record) pairs and the next
+    token, none after the last page.  A page is tried again with back-off; a window that the service refuses (``NotAcceptable``) or that fails for good
+    gives one row that says so and is passed over.  ``limit`` bounds the records taken, the first windows' first."""
+    from foliomill.sources.lookup import Permanent
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fetch = load()
+        for pdf in batches:
+            for no, start, end in zip(pdf["window_no"], pdf["window_start"], pdf["window_end"]):
+                token, page, more = None, 0, True
+                while more:
+                    status, rows = "record", []
+                    for n in range(retries + 1):
+                        try:
+                            rows, token = fetch(start, end, token)
+                            break
+                        except NotAcceptable:
+                            status = "skipped"
+                            break
+                        except Permanent as error:
+                            status = f"failed: {error}"
+                            break
+                        except Exception as error:
+                            if n == retries:
+                                status = f"failed: {type(error).__name__}: {error}"
+                                break
+                            wait(min(300.0, base * 2**n))
+                    found = [(no, i, r, page, status) for i, r in rows] if status == "record" else [(no, None, None, page, status)]
+                    yield pd.DataFrame(found, columns=["window_no", "id", "record", "page", "status"])
+                    more, page = status == "record" and token is not None, page + 1
+
+    kinds = dict(windows.dtypes)
+    spread = windows.select("window_no", F.col("window_start").cast("string"), F.col("window_end").cast("string")).repartition("window_no")
+    rows = spread.mapInPandas(run, f"window_no {kinds['window_no']}, id string, record string, page int, status string")
+    if limit is None:
+        return rows
+    return rows.orderBy("window_no", "page", "id").limit(limit)
+
+
+class NotAcceptable(Exception):
+    """The service refuses a window."""
+
+
 def by_folder(spark: SparkSession, glob: str, schema: str, depth: int = 2, name: str = "condition") -> DataFrame:
     """JSON lines of many folders; the folder ``depth`` above each file names its condition; rows of broken lines are left out."""
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(glob)

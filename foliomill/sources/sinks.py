@@ -5,11 +5,13 @@ from __future__ import annotations
 import io
 import json
 import os
+import shutil
 import tarfile
+import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,6 +21,18 @@ def write_jsonl(df: DataFrame, path: str, by: list[str] | None = None, mode: str
     (w.partitionBy(*by) if by else w).json(path)
 
 
+def put_row(spark: SparkSession, path: str, row: dict, append: bool = True) -> None:
+    """One JSON object to a table of JSON lines, keys sorted: appended, or in place of all that is there."""
+    line = json.dumps(row, sort_keys=True, ensure_ascii=False)
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append" if append else "overwrite").text(path)
+
+
+def write_groups(df: DataFrame, path: str, by: list[str], first: bool) -> None:
+    """JSON lines in a folder for each group.  The ``first`` write of a run replaces the groups it holds and leaves the others; later ones append."""
+    w = df.write.option("ignoreNullFields", False).partitionBy(*by)
+    (w.mode("overwrite").option("partitionOverwriteMode", "dynamic") if first else w.mode("append")).json(path)
+
+
 def write_parquet(df: DataFrame, path: str, columns: list[str]) -> None:
     """Exactly these columns in this order; missing ones are null."""
     df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns)).write.mode("overwrite").parquet(path)
@@ -82,6 +96,74 @@ def write_shards(files: DataFrame, folder: str) -> DataFrame:
     return ordered.mapInPandas(run, "shard string, name string, size_bytes long, sha256 string")
 
 
+def write_bundle(files: DataFrame, queries: DataFrame, path: str) -> int:
+    """One ZIP for review: the files (name, content) in name order, streamed one by one, and queries.json with all rows of ``queries``; written under a temporary
+    name and renamed when whole.  A bundle is a sample for people, so its manifest fits the driver; returns the number of files."""
+    temp, n = f"{path}.tmp", 0
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    try:
+        with zipfile.ZipFile(temp, "w", zipfile.ZIP_DEFLATED) as z:
+            for r in files.select("name", "content").orderBy("name").toLocalIterator():
+                z.writestr(f"pdfs/{r['name']}", bytes(r["content"] or b""))
+                n += 1
+            z.writestr("queries.json", json.dumps([r.asDict(recursive=True) for r in queries.toLocalIterator()], indent=2, ensure_ascii=False, default=str) + "\n")
+        os.replace(temp, path)
+    finally:
+        if os.path.exists(temp):
+            os.remove(temp)
+    return n
+
+
+def transfer(plan: DataFrame, move: bool = False) -> DataFrame:
+    """Carry out an ``action_plan`` of files (source_path, target_path, action) on a shared folder: (target_path, outcome), outcome one of written, existing,
+    missing and failed.  A file is copied under a temporary name and renamed, so a task that is run again does no harm."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for source, target, action in zip(pdf["source_path"], pdf["target_path"], pdf["action"]):
+                outcome = action
+                if action == "planned":
+                    try:
+                        os.makedirs(os.path.dirname(target), exist_ok=True)
+                        temp = f"{target}.{os.getpid()}.tmp"
+                        shutil.copyfile(source, temp)
+                        os.replace(temp, target)
+                        if move:
+                            os.remove(source)
+                        outcome = "written"
+                    except FileNotFoundError:
+                        outcome = "existing" if os.path.exists(target) else "missing"
+                    except OSError as error:
+                        outcome = f"failed: {error.strerror}"
+                out.append((target, outcome))
+            yield pd.DataFrame(out, columns=["target_path", "outcome"])
+
+    return plan.select("source_path", "target_path", "action").mapInPandas(run, "target_path string, outcome string")
+
+
+def delete_files(decisions: DataFrame) -> DataFrame:
+    """Delete the files (path, action) whose action is delete; (path, outcome): deleted, gone before, kept or failed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for path, action in zip(pdf["path"], pdf["action"]):
+                outcome = "kept"
+                if action == "delete":
+                    try:
+                        os.remove(path)
+                        outcome = "deleted"
+                    except FileNotFoundError:
+                        outcome = "gone"
+                    except OSError as error:
+                        outcome = f"failed: {error.strerror}"
+                out.append((path, outcome))
+            yield pd.DataFrame(out, columns=["path", "outcome"])
+
+    return decisions.select("path", "action").mapInPandas(run, "path string, outcome string")
+
+
 def action_plan(wanted: DataFrame, there: DataFrame, key: str) -> DataFrame:
     """What a copy would do with each file: planned, existing, or missing at the source."""
     x = wanted.join(there.select(key, F.lit(True).alias("at_target")), key, "left")

@@ -16,8 +16,9 @@ def test_jsonl(spark, tmp_path):
     good = readers.jsonl(spark, str(p), "id int, v string", bad="skip")
     assert good.count() == 3
     assert {r["id"]: r["v"] for r in readers.last_by_key(good, "id").collect()} == {1: "a b", 2: "z"}
-    with pytest.raises(Exception, match="not a JSON object"):
-        readers.jsonl(spark, str(p), "id int, v string").collect()
+    with pytest.raises(ValueError, match="a.jsonl:3: no object"):
+        readers.jsonl(spark, str(p), "id int, v string")
+    assert [(r["line_no"], r["problem"]) for r in readers.invalid_lines(spark, str(p)).orderBy("line_no").collect()] == [(3, "no object"), (5, "invalid JSON")]
     assert readers.jsonl(spark, str(tmp_path / "none.jsonl"), "id int", missing_ok=True).count() == 0
 
 
@@ -142,3 +143,99 @@ def test_formats_and_folders(spark, tmp_path):
         (tmp_path / "q" / c / "rows.jsonl").write_text('{"id": 1, "query": "q"}\n{"id": 2}\n')
     rows = readers.by_folder(spark, str(tmp_path / "q" / "*" / "*.jsonl"), "id int, query string").filter("query is not null").collect()
     assert {r["condition"] for r in rows} == {"base", "plus"} and len(rows) == 2
+
+
+def test_lines_of_a_file_in_pieces(spark, tmp_path):
+    p = tmp_path / "big.txt"
+    p.write_text("".join(f"line {i}\n" for i in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4096)
+    try:
+        got = {r["line_no"]: r["line"] for r in readers.numbered_lines(spark, str(p)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {i + 1: f"line {i}" for i in range(5000)}
+
+
+def test_rows_and_groups(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    sinks.put_row(spark, path, {"b": 1, "a": "ü"})
+    sinks.put_row(spark, path, {"b": 2})
+    assert {r[0] for r in spark.read.text(path).collect()} == {'{"a": "ü", "b": 1}', '{"b": 2}'}
+    sinks.put_row(spark, path, {"b": 3}, append=False)
+    assert [r[0] for r in spark.read.text(path).collect()] == ['{"b": 3}']
+    groups = str(tmp_path / "groups")
+    df = lambda *rows: spark.createDataFrame(rows, "g string, v int")
+    sinks.write_groups(df(("a", 1), ("b", 1)), groups, ["g"], first=True)
+    sinks.write_groups(df(("a", 2)), groups, ["g"], first=True)
+    sinks.write_groups(df(("a", 3)), groups, ["g"], first=False)
+    assert {(r["g"], r["v"]) for r in spark.read.json(groups).collect()} == {("a", 2), ("a", 3), ("b", 1)}
+
+
+def test_bundle_and_transfer(spark, tmp_path):
+    import zipfile
+
+    files = spark.createDataFrame([("b.pdf", b"22"), ("a.pdf", None)], "name string, content binary")
+    assert sinks.write_bundle(files, spark.createDataFrame([("q1", "why")], "query_id string, query string"), str(tmp_path / "x" / "b.zip")) == 2
+    with zipfile.ZipFile(tmp_path / "x" / "b.zip") as z:
+        assert z.namelist() == ["pdfs/a.pdf", "pdfs/b.pdf", "queries.json"] and json.loads(z.read("queries.json")) == [{"query_id": "q1", "query": "why"}]
+    (tmp_path / "one").write_text("1")
+    plan = spark.createDataFrame([(str(tmp_path / "one"), str(tmp_path / "t" / "one"), "planned"), (str(tmp_path / "none"), str(tmp_path / "t" / "none"), "planned"), ("", "e", "existing")], "source_path string, target_path string, action string")
+    assert sorted(r["outcome"] for r in sinks.transfer(plan).collect()) == ["existing", "missing", "written"] and (tmp_path / "t" / "one").read_text() == "1"
+    gone = spark.createDataFrame([(str(tmp_path / "one"), "delete"), (str(tmp_path / "two"), "delete"), (str(tmp_path / "t" / "one"), "keep")], "path string, action string")
+    assert sorted(r["outcome"] for r in sinks.delete_files(gone).collect()) == ["deleted", "gone", "kept"] and not (tmp_path / "one").exists()
+
+
+def test_formats_and_ids(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "papers.jsonl").write_text('{"paper_id": "p", "figures": ["f1", "f2"]}\n{"paper_id": "q", "figures": null}\n')
+    rows = readers.first_format(spark, str(tmp_path / "a"))
+    assert {r["id"]: r["record"]["paper_id"] for r in readers.by_any_id(rows, [F.col("paper_id"), F.col("figures")]).collect()} == {"p": "p", "f1": "p", "f2": "p", "q": "q"}
+    (tmp_path / "b" / "ACL" / "p1").mkdir(parents=True)
+    (tmp_path / "b" / "ACL" / "p1" / "markdown.md").write_text("# T")
+    assert readers.first_format(spark, str(tmp_path / "b")).count() == 1
+    with pytest.raises(FileNotFoundError):
+        readers.first_format(spark, str(tmp_path / "none"))
+
+
+def test_harvest(spark):
+    def load():
+        calls = {}
+
+        def fetch(start, end, token):
+            calls[start, token] = calls.get((start, token), 0) + 1
+            if start == "2024-01-02":
+                raise readers.NotAcceptable
+            if start == "2024-01-03" and calls[start, token] == 1:
+                raise TimeoutError("slow")
+            if start == "2024-01-04":
+                raise TimeoutError("down")
+            page = int(token or 0)
+            return [(f"{start}/{page}/{k}", "{}") for k in range(2)], str(page + 1) if page < 2 else None
+
+        return fetch
+
+    windows = spark.createDataFrame([(i, f"2024-01-0{i}", f"2024-01-0{i}") for i in range(1, 5)], "window_no int, window_start string, window_end string")
+    rows = readers.harvest(windows, load, retries=1, wait=lambda s: None).collect()
+    assert sum(r["status"] == "record" for r in rows) == 12 and {r["status"] for r in rows} == {"record", "skipped", "failed: TimeoutError: down"}
+    assert [r["window_no"] for r in readers.harvest(windows, load, retries=1, limit=5, wait=lambda s: None).collect()] == [1] * 5
+
+
+def test_settings(tmp_path):
+    from foliomill.plans import config
+
+    (tmp_path / "stage").mkdir()
+    (tmp_path / "stage" / "x.json").write_text('{"n": 1, "m": 2}')
+    (tmp_path / "main.json").write_text('{"defaults": [{"stage": "x"}, "_self_"], "stage": {"n": 5}, "k": 1}')
+    assert config.load(tmp_path / "main.json", ["k=7"]) == {"stage": {"n": 5, "m": 2}, "k": 7}
+    assert config.selected({"b": True}, ["a", "b", "c"]) == ["b"] and config.selected({}, ["a", "b"]) == ["a", "b"] and config.selected({}, ["a", "b", "c"], generated=True) == ["b", "c"]
+    pytest.importorskip("yaml")
+    (tmp_path / "y.yaml").write_text("a:\n  b: 1\n")
+    assert config.load(tmp_path / "y.yaml") == {"a": {"b": 1}}
+
+
+def test_bar(spark):
+    from foliomill.functions import text
+
+    df = spark.createDataFrame([(0, 10), (1, 1000), (5, 10), (10, 10)], "n int, most int")
+    assert [r[0] for r in df.select(text.bar(F.col("n"), F.col("most"), 10)).collect()] == ["", "#", "#####", "##########"]
