@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from foliomill.plans import corpus_queries
@@ -40,6 +42,13 @@ def csv_orders(spark, sf):
     return readers.first_format(spark, path)
 
 
+def _in_root(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The lines of a file between the tags of its root."""
+    yield pd.DataFrame({"value": ["<PubmedArticleSet>"]})
+    yield from batches
+    yield pd.DataFrame({"value": ["</PubmedArticleSet>"]})
+
+
 def xml_articles(spark, sf):
     """All papers as XML articles and back."""
     path = _folder(spark, "xml")
@@ -51,7 +60,7 @@ def xml_articles(spark, sf):
     p = corpus_queries.papers(spark, sf, "title", "year")
     year = F.concat(F.lit("<Journal><Title>J</Title><JournalIssue><PubDate>"), element("Year", F.col("year")), F.lit("</PubDate></JournalIssue></Journal>"))
     article = F.concat(F.lit("<PubmedArticle><MedlineCitation>"), F.concat(F.lit('<PMID Version="1">'), "document_id", F.lit("</PMID>")), F.lit("<Article>"), element("ArticleTitle", F.col("title")), year, F.lit("</Article></MedlineCitation></PubmedArticle>"))
-    p.select(article.alias("value")).write.text(path)
+    p.select(article.alias("value")).mapInPandas(_in_root, "value string").write.text(path)
     return readers.pubmed(spark, path).select(F.col("pmid").alias("document_id"), "title", "year")
 
 
