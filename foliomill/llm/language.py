@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 #: Function words by language.
@@ -18,12 +19,12 @@ LANGUAGES = tuple(FUNCTION_WORDS)
 _WEIGHTS = {w: tuple((w in v) / sum(w in other for other in FUNCTION_WORDS.values()) for v in FUNCTION_WORDS.values()) for ws in FUNCTION_WORDS.values() for w in ws}
 #: Letter groups by language.
 LETTERS = {
-    "en": (" th", "ing ", "wh", "ould ", "'t ", "ly ", "tion of ", " sh", "ee"),
-    "fr": ("è", "ê", "ç", "à ", "œ", "û", " d'", " l'", "eau", "tion d", "ette ", " qu'", "eurs ", "ées ", "ée ", " et ", " le ", " les ", " des ", " une ", " dans "),
-    "de": ("ä", "ö", "ü", "ß", "sch", "ung", "keit", "lich", " ver", " ein", "cht ", " und ", " der ", " die "),
-    "es": ("ñ", "¿", "ó", "í", "ción", "idad ", "mente ", " el ", " los ", " las ", " del ", " una ", "ado ", "ada ", "aron ", "eron ", " y "),
-    "it": ("zione ", "ità ", " gli ", " della ", " che ", "zz", "cch", "ggi", " è ", "tto ", "lla "),
-    "pt": ("ção", "ções", "ã", "õ", "lh", "nh", " não ", " dos ", " das ", "dade ", " uma "),
+    "en": (" th", "ing ", " wh", "ould ", "ly ", "tion of ", " and "),
+    "fr": ("è", "ê", "ç", " d'", " l'", "tion d", " qu'", "ées ", " et ", " les ", " des "),
+    "de": ("ä", "ö", "ü", "ß", "sch", "ung", "keit", " ein", "cht ", " und ", " der "),
+    "es": ("ñ", "ó", "í", "ción", "idad ", " el ", " los ", " las ", " del ", " una ", "aron ", " y "),
+    "it": ("zione ", "ità ", " gli ", " della ", " che ", "tto ", "lla "),
+    "pt": ("ção", "ções", "ã", "õ", " não ", " dos ", "dade "),
 }
 _WORD = re.compile(r"[^\W\d_]+")
 #: Names of the languages as prompts spell them.
@@ -42,10 +43,9 @@ _WRAP = re.compile(r"^(?:SYSTEM|USER|SOURCE:|PAPER:|TEXT:|ANSWER:|CONTEXT:|### \
 _NAMED = tuple(x for v in NAMES.values() for x in v.split("|"))
 
 
-def _best(scores: list[float]) -> tuple[str | None, float]:
-    top = max(scores)
-    k = scores.index(top)
-    return (LANGUAGES[k] if top > 0 else None), top - max(x for i, x in enumerate(scores) if i != k)
+def _best(scores) -> tuple[str | None, float]:
+    second, top = sorted(scores)[-2:]
+    return (LANGUAGES[scores.index(top)] if top > 0 else None), top - second
 
 
 def weights(text: str) -> list[tuple[float, ...] | None]:
@@ -53,25 +53,39 @@ def weights(text: str) -> list[tuple[float, ...] | None]:
     return [_WEIGHTS.get(w) for w in _WORD.findall(text.lower())]
 
 
-def best_of(words: list[tuple[float, ...] | None]) -> tuple[str | None, float]:
-    """Best language of weighted words and its lead over the next, in shares of the words."""
+def sums(words: list[tuple[float, ...] | None]) -> tuple[float, ...] | None:
+    """What all words together say for each language; None if none of them is of any."""
     known = [x for x in words if x]
-    return _best([sum(x) / len(words) for x in zip(*known)]) if known else (None, 0.0)
+    return tuple(map(sum, zip(*known))) if known else None
+
+
+def best_of(said: tuple[float, ...] | None, n: int) -> tuple[str | None, float]:
+    """Best language by the sums of ``n`` words and its lead over the next, in shares of the words."""
+    if said is None:
+        return None, 0.0
+    lang, lead = _best(said)
+    return lang, lead / n
 
 
 def by_words(text: str) -> tuple[str | None, float, int]:
     """Best language by function words, its lead over the next (in shares of words), and the number of words."""
     words = weights(text)
-    return *best_of(words), len(words)
+    return *best_of(sums(words), len(words)), len(words)
+
+
+#: The groups without accents: of a text without any, no others need be looked for.
+_PLAIN = tuple(tuple(x for x in v if x.isascii()) for v in LETTERS.values())
+_ALL = tuple(LETTERS.values())
 
 
 def by_letters(text: str) -> tuple[str | None, float]:
     """Best language by letter groups and its lead, in groups a word."""
     low = f" {text.lower()} "
     n = max(1, len(low) / 6)
-    return _best([sum(map(low.count, v)) / n for v in LETTERS.values()])
+    return _best([sum(map(low.count, v)) / n for v in (_PLAIN if low.isascii() else _ALL)])
 
 
+@functools.lru_cache(maxsize=4096)
 def expected(prompt: str) -> str | None:
     """The language a prompt asks for, else its own."""
     low = prompt.lower()

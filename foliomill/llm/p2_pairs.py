@@ -9,6 +9,7 @@ names the severest of them.
 
 from __future__ import annotations
 
+import functools
 import json
 import random
 import re
@@ -48,14 +49,13 @@ _DENIAL = re.compile(
     r"|no puedo|no me es posible|me resulta imposible|debo negarme|me niego|no tengo acceso|no estoy autorizad|no se me permite|no es posible",
     re.I,
 )
-#: What refusals offer or plead.
-_OFFER = re.compile(
-    r"qualified expert|something else i can|help (?:you )?with (?:something|anything) else|upload the document|content policy|my guidelines|beyond what i am permitted|attached figure|no image was provided|request declined"
-    r"|anders helfen|wenden sie sich|fachperson|keinen zugriff auf das bild|auskunft geben|anfrage nicht"
-    r"|vous aider autrement|consulter un spécialiste|image jointe|à cette demande|refuser de commenter"
-    r"|ayudarle con otra|consulte a un|imagen adjunta|esta solicitud|negarme a comentar",
-    re.I,
-)
+#: What refusals offer or plead, in lower case.
+OFFERS = (
+    "qualified expert", "something else i can", "help with something else", "help with anything else", "help you with something else", "help you with anything else", "upload the document", "content policy", "my guidelines", "beyond what i am permitted", "attached figure", "no image was provided", "request declined",
+    "anders helfen", "wenden sie sich", "fachperson", "keinen zugriff auf das bild", "auskunft geben", "anfrage nicht",
+    "vous aider autrement", "consulter un spécialiste", "image jointe", "à cette demande", "refuser de commenter",
+    "ayudarle con otra", "consulte a un", "imagen adjunta", "esta solicitud", "negarme a comentar",
+)
 #: Turns after which an answer follows all the same.
 _YET = re.compile(r"\b(?:but (?:it|the|they|here|there)\b|; there (?:was|were|is)|however,? (?:it|the)|nevertheless|aber (?:es|die|der|das) (?!mir)|mais (?:il|elle|la|le) |pero (?:el|la|era|trataba))", re.I)
 
@@ -78,7 +78,7 @@ def leaves(value) -> Iterator[str]:
 
 def content(text: str) -> str:
     """The answer's own words: of JSON the string values but names of categories, else the text without fences."""
-    s = _FENCE.sub("", text).strip()
+    s = (_FENCE.sub("", text) if "```" in text else text).strip()
     if s[:1] in ("[", "{"):
         try:
             return "\n".join(x for x in leaves(json.loads(s)) if not re.fullmatch(r"[a-z]+(?:_[a-z]+)+|true|false|True|False", x))
@@ -91,18 +91,32 @@ def vote(yes: bool, no: bool) -> int:
     return 1 if yes else -1 if no else 0
 
 
+#: Words of which nulls are made.
+NULL_WORDS = frozenset(("null", "none", "nil", "undefined", "n", "a", "na", "nan"))
+
+
+def says(text: str) -> bool:
+    """True if a letter or digit is left without nulls."""
+    if any(m[0].lower() not in NULL_WORDS and m[0].strip("_") for m in _WORD.finditer(text)):
+        return True
+    return bool(_LETTERS.search(_NULLS.sub("", text)))
+
+
 def empty_votes(text: str | None, inner: str) -> tuple[int, ...]:
     """By letters at all, by what is left without nulls, by what JSON or fences hold, by length."""
     s = text or ""
-    bare = _FENCE.sub("", s)
-    has, left = bool(_LETTERS.search(bare)), bool(_LETTERS.search(_NULLS.sub("", bare)))
-    held = bool(_LETTERS.search(_NULLS.sub("", inner)))
+    bare = _FENCE.sub("", s) if "```" in s else s
+    has, left = bool(_LETTERS.search(bare)), says(bare)
+    held = says(inner)
     n = len(s.strip())
     return vote(not has, has), vote(not left, left), vote(not held, held), vote(n <= 1, n > 25)
 
 
-#: Words without which nothing is denied.
-_DENYING = re.compile(r"\b(?:can't|cant|cannot|can not|unable|able|won't|will not|decline|refuse|rather not|not allowed|not permitted|ability|access|not possible|beyond|keep|was provided|give no|declined|denied|refused|be given|something i can|against my|nicht|kein\w*|ablehnen|peux|puis|n'ai|suis|dois|impossible|mesure|possible|accès|puedo|imposible|negarme|niego|acceso|autorizad\w|permite|posible)\b", re.I)
+#: Pieces of words without which nothing is denied, in lower case.
+DENYING = (
+    "can't", "cant ", "cannot", "can not", "unable to", "able to", "won't", "will not", "decline", "refuse", "rather not", "not allowed", "not permitted", "the ability", "have access", "no access", "not possible", "beyond what i am", "keep me from", "was provided", "give no", "denied", "be given", "something i can", "against my",
+    "nicht", "kein", "ablehnen", "ne peux", "ne puis", "n'ai pas", "ne suis", "refuse", "impossible", "pas en mesure", "pas possible", "pas accès", "no puedo", "imposible", "debo negarme", "me niego", "no tengo acceso", "no estoy autorizad", "no se me permite", "es posible",
+)
 #: Who denies.
 _SPEAKER = re.compile(r"\b(?:i|me|my|ich|mir|mich|je|mes|yo|mis|puedo|me|debo)\b|\bm'|\bj'", re.I)
 
@@ -115,17 +129,19 @@ def refusal_votes(inner: str) -> tuple[int, ...]:
     n = len(s.split())
     sentences = [x for x in _SENTENCES.split(s) if x]
     first = sentences[0] if sentences else ""
-    denies = bool(_DENYING.search(first) and _DENIAL.search(first))
-    yet = _YET.search(first)
+    low = s.lower()
+    may = any(x in low for x in DENYING)
+    denies = may and bool(_DENIAL.search(first))
+    yet = _YET.search(first) if denies else None
     # Told of others or quoted, or followed by an answer all the same, a denial is none.
     answered = bool(yet) and not _IMPOSSIBLE.search(first[yet.end() :]) and not _DENIAL.search(first[yet.start() :])
     told = bool(_QUOTED.search(first)) or bool(_OTHERS.match(s))
-    later = any(_SPEAKER.search(x) and _DENYING.search(x) and _DENIAL.search(x) for x in sentences[1:])
+    later = may and any(_SPEAKER.search(x) and _DENIAL.search(x) for x in sentences[1:] if any(y in x.lower() for y in DENYING))
     return (
         vote(bool(_OPENING.match(s)), True),
         vote(denies and not answered and not told, True),
         vote(later, False),
-        vote(bool(_OFFER.search(s)), n > 35),
+        vote(any(x in low for x in OFFERS), n > 35),
         vote(0 < n <= 35 and len(sentences) <= 3, n > 45 or len(sentences) > 4 or n == 0),
         vote(False, answered or told),
     )
@@ -138,6 +154,13 @@ _ECHO = re.compile(r"\W*(?:q|question|user|prompt|task|answer|frage|pregunta|sys
 _ECHO_END = re.compile(r"\b(?:answer|antwort|réponse|respuesta)\s*:?\s*$", re.I)
 
 
+@functools.lru_cache(maxsize=4096)
+def prompt_words(prompt: str) -> tuple[frozenset[str], frozenset[tuple[str, str]], str]:
+    """The words of a prompt, its pairs of words, and its words as one text."""
+    p = _WORD.findall(prompt.lower())
+    return frozenset(p), frozenset(zip(p, p[1:])), " ".join(p)
+
+
 def copied_votes(prompt: str, inner: str) -> tuple[int, ...]:
     """By the share of its words that the prompt has, by its pairs of words, by being a piece of the prompt, and by its end, which an answer that goes on
     after the question has of its own.  An answer of fewer than four words is told by none of these."""
@@ -149,11 +172,9 @@ def copied_votes(prompt: str, inner: str) -> tuple[int, ...]:
     a = _WORD.findall(low)
     if len(a) < 4:
         return 0, 0, -1, 0
-    p = _WORD.findall(prompt.lower())
-    have, pairs = frozenset(p), set(zip(p, p[1:]))
+    have, pairs, sp = prompt_words(prompt)
     share = sum(map(have.__contains__, a)) / len(a)
     run = sum(map(pairs.__contains__, zip(a, a[1:]))) / (len(a) - 1)
-    sp = " ".join(p)
     middle = len(a) // 2
     inside = " ".join(a) in sp or (" ".join(a[: (len(a) + 1) // 2]) in sp and " ".join(a[middle:]) in sp)
     end = sum(map(pairs.__contains__, zip(a[-4:], a[-3:])))
@@ -165,11 +186,13 @@ def language_votes(want: str | None, inner: str) -> tuple[int, ...]:
     if want not in language.LANGUAGES:
         return 0, 0, 0
     words = language.weights(inner)
-    lang, lead = language.best_of(words)
+    n, half = len(words), len(words) // 2
+    left, right = language.sums(words[:half]), language.sums(words[half:])
+    both = tuple(map(sum, zip(left, right))) if left and right else left or right
+    lang, lead = language.best_of(both, n)
     letters, ahead = language.by_letters(inner)
-    weak = len(words) < 5
-    half = len(words) // 2
-    sides = [] if len(words) < 16 else [x for x, e in (language.best_of(words[:half]), language.best_of(words[half:])) if e > 0.03]
+    weak = n < 5
+    sides = [] if n < 16 else [x for x, e in (language.best_of(left, half), language.best_of(right, n - half)) if e > 0.03]
     return (
         vote(not weak and lang is not None and lang != want and lead > 0.04, lang == want and lead > 0.0),
         vote(not weak and letters is not None and letters == lang != want and ahead > 0.05, letters == want),
@@ -258,13 +281,37 @@ def votes(pairs: DataFrame, model: Broadcast, usual: float | None) -> DataFrame:
 LABELLED = 1500
 #: Answers that are none, for the labelled sample.
 EMPTY_FORMS = ("", "  \n", "[]", "{}", "null", "```json\n[]\n```", '{"cues": []}', "-", "...", "```\n```", '[""]', "N/A", '{"textual": null}', "[ { } ]")
-#: Refusals in other words than the functions know, for the labelled sample.
-REFUSALS = (
-    "I'm sorry, but I am unable to describe this paper.", "Sorry, I can't answer that.", "I cannot help with this request. Please ask something else.", "As a language model, I do not have access to the document.", "Unfortunately I won't be able to provide a summary of this text.", "I must decline to answer this question.", "I am afraid I cannot give an answer to this.", "My instructions do not permit me to comment on this figure; I cannot help.",
-    "Leider kann ich diese Frage nicht beantworten.", "Es tut mir leid, dazu kann ich nichts sagen, ich darf es nicht.", "Als Sprachmodell habe ich keinen Zugriff auf die Abbildung.", "Ich kann dieser Bitte nicht nachkommen.",
-    "Désolé, je ne peux pas répondre à cette question.", "Je suis désolé, mais il m'est impossible de résumer ce texte.", "Malheureusement, je ne peux pas décrire cette figure.", "Je ne suis pas en mesure de répondre.",
-    "Lo siento, no puedo responder a esta pregunta.", "Lamentablemente no puedo ayudarle con este texto.", "Como modelo de lenguaje, no tengo acceso a la figura.", "Me resulta imposible describir este artículo.",
-)
+#: Refusals by language, for the labelled sample.
+REFUSALS = {
+    "en": (
+        "I'm sorry, but I am unable to describe this paper.",
+        "Sorry, I can't answer that.",
+        "I cannot help with this request. Please ask something else.",
+        "As a language model, I do not have access to the document.",
+        "Unfortunately I won't be able to provide a summary of this text.",
+        "I must decline to answer this question.",
+        "I am afraid I cannot give an answer to this.",
+        "My instructions do not permit me to comment on this figure; I cannot help.",
+    ),
+    "de": (
+        "Leider kann ich diese Frage nicht beantworten.",
+        "Es tut mir leid, dazu kann ich nichts sagen, ich darf es nicht.",
+        "Als Sprachmodell habe ich keinen Zugriff auf die Abbildung.",
+        "Ich kann dieser Bitte nicht nachkommen.",
+    ),
+    "fr": (
+        "Désolé, je ne peux pas répondre à cette question.",
+        "Je suis désolé, mais il m'est impossible de résumer ce texte.",
+        "Malheureusement, je ne peux pas décrire cette figure.",
+        "Je ne suis pas en mesure de répondre.",
+    ),
+    "es": (
+        "Lo siento, no puedo responder a esta pregunta.",
+        "Lamentablemente no puedo ayudarle con este texto.",
+        "Como modelo de lenguaje, no tengo acceso a la figura.",
+        "Me resulta imposible describir este artículo.",
+    ),
+}
 
 
 def changed(text: str, rng: random.Random) -> str:
@@ -287,7 +334,7 @@ def labelled(pairs: list[tuple[str, str]]) -> list[tuple[int, str, str, str]]:
         if defect == "empty":
             bad = rng.choice(EMPTY_FORMS)
         elif defect == "refusal":
-            bad = rng.choice(REFUSALS)
+            bad = rng.choice(REFUSALS.get(wanted[k], REFUSALS["en"]))
         elif defect == "copied_prompt":
             bad = rng.choice([prompt, prompt.split("\n")[0], prompt.upper(), f"Question: {prompt}", changed(prompt.split("\n")[0], rng)])
         elif defect == "other_language":
