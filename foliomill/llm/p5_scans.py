@@ -1,7 +1,7 @@
 """Problem 5: noise in text from scanned pages.
 
 Word counts and skip-gram vectors are learned from all samples: counts by partial aggregation, vectors by skip-gram with negative
-sampling on each split of the samples from one start, averaged by word over the splits, round by round.  The splits go by a hash of the sample, so
+sampling on each split of the samples from one start, averaged by word over the splits.  The splits go by a hash of the sample, so
 the vectors do not depend on how the table is stored.  Only words of at least a millionth (vectors: a fifty-thousandth) of all tokens are
 kept, which bounds both tables whatever the corpus.  A rare word has the vector that its context gives it; it is linked to neighbours within plausible
 glyph edits and corrected in context; then furniture is removed and paragraphs are reflowed (``scan_lines``).
@@ -23,7 +23,9 @@ from foliomill.plans.runtime import cut, table
 
 #: Least share of all tokens: of a word of the vocabulary (so at most 10^6 words), and of one with a vector (at most 50,000).
 WORD_SHARE, VECTOR_SHARE = 1e-6, 2e-5
-DIMENSIONS, WIDTH, NEGATIVES, ROUNDS, BATCH, RATE = 24, 3, 4, 2, 4096, 0.06
+DIMENSIONS, WIDTH, NEGATIVES, ROUNDS, EPOCHS, BATCH, RATE = 24, 3, 4, 1, 2, 4096, 0.06
+#: Tokens whose pairs are counted at once.
+PAIR_TOKENS = 1_000_000
 #: Splits of the samples: so many at least, and one more for so many samples.
 SPLITS, SPLIT_SAMPLES = 24, 4096
 #: A line is a known head if its form stands alone in at least this share of the samples.
@@ -67,17 +69,23 @@ def possible_head(line: str) -> str | None:
 def count_pairs(ids: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (centre, context) pairs of word ids within WIDTH, as centre * size + context, and their counts; negative ids pair with nothing."""
     codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-    for start in range(0, len(ids), 500):
+    gap = np.full(WIDTH, -1, np.int64)
+    start = 0
+    while start < len(ids):
+        end, tokens = start, 0
+        while end < len(ids) and (end == start or tokens + len(ids[end]) <= PAIR_TOKENS):
+            tokens += len(ids[end])
+            end += 1
+        x = np.concatenate([y for text in ids[start:end] for y in (text, gap)])  # texts stand too far apart to pair
         near = []
-        for x in ids[start : start + 500]:
-            for k in range(1, WIDTH + 1):
-                a, b = x[:-k], x[k:]
-                ok = (a >= 0) & (b >= 0)
-                near += [a[ok] * size + b[ok], b[ok] * size + a[ok]]
-        if near:
-            new, n = np.unique(np.concatenate(near), return_counts=True)
-            codes, place = np.unique(np.concatenate([codes, new]), return_inverse=True)
-            counts = np.bincount(place, weights=np.concatenate([counts, n]), minlength=len(codes)).astype(np.int64)
+        for k in range(1, WIDTH + 1):
+            a, b = x[:-k], x[k:]
+            ok = (a >= 0) & (b >= 0)
+            near += [a[ok] * size + b[ok], b[ok] * size + a[ok]]
+        new, n = np.unique(np.concatenate(near), return_counts=True)
+        codes, place = np.unique(np.concatenate([codes, new]), return_inverse=True)
+        counts = np.bincount(place, weights=np.concatenate([counts, n]), minlength=len(codes)).astype(np.int64)
+        start = end
     return codes, counts
 
 
@@ -100,7 +108,7 @@ def train_partition(ids: list[np.ndarray], inner: np.ndarray, outer: np.ndarray,
     seen = np.bincount(a, weights=counts, minlength=len(inner)).astype(np.int64)
     step = np.minimum(np.sqrt(counts), 8.0).astype(np.float32)
     noise = np.cumsum(weights**0.75)
-    order = rng.permutation(len(codes))
+    order = np.concatenate([rng.permutation(len(codes)) for _ in range(EPOCHS)])
     for at in range(0, len(order), BATCH):
         k = order[at : at + BATCH]
         bad = np.searchsorted(noise, rng.random((len(k), NEGATIVES)) * noise[-1]).clip(0, len(inner) - 1)
