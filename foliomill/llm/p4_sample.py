@@ -104,9 +104,9 @@ def _celled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells that cannot be filled.  A null source, or one without cells, belongs to no cell but counts for N; without documents N is 0
+    """Cells that cannot be filled: the repaired sample falls short of what they require, and they have no more to give.  A null source, or one without cells, belongs to no cell but counts for N; without documents N is 0
     and only floors count; equal cells of one source and year go to the least cell_id; repeated rows count once."""
-    return plan(*_celled(spark, sf_dir)).filter("available < required").select("cell_id")
+    return plan(*_celled(spark, sf_dir)).filter("drawn < required and available < required").select("cell_id")
 
 
 def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
