@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliomill.functions import arrow, ids, text
 from foliomill.operators import relations, selection, validate
-from foliomill.plans.runtime import table
+from foliomill.plans.runtime import cut, small, table
 
 PDF_COLUMNS = ["document_id", "source", "original_filename", "original_relative_path", "shard", "member_path", "size_bytes", "sha256", "metadata", "discovered_at"]
 #: Subject terms of the two broad domains and of the cascade.
@@ -252,9 +252,15 @@ def bytes_by_source(spark, sf):
     return papers(spark, sf, "source", "sha256", "size_bytes").groupBy("source").agg(F.count("*").alias("files"), F.countDistinct("sha256").alias("distinct_files"), F.sum("size_bytes").alias("bytes"))
 
 
+#: So many abstracts are broadcast, some 50 MB; more are shuffled.
+ABSTRACTS = 50_000
+
+
 def _quality(spark, sf):
     d = table(spark, sf, "documents", ["doc_id", "paper_id", "text"]).filter("text is not null")
     p = papers(spark, sf, "title", "abstract").select(F.col("document_id").alias("paper_id"), "title", "abstract")
+    # Only abstracts of papers that have a document meet texts; where they are few, texts are not shuffled.
+    p = small(cut(p.join(d.select("paper_id").distinct(), "paper_id", "left_semi")), ABSTRACTS)
     x = d.join(p, "paper_id", "left").withColumn("a", text.word_set("text")).withColumn("b", text.word_set("abstract"))
     inter = F.size(F.array_intersect("a", "b")).cast("double")
     return x.select(
@@ -285,10 +291,10 @@ quality AS (
 
 
 def abstract_similarity(spark, sf):
-    """Ratcliff-Obershelp similarity of each document's text with its paper's abstract (an Arrow UDF; no SQL form)."""
+    """Ratcliff-Obershelp similarity of each document's text with its paper's abstract, an empty one where it has none (an Arrow UDF; no SQL form)."""
     d = table(spark, sf, "documents", ["doc_id", "paper_id", "text"])
     p = papers(spark, sf, "abstract").select(F.col("document_id").alias("paper_id"), "abstract")
-    return d.join(p, "paper_id").select("doc_id", F.round(arrow.similarity_udf("text", "abstract"), 6).alias("similarity"))
+    return d.join(p, "paper_id", "left").select("doc_id", F.round(arrow.similarity_udf("text", "abstract"), 6).alias("similarity"))
 
 
 def plain_texts(spark, sf):
@@ -339,9 +345,9 @@ def split_other(spark, sf):
 
 
 def split_papers(spark, sf):
-    """Papers of the test split in the order of the list, with its missing ones counted as null."""
+    """The paper of each split entry, in the place it has in its list; null for one that is missing."""
     p = papers(spark, sf, "source", "original_relative_path").select(F.concat("source", F.lit("/"), F.lower("original_relative_path")).alias("path"), "document_id")
-    return _entries(spark, sf).filter("split = 'test'").join(p, "path", "left").select("entry_id", "entry_pos", "document_id")
+    return _entries(spark, sf).join(p, "path", "left").select("entry_id", "split", "entry_pos", "document_id")
 
 
 def paper_versions(spark, sf):
@@ -365,11 +371,10 @@ def id_repair(spark, sf):
 
 
 def reconcile_sizes(spark, sf):
-    """First against last discovery of every document: what a packaged inventory would report."""
-    rows = table(spark, sf, "pdf_entries", ["document_id", "size_bytes", "sha256", "discovered_at", "shard"])
-    first = relations.earliest(rows.filter("shard <> 'shard-00001.tar'"), ["document_id"], ["discovered_at", "sha256"], ["size_bytes", "sha256"])
-    last = relations.latest(rows.filter("shard <> 'shard-00002.tar'"), ["document_id"], ["discovered_at", "sha256"], ["size_bytes", "sha256"])
-    return relations.reconcile(first, last, "document_id", ["size_bytes", "sha256"]).groupBy("status").agg(F.count("*").alias("n"))
+    """The papers that requests name, with the source they give, against the papers discovered."""
+    asked = table(spark, sf, "generation_requests", ["metadata"]).select(F.col("metadata.paper_id").alias("document_id"), F.lower(F.trim("metadata.source_paper_dataset")).alias("source")).filter("document_id is not null")
+    asked = asked.groupBy("document_id").agg(F.min("source").alias("source"))
+    return relations.reconcile(asked, papers(spark, sf, "source"), "document_id", ["source"]).groupBy("status").agg(F.count("*").alias("n"))
 
 
 def package_violations(spark, sf):
@@ -446,9 +451,9 @@ WHEN source IN ('physics', 'engineering') AND contains(t, 'magnetic') THEN 'magn
     "split_duplicates": f"WITH {_ENTRIES} SELECT split, path, count(*) AS n FROM entries GROUP BY split, path HAVING count(*) > 1",
     "split_intersection": f"WITH {_ENTRIES} SELECT path FROM entries WHERE split = 'train' INTERSECT SELECT path FROM entries WHERE split = 'test'",
     "split_other": f"WITH {PAPERS}, {_ENTRIES} SELECT document_id, source FROM papers p WHERE NOT EXISTS (SELECT 1 FROM entries e WHERE e.path = p.source || '/' || lower(p.original_relative_path))",
-    "split_papers": f"WITH {PAPERS}, {_ENTRIES} SELECT e.entry_id, e.entry_pos, p.document_id FROM entries e LEFT JOIN papers p ON e.path = p.source || '/' || lower(p.original_relative_path) WHERE e.split = 'test'",
+    "split_papers": f"WITH {PAPERS}, {_ENTRIES} SELECT e.entry_id, e.split, e.entry_pos, p.document_id FROM entries e LEFT JOIN papers p ON e.path = p.source || '/' || lower(p.original_relative_path)",
     "paper_versions": f"WITH {PAPERS} SELECT document_id, TRY_CAST(nullif(regexp_extract(original_relative_path, '^([0-9]{{4}})/', 1), '') AS INT) AS folder_year, TRY_CAST(nullif(regexp_extract(original_filename, '([0-9]{{8}})(?:v([0-9]+))?[.]', 2), '') AS INT) AS version, TRY_CAST(nullif(regexp_extract(original_filename, '([0-9]{{8}})', 1), '') AS INT) AS number FROM papers",
     "export_sample": f"WITH {PAPERS} SELECT document_id, source, rn AS rank FROM (SELECT document_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256, document_id) AS rn FROM papers) WHERE rn <= 20",
     "id_repair": f"WITH {PAPERS}, s AS (SELECT document_id, source, lower(regexp_extract(original_filename, '([A-Za-z]+)', 1)) AS stem FROM papers), r AS (SELECT *, row_number() OVER (PARTITION BY source, stem ORDER BY document_id) AS rn, count(*) OVER (PARTITION BY source, stem) AS holders FROM s) SELECT document_id, stem || CASE WHEN rn > 1 THEN '-' || upper(to_hex(rn - 1)) ELSE '' END AS unique_id, holders FROM r",
-    "reconcile_sizes": "WITH f AS (SELECT document_id, size_bytes, sha256 FROM pdf_entries WHERE shard <> 'shard-00001.tar' QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY discovered_at, sha256) = 1), l AS (SELECT document_id, size_bytes, sha256 FROM pdf_entries WHERE shard <> 'shard-00002.tar' QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY discovered_at DESC, sha256 DESC) = 1) SELECT CASE WHEN l.document_id IS NULL THEN 'missing' WHEN f.document_id IS NULL THEN 'extra' WHEN f.size_bytes IS DISTINCT FROM l.size_bytes THEN 'size_bytes_mismatch' WHEN f.sha256 IS DISTINCT FROM l.sha256 THEN 'sha256_mismatch' ELSE 'ok' END AS status, count(*) AS n FROM f FULL JOIN l ON f.document_id = l.document_id GROUP BY ALL",
+    "reconcile_sizes": f"WITH {PAPERS}, q AS (SELECT metadata.paper_id AS document_id, min(lower(trim(metadata.source_paper_dataset))) AS source FROM generation_requests WHERE metadata.paper_id IS NOT NULL GROUP BY 1) SELECT CASE WHEN p.document_id IS NULL THEN 'missing' WHEN q.document_id IS NULL THEN 'extra' WHEN q.source IS DISTINCT FROM p.source THEN 'source_mismatch' ELSE 'ok' END AS status, count(*) AS n FROM q FULL JOIN papers p ON p.document_id = q.document_id GROUP BY ALL",
 }

@@ -377,7 +377,28 @@ class NotAcceptable(Exception):
     """The service refuses a window."""
 
 
-def by_folder(spark: SparkSession, glob: str, schema: str, depth: int = 2, name: str = "condition") -> DataFrame:
-    """JSON lines of many folders; the folder ``depth`` above each file names its condition; rows of broken lines are left out."""
+def by_folder(spark: SparkSession, glob: str, schema: str, depth: int = 2, name: str = "condition", required: str | None = None) -> DataFrame:
+    """JSON lines of many folders; the folder ``depth`` above each file names its condition; rows of broken lines, and those without the ``required``
+    field, are left out."""
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(glob)
-    return rows.withColumn(name, F.element_at(F.split(F.col("_metadata.file_path"), "/"), -depth))
+    rows = rows.withColumn(name, F.element_at(F.split(F.col("_metadata.file_path"), "/"), -depth))
+    return rows.filter(F.trim(required) != "") if required else rows
+
+
+def corpora(spark: SparkSession, folders: dict[str, str], pattern: str = "*.pdf") -> DataFrame:
+    """``inventory`` of several corpora with the name of each; folders that are not there or hold no such file are left out."""
+    found = [inventory(spark, path, pattern).withColumn("corpus", F.lit(name)) for name, path in folders.items() if _exists(spark, path)]
+    if not found:
+        raise FileNotFoundError(", ".join(folders.values()))
+    out = found[0]
+    for one in found[1:]:
+        out = out.unionByName(one)
+    return out
+
+
+def papers_root(spark: SparkSession, roots: list[str], layouts: tuple[str, ...] = ("*/markdown.md", "*/*/markdown.md", "preprocessed/*/markdown.md")) -> str:
+    """The first of several roots below which papers lie in one of the layouts."""
+    for root in roots:
+        if any(_exists(spark, f"{root}/{layout}") for layout in layouts):
+            return root
+    raise FileNotFoundError(", ".join(roots))

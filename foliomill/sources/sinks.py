@@ -7,13 +7,16 @@ import json
 import os
 import shutil
 import tarfile
+import time
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliomill.plans.runtime import cut
+
 
 def write_jsonl(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "overwrite") -> None:
     """JSON lines, null fields kept; partitioned by columns if given."""
@@ -142,6 +145,36 @@ def transfer(plan: DataFrame, move: bool = False) -> DataFrame:
     return plan.select("source_path", "target_path", "action").mapInPandas(run, "target_path string, outcome string")
 
 
+def upload(shards: DataFrame, load: Callable[[], Callable[[str], None]], parallel: int = 4, done: DataFrame | None = None, retries: int = 3, base: float = 0.5, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Hand shards (place, path) to a service, at most ``parallel`` at a time: (place, path, outcome) in the order of ``place``; outcome is uploaded or the error.
+
+    ``load`` makes a client in each worker; shards in ``done`` (path) are left out; a failing one is tried again with back-off."""
+    if done is not None:
+        shards = shards.join(done.select("path").distinct(), "path", "left_anti")
+    kinds = dict(shards.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        send = load()
+        for pdf in batches:
+            out = []
+            for path in pdf["path"]:
+                outcome = "uploaded"
+                for n in range(retries + 1):
+                    try:
+                        send(path)
+                        outcome = "uploaded"
+                        break
+                    except Exception as error:
+                        outcome = f"{type(error).__name__}: {error}"
+                        if n < retries:
+                            wait(min(300.0, base * 2**n))
+                out.append(outcome)
+            yield pdf[["place", "path"]].assign(outcome=out)
+
+    sent = cut(shards.select("place", "path").repartition(parallel, "place").mapInPandas(run, f"place {kinds['place']}, path string, outcome string"))
+    return sent.orderBy("place")
+
+
 def delete_files(decisions: DataFrame) -> DataFrame:
     """Delete the files (path, action) whose action is delete; (path, outcome): deleted, gone before, kept or failed."""
 
