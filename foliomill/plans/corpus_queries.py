@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliomill.functions import arrow, ids, text
-from foliomill.operators import relations, selection, validate
+from foliomill.operators import ranking, relations, selection, validate
 from foliomill.plans.runtime import cut, small, table
 
 PDF_COLUMNS = ["document_id", "source", "original_filename", "original_relative_path", "shard", "member_path", "size_bytes", "sha256", "metadata", "discovered_at"]
@@ -362,6 +362,21 @@ def export_sample(spark, sf):
     return selection.top_per_group(p, ["source"], [F.col("sha256"), F.col("document_id")], 20).select("document_id", "source", F.col("rank").cast("long").alias("rank"))
 
 
+def export_queries(spark, sf):
+    """The first twenty test entries of each source whose paper has requests, in the order of the list, with the number of these."""
+    p = papers(spark, sf, "source", "original_relative_path").select(F.concat("source", F.lit("/"), F.lower("original_relative_path")).alias("path"), "document_id", "source")
+    asked = table(spark, sf, "generation_requests", ["metadata"]).groupBy(F.col("metadata.paper_id").alias("document_id")).agg(F.count("*").alias("n_requests"))
+    rows = _entries(spark, sf).filter("split = 'test'").join(p, "path").join(asked, "document_id")  # the test list is what is exported
+    return selection.top_per_group(rows, ["source"], [F.col("entry_pos"), F.col("entry_id")], 20).select("source", "entry_id", "document_id", "n_requests", F.col("rank").cast("long").alias("rank"))
+
+
+def walk_order(spark, sf):
+    """Files in the order of a walk in which a folder sorts as its name with a slash: the order of whole paths by bytes."""
+    p = papers(spark, sf, "source", "original_relative_path").filter("source is not null and original_relative_path is not null")
+    p = p.select("document_id", F.concat("source", F.lit("/"), "original_relative_path").alias("path"))
+    return ranking.ranked(p, [], [F.col("path"), F.col("document_id")], "place").select("document_id", "place")
+
+
 def id_repair(spark, sf):
     """Ids made unique: the n-th holder of a file name gets a suffix."""
     p = papers(spark, sf, "source", "original_filename").select("document_id", "source", F.lower(F.regexp_extract("original_filename", "([A-Za-z]+)", 1)).alias("stem"))
@@ -398,7 +413,7 @@ def paper_strata(spark, sf):
 QUERIES = {f.__name__: f for f in (
     package_violations, quota_targets, paper_strata, latest_papers, text_normalize, safe_path_ids, document_keys, license_family_counts, candidate_rejections, rejection_funnel, quota_selection, quota_stop, source_cap, domain_cascade, term_score_domain, page_stats, page_histogram, prune_plan,
     prune_summary, stratified_split, sample_split, split_counts, hamilton_allocation, shard_plan, shard_report, exact_duplicates, bytes_by_source, parsed_quality_rows, parsed_quality_report, abstract_similarity, plain_texts, markdown_counts, top_words,
-    split_paths, split_duplicates, split_intersection, split_other, split_papers, paper_versions, export_sample, id_repair, reconcile_sizes,
+    split_paths, split_duplicates, split_intersection, split_other, split_papers, paper_versions, export_sample, export_queries, walk_order, id_repair, reconcile_sizes,
 )}
 
 _HASHED = "row_number() OVER (PARTITION BY source ORDER BY md5('{}' || '|' || document_id), document_id)"
@@ -455,5 +470,7 @@ WHEN source IN ('physics', 'engineering') AND contains(t, 'magnetic') THEN 'magn
     "paper_versions": f"WITH {PAPERS} SELECT document_id, TRY_CAST(nullif(regexp_extract(original_relative_path, '^([0-9]{{4}})/', 1), '') AS INT) AS folder_year, TRY_CAST(nullif(regexp_extract(original_filename, '([0-9]{{8}})(?:v([0-9]+))?[.]', 2), '') AS INT) AS version, TRY_CAST(nullif(regexp_extract(original_filename, '([0-9]{{8}})', 1), '') AS INT) AS number FROM papers",
     "export_sample": f"WITH {PAPERS} SELECT document_id, source, rn AS rank FROM (SELECT document_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256, document_id) AS rn FROM papers) WHERE rn <= 20",
     "id_repair": f"WITH {PAPERS}, s AS (SELECT document_id, source, lower(regexp_extract(original_filename, '([A-Za-z]+)', 1)) AS stem FROM papers), r AS (SELECT *, row_number() OVER (PARTITION BY source, stem ORDER BY document_id) AS rn, count(*) OVER (PARTITION BY source, stem) AS holders FROM s) SELECT document_id, stem || CASE WHEN rn > 1 THEN '-' || upper(to_hex(rn - 1)) ELSE '' END AS unique_id, holders FROM r",
+    "export_queries": f"WITH {PAPERS}, {_ENTRIES}, q AS (SELECT metadata.paper_id AS document_id, count(*) AS n_requests FROM generation_requests GROUP BY 1), x AS (SELECT p.source, e.entry_id, p.document_id, q.n_requests, row_number() OVER (PARTITION BY p.source ORDER BY e.entry_pos, e.entry_id) AS rank FROM entries e JOIN papers p ON e.path = p.source || '/' || lower(p.original_relative_path) JOIN q ON q.document_id = p.document_id WHERE e.split = 'test') SELECT * FROM x WHERE rank <= 20",
+    "walk_order": f"WITH {PAPERS} SELECT document_id, row_number() OVER (ORDER BY source || '/' || original_relative_path, document_id) AS place FROM papers WHERE source IS NOT NULL AND original_relative_path IS NOT NULL",
     "reconcile_sizes": f"WITH {PAPERS}, q AS (SELECT metadata.paper_id AS document_id, min(lower(trim(metadata.source_paper_dataset))) AS source FROM generation_requests WHERE metadata.paper_id IS NOT NULL GROUP BY 1) SELECT CASE WHEN p.document_id IS NULL THEN 'missing' WHEN q.document_id IS NULL THEN 'extra' WHEN q.source IS DISTINCT FROM p.source THEN 'source_mismatch' ELSE 'ok' END AS status, count(*) AS n FROM q FULL JOIN papers p ON p.document_id = q.document_id GROUP BY ALL",
 }
