@@ -19,15 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomill.llm import scan_lines
-from foliomill.plans.runtime import cut, table
+from foliomill.plans.runtime import at_least, cut, table
 
 #: Least share of all tokens: of a word of the vocabulary (so at most 10^6 words), and of one with a vector (at most 50,000).
 WORD_SHARE, VECTOR_SHARE = 1e-6, 2e-5
-DIMENSIONS, WIDTH, NEGATIVES, ROUNDS, EPOCHS, BATCH, RATE = 24, 3, 4, 1, 2, 4096, 0.06
+DIMENSIONS, WIDTH, NEGATIVES, ROUNDS, EPOCHS, BATCH, RATE = 24, 3, 2, 1, 2, 4096, 0.06
 #: Tokens whose pairs are counted at once.
 PAIR_TOKENS = 1_000_000
-#: Splits of the samples: so many at least, and one more for so many samples.
-SPLITS, SPLIT_SAMPLES = 24, 4096
+#: Samples of a split, on the average: enough to train its vectors on, whatever the size of the table.
+SPLIT_SAMPLES = 2048
 #: A line is a known head if its form stands alone in at least this share of the samples.
 HEAD_SHARE = 0.002
 
@@ -140,7 +140,7 @@ class Ids(dict):
 def by_split(samples: DataFrame) -> DataFrame:
     """(sample_id, markdown), each sample once (its least text), a partition each split: the splits depend on the samples only."""
     rows = samples.filter("sample_id is not null").select("sample_id", "markdown")
-    splits = max(SPLITS, -(-rows.count() // SPLIT_SAMPLES))
+    splits = max(1, -(-rows.count() // SPLIT_SAMPLES))
     return rows.repartition(splits, "sample_id").groupBy("sample_id").agg(F.min("markdown").alias("markdown"))
 
 
@@ -181,7 +181,7 @@ def skip_gram(samples: DataFrame, counts: dict[str, int], total: int) -> tuple[d
 
 def learn(samples: DataFrame) -> Broadcast:
     """The model of all samples, on every executor; its size is bounded by the least shares."""
-    counted = cut(word_counts(samples))
+    counted = cut(word_counts(at_least(samples)))
     scalars = {r["kind"]: r["n"] for r in counted.filter("kind in ('t', 's')").collect()}
     total, n = scalars.get("t", 0), scalars.get("s", 0)
     frequent = counted.filter((F.col("kind") == "w") & (F.col("n") >= max(3, WORD_SHARE * total))).toPandas()
@@ -204,7 +204,7 @@ def repaired(samples: DataFrame) -> DataFrame:
             done = [scan_lines.read(x, model.value) if x else ([], "") for x in pdf["markdown"]]
             yield pd.DataFrame({"sample_id": pdf["sample_id"], "text": [t for _, t in done], "noise": [[{"line_no": n, "noise": k} for n, k in found] for found, _ in done]})
 
-    return base.mapInPandas(run, "sample_id long, text string, noise array<struct<line_no:int,noise:string>>")
+    return at_least(base).mapInPandas(run, "sample_id long, text string, noise array<struct<line_no:int,noise:string>>")
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,6 @@ GLYPHS = {
 }
 #: Letters read for digits in page numbers.
 _DIGITS = str.maketrans("lIiOoSsBZzgq|!", "11100558229911")
-_HEAD_MARKS = str.maketrans({"@": "a", "†": "t", "|": "l", "!": "i", "ſ": "f", "$": "s", "€": "e"})
 _EDGE = ".,;:()[]{}\"“”‘’'«»<>?…*#/"
 _NUMBER_LINE = re.compile(r"[-–]?\d+(?:[.,]\d+)*\s?%?$")
 _PAGE = re.compile(r"(?:[\s\-–—_~*·•|=<>\[({./]*)(?:(?:page|pag|pág|página|seite|blatt|folio|fol|p|s|pp|n[°o])\b\.?\s*)?(?P<n>[\dlIOoSBZ|!]{1,5}|\d(?:\s\d){1,3}|[ivxlc]{1,9}|[IVXLC]{1,9})(?:\s*(?:/|of|von|de|sur|aus)\s*[\dlIO]{1,5})?(?:[\s\-–—_~*·•|=<>\])}]*)$", re.I)
@@ -38,7 +37,7 @@ _BLANKS = re.compile(r"\s+")
 _SECOND = re.compile(r"\d{1,3}\. ")
 _STOP = re.compile(r"[.!?:][\"'”’»)\]]*$")
 #: Look-alikes evened out in heads.
-_EVEN = str.maketrans("013589íìéèóú", "olesbgiieeou")
+_EVEN = str.maketrans("@†|!ſ$€013589íìéèóú", "atlifseolesbgiieeou")
 
 
 def core(token: str) -> str:
@@ -187,7 +186,7 @@ def head_core(s: str) -> tuple[str, bool]:
     m = _HEAD_NUMBER.match(s) if "  " in s or "|" in s or "·" in s or "•" in s or "—" in s or "–" in s else None
     text = (m["core"] if m else s).strip()
     side = bool(m and (m["left"] or m["right"]))
-    even = _NO_WORD.sub("", text.lower().translate(_HEAD_MARKS)).translate(_EVEN)
+    even = _NO_WORD.sub("", text.lower().translate(_EVEN))
     even = even.replace("rn", "m").replace("cl", "d").replace("ii", "u").replace("vv", "w").replace("c", "e").replace("b", "h")
     return _BLANKS.sub(" ", even).strip(), side
 
