@@ -30,7 +30,7 @@ _STRAY = re.compile(r"[←-⇿⌀-➿⬀-⯿️\U0001f000-\U0001faff~^|\\<>=+#@&
 _BULLET = re.compile(r"^\s*(?:[-*•–—‣◦·]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s+")
 _KEYWORDS = re.compile(r"^\s*[\w\- ]{2,30}\s?:\s")
 _ABBREV = re.compile(r"(?:^|[\s(\[])(?:al|e\.g|i\.e|cf|vs|fig|figs|eq|eqs|vol|pp|approx|resp|dr|prof|bzw|z\.b|d\.h|etc\. et|p\. ?ej|sp|ref|refs|tab|abb)\.$", re.I)
-_NUMBER_END = re.compile(r"(\S+)\s+\(?(\d+(?:[.,]\d+)*)([.!?]?)$")
+_WHOLE_NUMBER = re.compile(r"\(?\d+[.!?]?")
 _NUMBER = re.compile(r"(\d+(?:[.,]\d+)*)([.!?]?)")
 _CORE = re.compile(r"[^\w'’\-]+")
 #: First words of questions and instructions.
@@ -183,18 +183,17 @@ def score(text: str | None, closes: np.ndarray, total: np.ndarray) -> float:
         if not item.strip():
             return 0.0
         return min(LEARNED, terminality(closes, total, "item", core(item.split()[-1]), 0.0) / 0.12)
-    tail = bare[-400:]
     if bare[-1:] in ".!?。！？":
-        if "(" in tail and s[-1:] not in ")]":
-            sentence = _SENTENCE.split(tail)[-1]
+        if s[-1:] not in ")]" and bare.count("(") > bare.count(")"):
+            sentence = _SENTENCE.split(bare)[-1]
             if sentence.count("(") > sentence.count(")"):
                 return 0.0
         if _ABBREV.search(bare[-10:]):
             return 0.0
         if ellipsis and bare[-1] == "." and re.search(r"\.\.$", bare):
             return 0.0
-        if bare[-2:-1].isdigit() and (m := _NUMBER_END.search(bare[-48:])) and shape(m[2]) == "9":  # 44. may be the start of 44.1 %
-            return min(LEARNED, terminality(closes, total, "number", f"{m[1].lower()} 9", 0.6) / 0.1)
+        if bare[-2:-1].isdigit() and len(pair := bare.rsplit(None, 2)[-2:]) == 2 and _WHOLE_NUMBER.fullmatch(pair[1]):  # 44. may be the start of 44.1 %
+            return min(LEARNED, terminality(closes, total, "number", f"{pair[0].lower()} 9", 0.6) / 0.1)
         return 1.0
     if bare[-1:] == ":":
         return 1.0 if re.search(r"(?:^|\n)\s*[A-ZÀ-Ý]{3,20}\s?:$", bare) else 0.0
@@ -205,7 +204,7 @@ def score(text: str | None, closes: np.ndarray, total: np.ndarray) -> float:
         return 1.0
     if body.lower() in ("null", "none", "nil", "n/a", "nan"):
         return 1.0
-    if len(words) <= 2 and len(text) < 30:
+    if len(words) <= 2:
         return 0.75 * (total[slot("word", core(words[-1]))] > 0) + 0.2
     if bare[-1:].isdigit():
         return 0.0
