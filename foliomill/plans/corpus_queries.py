@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliomill.functions import arrow, ids, text
 from foliomill.operators import ranking, relations, selection, validate
-from foliomill.plans.runtime import cut, small, table
+from foliomill.plans.runtime import at_least, cut, small, table
 
 PDF_COLUMNS = ["document_id", "source", "original_filename", "original_relative_path", "shard", "member_path", "size_bytes", "sha256", "metadata", "discovered_at"]
 #: Subject terms of the two broad domains and of the cascade.
@@ -257,10 +257,12 @@ ABSTRACTS = 50_000
 
 
 def _quality(spark, sf):
-    d = table(spark, sf, "documents", ["doc_id", "paper_id", "text"]).filter("text is not null")
+    # A scan with fewer pieces than cores is spread before texts are taken apart.
+    d = at_least(table(spark, sf, "documents", ["doc_id", "paper_id", "text"]).filter("text is not null"))
     p = papers(spark, sf, "title", "abstract").select(F.col("document_id").alias("paper_id"), "title", "abstract")
     # Only abstracts of papers that have a document meet texts; where they are few, texts are not shuffled.
-    p = small(cut(p.join(d.select("paper_id").distinct(), "paper_id", "left_semi")), ABSTRACTS)
+    named = table(spark, sf, "documents", ["paper_id"]).distinct()
+    p = small(cut(p.join(named, "paper_id", "left_semi")), ABSTRACTS)
     x = d.join(p, "paper_id", "left").withColumn("a", text.word_set("text")).withColumn("b", text.word_set("abstract"))
     inter = F.size(F.array_intersect("a", "b")).cast("double")
     return x.select(

@@ -60,8 +60,9 @@ def _remove(spark: SparkSession, path: str) -> None:
 BROADCAST_ROWS = 200_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it proves to have at most ``rows`` (narrow) rows; else as it is, to be shuffled."""
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it proves to have at most ``rows`` (narrow) rows, BROADCAST_ROWS unless given; else as it is, to be shuffled."""
+    rows = BROADCAST_ROWS if rows is None else rows
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
