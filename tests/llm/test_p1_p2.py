@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from foliomill.plans import runtime
 from foliomill.llm import closing, labelmodel, language, p1_truncation, p2_pairs, shingles
 
 import numpy as np
@@ -94,8 +95,11 @@ def test_matching_finds_planted_copies(spark):
     assert len(wrong) <= 0.02 * len(cut), [cut[k - 1000][-30:] for k in wrong]
 
 
-def test_matching_decides(spark):
-    """List items cut after a word that may well close an item: only the full copies tell."""
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_matching_decides(spark, monkeypatch, broadcast):
+    """List items cut after a word that may well close an item: only the full copies tell, whether sides are broadcast or shuffled."""
+    if not broadcast:
+        monkeypatch.setattr(runtime, "BROADCAST_ROWS", 0)
     items = [f"- tables about the porous assay\n- discussion of the hybrid vaccine\n- use of case {i} in plot {i} with a clinical sensor and a neural parser\n- study of the nested genome for site {i} from the lateral field plots" for i in range(30)]
     cut = [x[: x.index(" for site")] for x in items]
     rows = [(i, "A", x, 50, "x") for i, x in enumerate(items)] + [(100 + i, "A", x, 50, "x") for i, x in enumerate(cut[:10])]

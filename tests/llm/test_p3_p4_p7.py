@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from foliomill.plans import runtime
 from foliomill.llm import p3_overlap, p4_sample, p7_mix
 
 T0 = dt.datetime(2025, 1, 1)
@@ -35,7 +36,11 @@ def text(rng, n=90):
     return " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi".split()) + str(rng.randrange(40)) for _ in range(n))
 
 
-def test_overlaps_equal_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_overlaps_equal_brute_force(spark, monkeypatch, broadcast):
+    """Whether sides are broadcast or shuffled."""
+    if not broadcast:
+        monkeypatch.setattr(runtime, "BROADCAST_ROWS", 0)
     rng = random.Random(8)
     docs, entries = [], []
     base = [text(rng) for _ in range(40)]
