@@ -138,10 +138,11 @@ class Ids(dict):
 
 
 def by_split(samples: DataFrame) -> DataFrame:
-    """(sample_id, markdown), each sample once (its least text), a partition each split: the splits depend on the samples only."""
-    rows = samples.filter("sample_id is not null").select("sample_id", "markdown")
-    splits = max(1, -(-rows.count() // SPLIT_SAMPLES))
-    return rows.repartition(splits, "sample_id").groupBy("sample_id").agg(F.min("markdown").alias("markdown"))
+    """(sample_id, markdown), each sample once (its least text), a partition each split: the splits depend on the samples only.
+
+    Repeats are dropped before rows are dealt into splits, so a sample that is repeated over and over does not fill one."""
+    once = cut(samples.filter("sample_id is not null").groupBy("sample_id").agg(F.min("markdown").alias("markdown")))
+    return once.repartition(max(1, -(-once.count() // SPLIT_SAMPLES)), "sample_id")
 
 
 def skip_gram(samples: DataFrame, counts: dict[str, int], total: int) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
