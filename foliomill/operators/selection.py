@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliomill.operators import ranking
+from foliomill.plans.runtime import cut
 
 
 def with_rejection(df: DataFrame, rules: list[tuple[Column, str]], name: str = "rejection") -> DataFrame:
@@ -107,14 +109,20 @@ def allocate(sizes: DataFrame, key: str, size: str, total: int) -> DataFrame:
     return base.withColumn("left", left).withColumn("rank", rank).withColumn("allocated", (F.col("floor") + (F.col("rank") <= F.col("left")).cast("int")).cast("long")).drop("exact", "floor", "left", "rank")
 
 
-def next_fit(df: DataFrame, group: str, order: str, size: str, limit: int, most: int) -> DataFrame:
+def next_fit(df: DataFrame, group: str, order: str, size: str, limit: int, most: int, hot: int | None = None) -> DataFrame:
     """Shards by next fit: a file opens a new shard if the current one is not empty and would pass the byte or file limit.
 
-    The fold is sequential in each group by nature; it runs over the sorted rows as they stream by, so a group of any size needs constant memory."""
+    The fold is sequential in each group; it runs over the sorted rows as they stream by, so it needs constant memory.  A group of more than
+    ``hot`` rows (HOT_ROWS) is cut into ranges: a range is folded from every row at which its first shard may open, of which there are at most
+    ``most``, and which soon fall together; from these tables the state at the beginning of each range follows, and then all ranges are
+    folded at once."""
     kinds = dict(df.dtypes)
+    rows = df.select(group, order, size).filter(f"{group} is not null and {size} is not null")
+    schema = f"{group} {kinds[group]}, {order} {kinds[order]}, {size} {kinds[size]}, shard_no long"
+    entries: dict[int, tuple] = {}
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, shard, used, n = None, 0, 0, 0
+        current, shard, used, n = entries.get(TaskContext.get().partitionId(), (None, 0, 0, 0))
         for pdf in batches:
             out = []
             for g, s in zip(pdf[group], pdf[size]):
@@ -126,8 +134,69 @@ def next_fit(df: DataFrame, group: str, order: str, size: str, limit: int, most:
                 out.append(shard)
             yield pdf.assign(shard_no=out)
 
-    rows = df.select(group, order, size).filter(f"{group} is not null and {size} is not null").repartition(group).sortWithinPartitions(group, order)
-    return rows.mapInPandas(fold, f"{group} {kinds[group]}, {order} {kinds[order]}, {size} {kinds[size]}, shard_no long")
+    hot = ranking.HOT_ROWS if hot is None else hot
+    if rows.groupBy(group).count().filter(F.col("count") > hot).isEmpty():
+        return rows.repartition(group).sortWithinPartitions(group, order).mapInPandas(fold, schema)
+
+    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = last = None
+        head: list[int] = []
+        at = shard = used = n = 0
+        states: list[list] = []  # used, files, and for each row at which the first shard may open the shards opened after it
+        for pdf in batches:
+            for g, s in zip(pdf[group], pdf[size]):
+                if first is None:
+                    first = last = g
+                if g != last:
+                    last, shard, used, n = g, 0, 0, 0
+                elif last == first:
+                    opening = {at: 0} if at <= most else {}
+                    if at <= most:
+                        head.append(int(s))
+                    stay = []
+                    for state in states:
+                        if state[0] + s > limit or state[1] >= most:
+                            opening.update({k: c + 1 for k, c in state[2].items()})
+                        else:
+                            stay.append([state[0] + s, state[1] + 1, state[2]])
+                    states = stay + ([[s, 1, opening]] if opening else [])
+                    at += 1
+                if n > 0 and (used + s > limit or n >= most):
+                    shard, used, n = shard + 1, 0, 0
+                used, n = used + s, n + 1
+        if first is not None:
+            single = first == last
+            ends = [(k, int(u), c, opened) for u, c, ks in states for k, opened in ks.items()] if single else [(-1, int(used), n, shard)]
+            # Groups travel as text; no more than an equality is asked of them.
+            yield pd.DataFrame([(TaskContext.get().partitionId(), str(first), str(last), single, head if single else [], ends)], columns=["range_no", "first", "last", "single", "head", "ends"])
+
+    n_ranges = max(2, df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = cut(rows.repartitionByRange(n_ranges, group, order).sortWithinPartitions(group, order))
+    seen = ranged.mapInPandas(tables, "range_no int, first string, last string, single boolean, head array<long>, ends array<struct<k:int,used:long,n:long,opened:long>>")
+    state: tuple = (None, 0, 0, 0)
+    texts: dict[int, tuple] = {}
+    for r in sorted(seen.collect(), key=lambda r: r["range_no"]):  # a row a range, of at most ``most`` entries
+        name, shard, used, n = state if state[0] == r["first"] else (r["first"], 0, 0, 0)
+        texts[r["range_no"]] = (name, shard, used, n)
+        ends = {e["k"]: e for e in r["ends"]}
+        if not r["single"]:
+            state = (r["last"], ends[-1]["opened"], ends[-1]["used"], ends[-1]["n"])
+            continue
+        opens = None
+        for k, s in enumerate(r["head"]):
+            if n == 0 or used + s > limit or n >= most:
+                opens = k
+                break
+            used, n = used + s, n + 1
+        if opens is None:  # the whole range goes into the shard at hand
+            state = (name, shard, used, n)
+        else:
+            e = ends[opens]
+            state = (name, shard + (n > 0) + e["opened"], e["used"], e["n"])
+    # The state's group is that of the range's first row; the fold compares it with the rows' own.
+    firsts = {r["range_no"]: r[group] for r in ranged.withColumn("range_no", F.spark_partition_id()).groupBy("range_no").agg(F.min(group).alias(group)).collect()}
+    entries.update({k: (firsts[k], *v[1:]) for k, v in texts.items()})
+    return ranged.mapInPandas(fold, schema)
 
 
 def cap_plan(df: DataFrame, group: str, pages: str, key: str, short: int, long: int, cap: int, most: int | None = None) -> DataFrame:

@@ -91,3 +91,22 @@ def test_figure_window(spark):
     df = spark.createDataFrame([("p2", ["c"]), ("p1", ["a", "b"]), ("p0", []), ("p3", ["d", "e"])], "paper string, figures array<string>")
     got = [(r["figure"], r["figure_index"]) for r in figures.figure_window(df, [F.col("paper")], "figures", 1, 5, 3, most=2).orderBy("figure_index").collect()]
     assert got == [("b", 1), ("c", 2), ("d", 3)]
+
+
+@pytest.mark.parametrize("most", [1, 3, 12, 500])
+def test_next_fit_of_a_hot_group(spark, most):
+    """As the plain fold, for groups that are cut into ranges: sizes of all kinds, equal ones, none, and larger than the limit."""
+    rng = random.Random(most)
+    rows = [("hot", i, rng.choice([0, 5, 10, 10, 35, 60, 140])) for i in range(700)] + [("even", i, 25) for i in range(200)] + [("a", i, 99) for i in range(3)] + [("z", 0, 1), (None, 1, 1), ("z", 2, None)]
+    want = {}
+    for g in ("hot", "even", "a", "z"):
+        shard = used = n = 0
+        for _, i, s in sorted(r for r in rows if r[0] == g and r[2] is not None):
+            if n > 0 and (used + s > 100 or n >= most):
+                shard, used, n = shard + 1, 0, 0
+            used, n = used + s, n + 1
+            want[g, i] = shard
+    df = spark.createDataFrame(rows, "g string, i int, s long").repartition(4)
+    for hot in (None, 50):
+        got = {(r["g"], r["i"]): r["shard_no"] for r in selection.next_fit(df, "g", "i", "s", 100, most, hot).collect()}
+        assert got == want
