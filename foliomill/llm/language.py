@@ -48,9 +48,9 @@ def _best(scores) -> tuple[str | None, float]:
     return (LANGUAGES[scores.index(top)] if top > 0 else None), top - second
 
 
-def weights(text: str) -> list[tuple[float, ...] | None]:
-    """Of each word what it says for each language; None for a word of none."""
-    return [_WEIGHTS.get(w) for w in _WORD.findall(text.lower())]
+def weights(words: list[str]) -> list[tuple[float, ...] | None]:
+    """Of each word what it says for each language; None for a word of none.  Numbers are left out."""
+    return [_WEIGHTS.get(w) for w in words if not w.isdigit()]
 
 
 def sums(words: list[tuple[float, ...] | None]) -> tuple[float, ...] | None:
@@ -69,7 +69,7 @@ def best_of(said: tuple[float, ...] | None, n: int) -> tuple[str | None, float]:
 
 def by_words(text: str) -> tuple[str | None, float, int]:
     """Best language by function words, its lead over the next (in shares of words), and the number of words."""
-    words = weights(text)
+    words = weights(_WORD.findall(text.lower()))
     return *best_of(sums(words), len(words)), len(words)
 
 
@@ -85,6 +85,14 @@ def by_letters(text: str) -> tuple[str | None, float]:
     return _best([sum(map(low.count, v)) / n for v in (_PLAIN if low.isascii() else _ALL)])
 
 
+def letters_of(text: str, languages: tuple[str, ...]) -> list[float]:
+    """Letter groups a word of each of the languages."""
+    low = f" {text.lower()} "
+    n = max(1, len(low) / 6)
+    groups = _PLAIN if low.isascii() else _ALL
+    return [sum(map(low.count, groups[LANGUAGES.index(x)])) / n for x in languages]
+
+
 @functools.lru_cache(maxsize=4096)
 def expected(prompt: str) -> str | None:
     """The language a prompt asks for, else its own."""

@@ -15,6 +15,7 @@ import random
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
@@ -117,6 +118,12 @@ DENYING = (
     "can't", "cant ", "cannot", "can not", "unable to", "able to", "won't", "will not", "decline", "refuse", "rather not", "not allowed", "not permitted", "the ability", "have access", "no access", "not possible", "beyond what i am", "keep me from", "was provided", "give no", "denied", "be given", "something i can", "against my",
     "nicht", "kein", "ablehnen", "ne peux", "ne puis", "n'ai pas", "ne suis", "refuse", "impossible", "pas en mesure", "pas possible", "pas accès", "no puedo", "imposible", "debo negarme", "me niego", "no tengo acceso", "no estoy autorizad", "no se me permite", "es posible",
 )
+#: Both lists in one automaton; its values are 1 for a denial's piece and 2 for an offer.
+_HINTS = ahocorasick.Automaton()
+for _bit, _texts in ((1, DENYING), (2, OFFERS)):
+    for _text in _texts:
+        _HINTS.add_word(_text, _HINTS.get(_text, 0) | _bit)
+_HINTS.make_automaton()
 #: Who denies.
 _SPEAKER = re.compile(r"\b(?:i|me|my|ich|mir|mich|je|mes|yo|mis|puedo|me|debo)\b|\bm'|\bj'", re.I)
 
@@ -129,8 +136,10 @@ def refusal_votes(inner: str) -> tuple[int, ...]:
     n = len(s.split())
     sentences = [x for x in _SENTENCES.split(s) if x]
     first = sentences[0] if sentences else ""
-    low = s.lower()
-    may = any(x in low for x in DENYING)
+    hints = 0
+    for _, hint in _HINTS.iter(s.lower()):
+        hints |= hint
+    may = bool(hints & 1)
     denies = may and bool(_DENIAL.search(first))
     yet = _YET.search(first) if denies else None
     # Told of others or quoted, or followed by an answer all the same, a denial is none.
@@ -141,7 +150,7 @@ def refusal_votes(inner: str) -> tuple[int, ...]:
         vote(bool(_OPENING.match(s)), True),
         vote(denies and not answered and not told, True),
         vote(later, False),
-        vote(any(x in low for x in OFFERS), n > 35),
+        vote(bool(hints & 2), n > 35),
         vote(0 < n <= 35 and len(sentences) <= 3, n > 45 or len(sentences) > 4 or n == 0),
         vote(False, answered or told),
     )
@@ -154,6 +163,10 @@ _ECHO = re.compile(r"\W*(?:q|question|user|prompt|task|answer|frage|pregunta|sys
 _ECHO_END = re.compile(r"\b(?:answer|antwort|réponse|respuesta)\s*:?\s*$", re.I)
 
 
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
 @functools.lru_cache(maxsize=4096)
 def prompt_words(prompt: str) -> tuple[frozenset[str], frozenset[tuple[str, str]], str]:
     """The words of a prompt, its pairs of words, and its words as one text."""
@@ -161,41 +174,45 @@ def prompt_words(prompt: str) -> tuple[frozenset[str], frozenset[tuple[str, str]
     return frozenset(p), frozenset(zip(p, p[1:])), " ".join(p)
 
 
-def copied_votes(prompt: str, inner: str) -> tuple[int, ...]:
+def copied_votes(prompt: str, inner: str, words: list[str]) -> tuple[int, ...]:
     """By the share of its words that the prompt has, by its pairs of words, by being a piece of the prompt, and by its end, which an answer that goes on
     after the question has of its own.  An answer of fewer than four words is told by none of these."""
-    low = inner.lower()
-    if m := _ECHO.match(low):
-        low = low[m.end() :]
-    if m := _ECHO_END.search(low, max(0, len(low) - 24)):
-        low = low[: m.start()]
-    a = _WORD.findall(low)
+    a, begin, end = words, _ECHO.match(inner), _ECHO_END.search(inner, max(0, len(inner) - 24))
+    if begin or end:
+        a = _WORD.findall(inner[begin.end() if begin else 0 : end.start() if end else None].lower())
     if len(a) < 4:
         return 0, 0, -1, 0
     have, pairs, sp = prompt_words(prompt)
     share = sum(map(have.__contains__, a)) / len(a)
     run = sum(map(pairs.__contains__, zip(a, a[1:]))) / (len(a) - 1)
     middle = len(a) // 2
-    inside = " ".join(a) in sp or (" ".join(a[: (len(a) + 1) // 2]) in sp and " ".join(a[middle:]) in sp)
+    # A piece of the prompt has all its words there, but for those broken at the ends of its halves.
+    inside = share * len(a) >= len(a) - 4 and (" ".join(a) in sp or " ".join(a[: (len(a) + 1) // 2]) in sp and " ".join(a[middle:]) in sp)
     end = sum(map(pairs.__contains__, zip(a[-4:], a[-3:])))
     return vote(share >= 0.82, share < 0.7), vote(run >= 0.6, run < 0.5), vote(inside, share < 0.75), vote(end == 3, end < 2)
 
 
-def language_votes(want: str | None, inner: str) -> tuple[int, ...]:
-    """By function words, by letter groups, and by the function words of either half; no opinion where the wanted language is unknown."""
+def language_votes(want: str | None, inner: str, words: list[str]) -> tuple[int, ...]:
+    """By function words, by letter groups (those of the language that the words tell against those of the wanted one), and by the function words of either
+    half; no opinion where the wanted language is unknown."""
     if want not in language.LANGUAGES:
         return 0, 0, 0
-    words = language.weights(inner)
-    n, half = len(words), len(words) // 2
-    left, right = language.sums(words[:half]), language.sums(words[half:])
+    known = language.weights(words)
+    n, half = len(known), len(known) // 2
+    left, right = language.sums(known[:half]), language.sums(known[half:])
     both = tuple(map(sum, zip(left, right))) if left and right else left or right
     lang, lead = language.best_of(both, n)
-    letters, ahead = language.by_letters(inner)
     weak = n < 5
+    if lang is None:
+        other, own = 0.0, float(language.by_letters(inner)[0] == want)
+    elif lang == want:
+        other, own = 0.0, language.letters_of(inner, (want,))[0]
+    else:
+        other, own = language.letters_of(inner, (lang, want))
     sides = [] if n < 16 else [x for x, e in (language.best_of(left, half), language.best_of(right, n - half)) if e > 0.03]
     return (
         vote(not weak and lang is not None and lang != want and lead > 0.04, lang == want and lead > 0.0),
-        vote(not weak and letters is not None and letters == lang != want and ahead > 0.05, letters == want),
+        vote(not weak and other > own + 0.05, own > other),
         vote(bool(sides) and want not in sides, want in sides),
     )
 
@@ -250,12 +267,14 @@ def votes_of(prompt: str, text: str | None, tokens, budget, model: tuple, usual:
     """The votes for each defect of one answer."""
     inner = content(text) if text else ""
     whole = closing.score(text, *model)
-    known = inner.rsplit(None, 1)[0] if whole < closing.CUTOFF and " " in inner else inner  # a piece of a word has no language
+    words = words_of(inner)
+    # A piece of a word has no language.
+    known = words[:-1] if whole < closing.CUTOFF else words
     return {
         "empty": empty_votes(text, inner),
         "refusal": refusal_votes(inner),
-        "copied_prompt": copied_votes(prompt, inner),
-        "other_language": language_votes(language.expected(prompt), known),
+        "copied_prompt": copied_votes(prompt, inner, words),
+        "other_language": language_votes(language.expected(prompt), inner, known),
         "truncated": truncated_votes(text, whole, tokens, budget, usual),
     }
 

@@ -204,7 +204,7 @@ def test_long_refusals_are_read_whole():
 
 @pytest.mark.parametrize("prompt, text, wrong", [("Answer in Italian: what does the figure show?", "La figura mostra che la misura del sensore è stata ripetuta nelle prove e che il valore non è più alto della media.", False), ("Descrivi come il sensore è presentato in questo articolo e quali sono le misure.", "La figura mostra che la misura del sensore è stata ripetuta nelle prove e che il valore non è più alto della media.", False), ("Answer in Portuguese: what does the figure show?", "A figura mostra que a medição do sensor não foi repetida nos ensaios e que o valor é mais alto do que a média.", False), ("Answer in Portuguese: what does the figure show?", FR_TEXT, True), ("Answer in English.", FR_TEXT, True)])
 def test_language_votes(prompt, text, wrong):
-    assert (sum(p2_pairs.language_votes(language.expected(prompt), text)) > 0) == wrong
+    assert (sum(p2_pairs.language_votes(language.expected(prompt), text, p2_pairs.words_of(text))) > 0) == wrong
 
 
 def test_functions_do_not_vote_in_unison(spark):
