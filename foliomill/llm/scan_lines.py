@@ -129,7 +129,7 @@ class Model:
     def around(self, context: list[str]) -> np.ndarray | None:
         """The vector that a context gives the word in it: the mean of its words' outer vectors; None if it has none."""
         known = [self.ids[c] for c in context if c in self.ids]
-        return self.outer[known].mean(axis=0) if known else None
+        return np.add.reduce(self.outer[known]) / len(known) if known else None
 
     def fit(self, word: str, around: np.ndarray | None) -> float:
         """How much better ``word`` fits a context than any word does, in spreads of the fits; 0 where it is unknown."""
@@ -163,6 +163,11 @@ class Model:
         return None
 
 
+def listed(line: str) -> bool:
+    """True for an item of a list.  A line that begins with a letter is one only if a mark follows it."""
+    return not (line[:1].isalpha() and line[1:2] not in (".", ")")) and bool(_LIST.match(line))
+
+
 def page_number(s: str) -> int | None:
     """The number of a line that holds only a page number, in whatever dress; -1 for roman numerals; None for other lines."""
     if len(s) > 24 or s.endswith((".", ",", ";", ":")) or re.search(r"\d[.,]\d", s) or "%" in s:
@@ -195,7 +200,7 @@ def furniture(lines: list[str], heads: frozenset[str] = frozenset()) -> dict[int
     """Index -> running_header or page_number for the furniture lines of a sample."""
     stripped = [x.strip() for x in lines]
     body = [x for x in stripped if x and not x.startswith(("#", "|"))]
-    width = max((len(x) for x in body if not _LIST.match(x)), default=0)
+    width = max((len(x) for x in body if not listed(x)), default=0)
     out: dict[int, str] = {}
     cores: dict[int, tuple[str, bool]] = {}
 
@@ -217,7 +222,7 @@ def furniture(lines: list[str], heads: frozenset[str] = frozenset()) -> dict[int
                 continue
             out[i] = "page_number"
             continue
-        if len(s) > 90 or s.startswith(("$", "**", ">", "`")) or "a" <= s[0] <= "z" and s[0] != "l" and "  " not in s or _LIST.match(s):
+        if len(s) > 90 or s.startswith(("$", "**", ">", "`")) or "a" <= s[0] <= "z" and s[0] != "l" and "  " not in s or listed(s):
             continue  # a head begins with a capital, or what is read for one, or with a number set apart
         cores[i] = head_core(s)
     times = Counter(c for c, _ in cores.values())
@@ -292,6 +297,8 @@ def flow(lines: list[str], gone: dict[int, str]) -> list[tuple[bool, list[int]]]
 
 def is_plain(line: str) -> bool:
     s = line.strip()
+    if s[:1].isalpha():
+        return not listed(line)
     return bool(s) and not s.startswith(("#", "|", "$")) and not _LIST.match(line) and not _NUMBER_LINE.match(s)
 
 
