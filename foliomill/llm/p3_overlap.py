@@ -4,7 +4,7 @@ Entries are resolved to documents by a canonical path, then linked by document,
 are found by winnowing: rolling hashes of five words, of which each window (the longer the text, the wider, see ``window_of``) selects
 its least.  The order of the hashes puts grams of widespread words last (word frequencies come from the whole corpus), so a window that can avoid the phrases everybody uses
 does; the choice still depends on the gram alone, so equal passages select equal grams.  Selected grams are joined across the splits,
-widespread ones too, in blocks.  Short abstracts, in which edits leave few runs of five words, are joined on their rarest words instead, an exact
+widespread ones too, in blocks: no gram is left out for its count.  Short abstracts, in which edits leave few runs of five words, are joined on their rarest words instead, an exact
 way.  Pairs whose lengths or words rule out the wanted share are dropped; of the rest, a word alignment
 (longest common subsequence) and its share of the longer abstract decide.
 """
@@ -16,10 +16,12 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,15 +34,11 @@ from foliomill.plans.runtime import at_least, cut, small, store, table
 WINDOWS = ((60, 3), (100, 6), (1 << 30, 12))
 #: An abstract of at most SHORT words is compared with all that can reach SHARE with it: they have a word in common among their rarest ones.
 SHORT = 40
-#: Two abstracts that share CHAIN selected grams are compared for certain: each of at least LONG grams gives up its CHAIN - 1 most widespread
-#: ones, in one order for all, so the rarest shared one stays on both sides.  Grams with more than HOT cross-split pairs are joined in blocks of BLOCK train abstracts.
-CHAIN, LONG, HOT, BLOCK = 3, 8, 100, 1000
-#: So many grams are ordered by their count; all others come before them.
-ORDERED = 100_000
-#: 64-bit lanes of the map of an abstract's words.
-LANES = 4
-#: A task reports the grams it meets so often.
-MANY = 8
+#: Grams with more than HOT cross-split pairs are joined in blocks of about BLOCK train abstracts, of STEP pairs at a time.  None of these changes a result:
+#: abstracts that share a selected gram, however widespread, are compared.
+HOT, BLOCK, STEP = 100, 1000, 1 << 16
+#: 64-bit lanes of the map of an abstract's words; in blocks, the halves lie on each other.
+LANES = 8
 #: Share of the longer abstract's words that must stand in the other in the same order.
 SHARE = 0.8
 
@@ -137,7 +135,7 @@ def window_of(n_words: int) -> int:
 
 
 def winnow(texts: list[list[str]], words: Words) -> tuple[list[list[int]], np.ndarray]:
-    """Of each text the hashes of the selected grams, and a map of its words: each word sets one of LANES * 64 bits.
+    """Of each text the hashes of the selected grams, and a map of its words: each sets one of LANES * 64 bits, a word's further occurrences as words of their own.
 
     A gram is selected if some window of ``window_of`` grams has it first in the order: fewer widespread words, then lesser hash."""
     pad = SHINGLE + WINDOWS[-1][1]
@@ -172,7 +170,13 @@ def winnow(texts: list[list[str]], words: Words) -> tuple[list[list[int]], np.nd
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
     signed = grams[picked].view(np.int64)
     maps = np.zeros(len(texts) * LANES, np.uint64)
-    own, hashes = np.repeat(np.arange(len(texts)), sizes)[word], stream[word]
+    own = np.repeat(np.arange(len(texts)), sizes)[word]
+    same = own * (len(words) + 1) + number[word]
+    by_word = np.argsort(same, kind="stable")
+    first = np.flatnonzero(np.diff(same[by_word], prepend=-1))
+    times = np.empty(len(same), np.uint64)
+    times[by_word] = np.arange(len(same)) - np.repeat(first, np.diff(first, append=len(same)))
+    hashes = stream[word] + times * np.uint64(0x9E3779B97F4A7C15)
     np.bitwise_or.at(maps, own * LANES + (hashes >> np.uint64(6)).astype(np.int64) % LANES, np.uint64(1) << (hashes & np.uint64(63)))
     return [signed[bounds[k] : bounds[k + 1]].tolist() for k in range(len(texts))], maps.reshape(-1, LANES).view(np.int64)
 
@@ -214,6 +218,8 @@ def featured(pdf_entries: DataFrame) -> DataFrame:
                 texts = [abstract_words(x) if x else [] for x in pdf["abstract"]]
                 keys, maps = winnow(texts, words)
                 keys = [k + rare_words(w, words) if has_rare_words(len(w)) else k for k, w in zip(keys, texts)]
+                owner, flat = thinned(np.repeat(np.arange(len(keys)), [len(k) for k in keys]), np.fromiter(chain.from_iterable(keys), np.int64))
+                keys = np.split(flat, np.searchsorted(owner, np.arange(1, len(keys))))
                 out = pdf[["document_id", "source", "sha256", "discovered_at"]].copy()
                 out["path"] = [None if s is None or p is None else canonical_path(f"{s.strip()}/{p}") for s, p in zip(pdf["raw_source"], pdf["original_relative_path"])]
                 out["abstract_hash"] = pd.array([abstract_hash(w) for w in texts], dtype="Int64")
@@ -244,58 +250,80 @@ def resolved(split_index: DataFrame, features: DataFrame) -> DataFrame:
     return best.join(least, "entry_id").filter("try = least").drop("try", "least")
 
 
-def widespread(used: DataFrame) -> DataFrame:
-    """(key, n): about how many abstracts hold each widespread gram: counted in each task, of which only those met MANY times there are sent on."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        for pdf in batches:
-            if len(pdf):
-                keys, place = np.unique(np.concatenate([keys, *pdf["keys"]]), return_inverse=True)
-                ones = np.concatenate([counts, np.ones(len(place) - len(counts), np.int64)])
-                counts = np.bincount(place, weights=ones, minlength=len(keys)).astype(np.int64)
-        many = counts >= MANY
-        yield pd.DataFrame({"key": keys[many], "n": counts[many]})
-
-    return used.select("keys").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT + 2)
-
-
-def thinned(owner: np.ndarray, keys: np.ndarray, n: np.ndarray, all_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, key), each once, without the CHAIN - 1 grams of greatest (n, key) of each owner of at least LONG grams; grams of n = 0 stay, and
-    all of an owner that is true in ``all_of``.
-
-    Two owners that share CHAIN grams still share one: their first shared gram in this order has CHAIN - 1 behind it on both sides."""
-    order = np.lexsort((keys, n, owner))
-    owner, keys, n = owner[order], keys[order], n[order]
-    size = np.bincount(owner, minlength=int(owner.max(initial=-1)) + 1)
-    behind = np.cumsum(size)[owner] - 1 - np.arange(len(owner))
-    stay = (behind >= CHAIN - 1) | (n == 0) | (size[owner] < LONG) | all_of[owner]
-    owner, keys = owner[stay], keys[stay]
+def thinned(owner: np.ndarray, keys: np.ndarray, *_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, key), each once, in this order.  No gram is given up, whatever its count: anything else given changes nothing."""
+    order = np.lexsort((keys, owner))
+    owner, keys = owner[order], keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
     return owner[new], keys[new]
 
 
 def seeds_of(nodes: DataFrame, features: DataFrame) -> DataFrame:
-    """(key, abstract_hash, side) of the selected grams of every abstract in use, see ``thinned``; side = train * 2 + test."""
-    rows = features.select("row_no", "abstract_hash", "words", "keys").join(small(nodes.select("row_no", "train", "test")), "row_no")
-    top = widespread(rows).orderBy(F.desc("n"), "key").limit(ORDERED).toPandas().sort_values("key")
-    known = features.sparkSession.sparkContext.broadcast((top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64)))  # at most ORDERED
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams, counts = known.value
-        for pdf in batches:
-            if len(pdf):
-                flat = np.concatenate([np.empty(0, np.int64), *pdf["keys"]])
-                n = np.zeros(len(flat), np.int64)
-                if len(grams):
-                    at = np.minimum(np.searchsorted(grams, flat), len(grams) - 1)
-                    n = np.where(grams[at] == flat, counts[at], 0)
-                short = pdf["words"].map(has_rare_words).to_numpy(bool)
-                owner, keys = thinned(np.repeat(np.arange(len(pdf)), pdf["keys"].map(len)), flat, n, short)
-                yield pd.DataFrame({"key": keys, "abstract_hash": pdf["abstract_hash"].to_numpy()[owner], "side": pdf["side"].to_numpy()[owner]})
-
-    return rows.select("abstract_hash", "words", (F.col("train") * 2 + F.col("test")).cast("byte").alias("side"), "keys").mapInPandas(run, "key long, abstract_hash long, side byte")
+    """(key, abstract_hash, side) of all selected grams of every abstract in use; side = train * 2 + test."""
+    rows = features.select("row_no", "abstract_hash", "keys").join(small(nodes.select("row_no", "train", "test")), "row_no")
+    return rows.select(F.explode("keys").alias("key"), "abstract_hash", (F.col("train") * 2 + F.col("test")).cast("byte").alias("side"))
+
+
+class Side:
+    """Abstracts of one side of a block, in the order of their words: hashes, numbers of words, lanes, the words that an alignment of the wanted share
+    must keep of them, and the bits of the map less the words."""
+
+    def __init__(self, hashes: np.ndarray, words: np.ndarray, lanes: np.ndarray):
+        order = np.argsort(words, kind="stable")
+        self.hashes, self.words, self.lanes = hashes[order], words[order].astype(np.int32), np.ascontiguousarray(lanes[:, order])
+        self.least = np.ceil(SHARE * self.words - 1e-6).astype(np.int32)
+        self.bits = np.bitwise_count(self.lanes).sum(axis=0, dtype=np.int32) - self.words
+
+
+def fitting_pairs(a: Side, b: Side) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the pairs that pass ``fitting`` of ``near_abstracts`` by these lanes, which all pairs are put to unless their lengths rule them out."""
+    step = max(1, STEP // max(1, len(a.words)))
+    for k in range(0, len(b.words), step):
+        to = min(k + step, len(b.words))
+        lo, hi = np.searchsorted(a.words, b.least[k]), np.searchsorted(a.least, b.words[to - 1], side="right")
+        if lo < hi:
+            both = np.zeros((to - k, hi - lo), np.int32)
+            for x, y in zip(a.lanes[:, lo:hi], b.lanes[:, k:to]):
+                both += np.bitwise_count(x & y[:, None])
+            fit = both >= np.maximum(a.bits[lo:hi], b.bits[k:to, None]) + np.maximum(a.least[lo:hi], b.least[k:to, None])
+            j, i = np.nonzero(fit)
+            i, j = i + lo, j + k
+            fit = (np.minimum(a.words[i], b.words[j]) >= np.maximum(a.least[i], b.least[j])) & (a.hashes[i] != b.hashes[j])
+            if fit.any():
+                yield a.hashes[i[fit]], b.hashes[j[fit]]
+
+
+def blocks_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of rows (key, block, test, abstract_hash, words, lanes) in this order: the train rows of a block, about BLOCK, are kept, and its test rows
+    meet them as they come."""
+    def as_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
+
+    at, kept, train, found, total = None, [], None, [], 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        key, block, test, hashes, words, *lanes = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        lanes = np.stack(lanes).view(np.uint64)
+        ends = [*(np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1).tolist(), len(key)]
+        for start, end in zip([0, *ends], ends):
+            if at != (key[start], block[start]):
+                at, kept, train = (key[start], block[start]), [], None
+            half = start + int(np.searchsorted(test[start:end], 1))
+            if half > start:
+                kept.append((hashes[start:half], words[start:half], lanes[:, start:half]))
+            if half < end and kept:
+                if train is None:
+                    train = Side(*(np.concatenate(x, axis=-1) for x in zip(*kept)))
+                for pairs in fitting_pairs(train, Side(hashes[half:end], words[half:end], lanes[:, half:end])):
+                    found.append(pairs)
+                    total += len(pairs[0])
+                    if total > STEP:
+                        yield as_batch(found)
+                        found, total = [], 0
+    if total:
+        yield as_batch(found)
 
 
 def near_abstracts(nodes: DataFrame, features: DataFrame, pdf_entries: DataFrame) -> DataFrame:
@@ -305,30 +333,33 @@ def near_abstracts(nodes: DataFrame, features: DataFrame, pdf_entries: DataFrame
     seeds = seeds_of(nodes, features).repartition("key")
     n_train, n_test = F.sum(F.expr("(side >> 1) & 1")), F.sum(F.expr("side & 1"))
     load = seeds.groupBy("key").agg(n_train.alias("n_train"), n_test.alias("n_test"), F.max("abstract_hash").alias("any")).filter("any is not null and n_train > 0 and n_test > 0")
-    shared = cut(seeds.join(load.select("key", F.expr(f"if(n_train * n_test > {HOT}, int(ceil(n_train / {BLOCK})), 0)").alias("blocks")), "key"))
+    shared = store(seeds.join(load.select("key", F.expr(f"if(n_train * n_test > {HOT}, int(ceil(n_train / {BLOCK})), 0)").alias("blocks")), "key"))
 
-    # What an alignment of the wanted share implies, and hence no loss: lengths that differ by a fifth at most, and no more words on one
-    # side only than the alignment may leave out there.
-    lanes = [f"lane_{k}" for k in range(LANES)]
+    lanes, half = [f"lane_{k}" for k in range(LANES)], LANES // 2
     maps = features.select("row_no", *lanes).join(small(nodes.select("row_no", "abstract_hash", "words")), "row_no").drop("row_no")
     maps = small(cut(maps))
 
-    def side(x: str) -> DataFrame:
-        return maps.select(F.col("abstract_hash").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("words", *lanes)))
-
-    def alone(x: str, y: str) -> str:
-        return " + ".join(f"bit_count({c}_{x} & ~{c}_{y})" for c in lanes)
-
-    least = f"({SHARE}D * greatest(words_a, words_b) - 1e-6D)"
-    fitting = F.expr(f"a <> b and least(words_a, words_b) >= {least} and {alone('a', 'b')} <= words_a - {least} and {alone('b', 'a')} <= words_b - {least}")
-
-    left, right = (shared.filter(f"side & {bit} > 0").select("key", "blocks", F.col("abstract_hash").alias(x)) for bit, x in ((2, "a"), (1, "b")))
-    few = left.filter("blocks = 0").join(right.filter("blocks = 0"), "key").filter("a <> b").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").filter(fitting).select("a", "b")
+    # What an alignment of the wanted share implies, and hence no loss: lengths that differ by a fifth at most, and no more words on one
+    # side only than the alignment may leave out there.
+    def fitting(lanes: list[str]) -> str:
+        alone = lambda x, y: " + ".join(f"bit_count({c}_{x} & ~{c}_{y})" for c in lanes)
+        least = f"({SHARE}D * greatest(words_a, words_b) - 1e-6D)"
+        return f"a <> b and least(words_a, words_b) >= {least} and {alone('a', 'b')} <= words_a - {least} and {alone('b', 'a')} <= words_b - {least}"
+
+    def side(rows: DataFrame, x: str) -> DataFrame:
+        return rows.withColumnsRenamed({"abstract_hash": x} | {c: f"{c}_{x}" for c in ("words", *lanes)})
+
+    # The map goes with the grams, its halves on each other; pairs that it leaves are put to the whole map.
+    folded = [F.col(lanes[k]).bitwiseOR(F.col(lanes[k + half])).alias(lanes[k]) for k in range(half)]
+    mapped = shared.join(maps, "abstract_hash").select("key", "blocks", "side", "abstract_hash", "words", *folded)
+    train, test = (mapped.filter(f"side & {bit} > 0").drop("side") for bit in (2, 1))
+    few = side(train.filter("blocks = 0").drop("blocks"), "a").join(side(test.filter("blocks = 0").drop("blocks"), "b"), "key").filter(fitting(lanes[:half])).select("a", "b")
     # A widespread gram's train abstracts are dealt into blocks, each of which meets all its test abstracts.
-    blocked = left.filter("blocks > 0").withColumn("block", F.expr("int(pmod(xxhash64(a), blocks))")).join(side("a"), "a").drop("blocks")
-    met = right.filter("blocks > 0").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).join(side("b"), "b").drop("blocks")
-    many = blocked.join(met, ["key", "block"]).filter(fitting).select("a", "b")
-    pairs = cut(few.union(many).distinct())
+    dealt = train.filter("blocks > 0").withColumns({"block": F.expr("int(pmod(xxhash64(abstract_hash), blocks))"), "test": F.lit(0)})
+    met = test.filter("blocks > 0").withColumns({"block": F.explode(F.expr("sequence(0, blocks - 1)")), "test": F.lit(1)})
+    rows = dealt.union(met).select("key", "block", "test", "abstract_hash", "words", *lanes[:half])
+    many = rows.repartition("key", "block").sortWithinPartitions("key", "block", "test").mapInArrow(blocks_met, "a long, b long")
+    pairs = cut(few.union(many).distinct().join(side(maps, "a"), "a").join(side(maps, "b"), "b").filter(fitting(lanes)).select("a", "b"))
     used = pairs.select(F.col("a").alias("abstract_hash")).union(pairs.select(F.col("b").alias("abstract_hash"))).distinct()
     wanted = cut(used.join(nodes.select("abstract_hash", "document_id"), "abstract_hash"))
     texts = pdf_entries.select("document_id", "discovered_at", F.col("metadata.abstract").alias("abstract"), "sha256").join(small(wanted), "document_id").groupBy("abstract_hash").agg(F.max_by("abstract", F.struct("discovered_at", "sha256", "abstract")).alias("abstract"))

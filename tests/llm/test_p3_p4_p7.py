@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from foliomill.plans import runtime
@@ -149,6 +150,42 @@ def test_report_counts_classes(spark):
     assert {(r["split"], r["n_records"], r["pairs_file"], r["pairs_bytes"]) for r in got} == {("train", 10_000, 10**8, 10**8), ("test", 10_000, 10**8, 10**8)}
 
 
+@pytest.mark.parametrize("hot", [0, 100, 10**9])
+@pytest.mark.parametrize("fill", [0, 140])
+def test_widespread_passage_alone_links(spark, monkeypatch, hot, fill):
+    """Near-copies whose only common run of words is a passage of one or two selected grams are found whether or not many others have it, and however
+    its pairs are joined."""
+    monkeypatch.setattr(p3_overlap, "HOT", hot)
+    rng = random.Random(12)
+    passage = [f"notice{i}" for i in range(10)]
+    x = passage + [f"w{rng.randrange(5000)}" for _ in range(90)]
+    y = [f"e{i}" if i >= 10 and i % 5 == 0 else w for i, w in enumerate(x)]
+    assert p3_overlap.common_share(x, y) == 0.82
+    texts = [x, y] + [passage + [f"w{rng.randrange(5000)}" for _ in range(90)] for _ in range(fill)]
+    docs = [(f"d{i}", "ACL", f"{i}.pdf", f"sha{i}", ("t", 1, None, None, " ".join(w)), T0, "9", "q") for i, w in enumerate(texts)]
+    entries = [(i, "test" if i % 2 else "train", f"ACL/{i}.pdf", "z") for i in range(len(docs))]
+    got = p3_overlap.overlaps(spark.createDataFrame(entries, IDX), spark.createDataFrame(docs, PDF)).collect()
+    assert [(r["entry_id_a"], r["entry_id_b"], r["kind"]) for r in got] == [(0, 1, "abstract")]
+
+
+def test_blocks_meet_as_brute_force():
+    """Blocks over several batches give the pairs that fit, each gram's and block's by itself."""
+    rng = np.random.default_rng(7)
+    rows = [(k, k % 2, t, int(h), int(w), *map(int, m)) for k in (3, 4) for t in (0, 1) for h, w, m in zip(rng.choice(40, 30, False), rng.integers(20, 60, 30), rng.integers(-(1 << 63), (1 << 63) - 1, (30, 4)) & rng.integers(0, 1 << 12, (30, 1)))]
+    names = ["key", "block", "test", "abstract_hash", "words", "l0", "l1", "l2", "l3"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[k : k + 17]]) for k in range(0, len(rows), 17)]
+    got = sorted((r["a"], r["b"]) for b in p3_overlap.blocks_met(iter(batches)) for r in b.to_pylist())
+    bits = lambda m: sum((x % (1 << 64)).bit_count() for x in m)
+    alone = lambda r, s: bits([x & ~y for x, y in zip(r[5:], s[5:])])
+    want = []
+    for r in rows:
+        for s in rows:
+            need = p3_overlap.SHARE * max(r[4], s[4]) - 1e-6
+            if r[:2] == s[:2] and r[2] < s[2] and r[3] != s[3] and min(r[4], s[4]) >= need and alone(r, s) <= r[4] - need and alone(s, r) <= s[4] - need:
+                want.append((r[3], s[3]))
+    assert got == sorted(want) and 20 < len(want) < 1500
+
+
 def test_thinned_owners_still_share():
     """Owners that share three grams share one of those that stay, whatever the counts."""
     rng = random.Random(4)
